@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions.numbers import number_text
+from sigtrace.operators.nested import nodes, type_path
 from sigtrace.streaming.dedup import deduplicate_files
 
 
@@ -18,4 +19,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_files(spark, f"{sf_dir}/pfcp_messages.parquet", pfcp_key(), "received_at", "row_id").dropped
 
 
-QUERIES = {"p4_found": p4_found}
+def tree_nodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The nodes of all trees: of PFCP and NGAP messages and of HTTP/2 bodies."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    pfcp = nodes(read("pfcp_messages"), ["row_id"], {"pfcp": F.col("pfcp")}, **options)
+    ngap = nodes(read("ngap_messages"), ["row_id"], {"ngap": F.col("ngap")}, **options)
+    http = nodes(read("http2_streams"), ["row_id"], {"request_body": F.col("request.body.decoded_json"), "response_body": F.col("response.body.decoded_json")}, **options)
+    return pfcp.unionByName(ngap).unionByName(http)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_nodes(spark, sf_dir, columns=("field_name", "object_path", "parent_path"), root=False)
+
+
+def p3_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node tables' types, over objects, arrays and scalars: how many nodes and records each has."""
+    n = tree_nodes(spark, sf_dir, kinds=("object", "array", "scalar"), columns=("field_name", "kind", "level", "object_path"))
+    return n.groupBy("field_name", "kind", type_path(F.col("object_path")).alias("node_type")).agg(F.count("*").alias("n_nodes"), F.max("level").alias("deepest"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
