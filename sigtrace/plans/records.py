@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions.numbers import number_text
+from sigtrace.operators.drift import Drift, drift
 from sigtrace.operators.nested import nodes, type_path
+from sigtrace.sources.shared import RunFolder
 from sigtrace.streaming.dedup import deduplicate_files
 
 
@@ -38,4 +40,13 @@ def p3_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("field_name", "kind", type_path(F.col("object_path")).alias("node_type")).agg(F.count("*").alias("n_nodes"), F.max("level").alias("deepest"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
+def file_drift(spark: SparkSession, sf_dir: str) -> Drift:
+    folder = RunFolder(spark, "drift")
+    return drift(spark.read.parquet(f"{sf_dir}/raw_files.parquet"), spark.read.parquet(f"{sf_dir}/raw_lines.parquet"), folder.write)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_drift(spark, sf_dir).changes
+
+
+QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
