@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sigtrace.functions.numbers import exact_time, number
 from sigtrace.llm.components import connected_groups, uuid_key
+from sigtrace.llm.leakage import leaked_items
+from sigtrace.llm.mixing import Mix, mix_sources
 from sigtrace.llm.runs import collapse_runs
+from sigtrace.llm.sentences import sentence_units
 from sigtrace.operators.dedup import first_copies
 from sigtrace.plans.records import pfcp_key
 
@@ -55,4 +58,50 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(dashed(F.col("group_id")).alias("group_id"), dashed(F.col("id")).alias("observation_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found}
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leak with the place of a passage in the document's original text."""
+    return leaks(spark, sf_dir)
+
+
+def mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of each mix in the order of training."""
+    return mix(spark, sf_dir).ordered
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is in each mix."""
+    return mix(spark, sf_dir).copies.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("copies"), F.first("n_tokens").alias("n_tokens"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached."""
+    return mix(spark, sf_dir).shares
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "start_pos", "end_pos")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_collapsed": p1_collapsed,
+    "p2_found": p2_found,
+    "p6_found": p6_found,
+    "p6_passages": p6_passages,
+    "p7_mix": p7_mix,
+    "p7_copies": p7_copies,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+}
