@@ -50,3 +50,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
+
+# p3 and p5 have none: SQL can neither follow strings that hold trees nor compare values of renamed fields; they are
+# tested against brute force.
+ORACLE: dict[str, str] = {
+    "p4_found": """
+        WITH t AS (
+            SELECT row_id, received_at, analysis_id, frame, trim(seq_num) AS s, trim(seid) AS e FROM pfcp_messages
+        ), n AS (
+            SELECT row_id, received_at, analysis_id, frame,
+                CASE WHEN s ILIKE '0x%' THEN CAST(lower(s) AS UBIGINT) ELSE TRY_CAST(s AS UBIGINT) END AS seq,
+                CASE WHEN e ILIKE '0x%' THEN CAST(lower(e) AS UBIGINT) ELSE TRY_CAST(e AS UBIGINT) END AS sei
+            FROM t
+        )
+        SELECT row_id FROM (
+            SELECT row_id, row_number() OVER (PARTITION BY analysis_id, frame, seq, sei ORDER BY received_at, row_id) AS k FROM n
+        ) WHERE k > 1
+    """,
+}
