@@ -43,3 +43,32 @@ def with_neighbours(df: DataFrame, by: list[str], pos: str, width: int = 4096) -
     inner = b.withColumn("_l", F.lag(pos).over(v)).withColumn("_h", F.lead(pos).over(v))
     joined = inner.join(edges, _same([*by, "_b"], [f"_o{i}" for i in range(len(by) + 1)]))
     return joined.withColumn(f"{pos}_before", F.coalesce("_l", "_prev")).withColumn(f"{pos}_after", F.coalesce("_h", "_next")).select(*df.columns, f"{pos}_before", f"{pos}_after")
+
+
+def with_neighbour(df: DataFrame, by: list[str], block: Column, order: list[str], value: Column, to: str, after: bool = False) -> DataFrame:
+    """``to``: the ``value`` of the row before (or after) each row in its group, null at the end.
+
+    ``block`` must ascend with ``order``, whose values are to be unique; rows
+    with a null block come first.
+    """
+    b = df.withColumn("_b", block).withColumn("_v", F.struct(value.alias("v")))
+    pick = F.min_by if after else F.max_by
+    edges = b.groupBy(*by, "_b").agg(pick("_v", F.struct(*order)).alias("_e"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    edges = edges.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*by, "_b"])], (F.lead("_e") if after else F.lag("_e")).over(w).alias("_far"))
+    v = Window.partitionBy(*by, "_b").orderBy(*order)
+    inner = b.withColumn("_near", (F.lead("_v") if after else F.lag("_v")).over(v))
+    joined = inner.join(edges, _same([*by, "_b"], [f"_o{i}" for i in range(len(by) + 1)]))
+    return joined.withColumn(to, F.coalesce("_near", "_far")["v"]).select(*df.columns, to)
+
+
+def with_running_sum(df: DataFrame, by: list[str], block: Column, order: list[str], value: Column, to: str) -> DataFrame:
+    """``to``: the sum of ``value`` over the rows of the group up to each row."""
+    b = df.withColumn("_b", block).withColumn("_v", value)
+    sums = b.groupBy(*by, "_b").agg(F.sum("_v").alias("_s"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*by, "_b"])], F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
+    v = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = b.withColumn("_in", F.sum("_v").over(v))
+    joined = inner.join(offsets, _same([*by, "_b"], [f"_o{i}" for i in range(len(by) + 1)]))
+    return joined.withColumn(to, F.col("_before") + F.col("_in")).select(*df.columns, to)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from sigtrace.plans import records
+from sigtrace.plans import captures, events, records
 
 
 def queries() -> dict:
-    return dict(records.QUERIES)
+    return records.QUERIES | events.Q | captures.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(records.ORACLE)
+    return records.ORACLE | events.SQL | captures.SQL
