@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigtrace.functions.trees import parse
+
+
+def json_kind(c: Column) -> Column:
+    """object, array or scalar of strict JSON text, null for anything else.
+
+    An Arrow UDF: the built-in parsers take text with more behind the value.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def kind(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            try:
+                v = parse(t)
+            except ValueError:
+                return None
+            return "object" if type(v) is dict else "array" if type(v) is list else "scalar"
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return kind(c.cast("string"))
+
 
 def split_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """``state`` of each line: ok (a JSON object), blank, not_json or not_object. Nothing is dropped."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"^[\s]+|[\s]+$", ""))
-    v = F.try_parse_json(t)
-    state = F.when(t == "", "blank").when(v.isNull(), "not_json").when(F.schema_of_variant(v).startswith("OBJECT"), "ok").otherwise("not_object")
-    return lines.withColumn("state", state)
+    kinds = lines.withColumn("_kind", json_kind(F.col(line)))
+    blank = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\s+", "") == ""
+    state = F.when(blank, "blank").when(F.col("_kind").isNull(), "not_json").when(F.col("_kind") == "object", "ok").otherwise("not_object")
+    return kinds.withColumn("state", state).drop("_kind")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +55,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, strict: b
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file: its text, its file and whether it is JSON."""
-    d = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file_path"))
-    return d.withColumn("valid", F.try_parse_json("document").isNotNull())
+    d = spark.read.text(path, wholetext=True).select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file_path"))
+    return d.withColumn("valid", json_kind(F.col("document")).isNotNull())
 
 
 def select_events(events: DataFrame, frames: tuple[int, int] | None = None, protocols: list[str] | None = None, ids: dict[str, str] | None = None) -> DataFrame:

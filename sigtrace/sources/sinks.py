@@ -18,7 +18,7 @@ def digest_of(df: DataFrame, order: list[str]) -> str:
 
 
 def publish(tables: dict[str, DataFrame], path: str, form: str = "parquet", by: dict[str, list[str]] | None = None) -> dict:
-    """Write the tables below ``path``, then ``_manifest.json`` with counts and digests.
+    """Write the tables below ``path``, then ``manifest.json`` with counts and digests.
 
     Readers that wait for the manifest never see half a result. Names must be
     plain, and a folder that has a manifest is not written again.
@@ -27,7 +27,7 @@ def publish(tables: dict[str, DataFrame], path: str, form: str = "parquet", by:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = jvm.org.apache.hadoop.fs.Path(root, "_manifest.json")
+    last = jvm.org.apache.hadoop.fs.Path(root, "manifest.json")
     if fs.exists(last):
         raise ValueError(f"{path} has been published")
     entries = {}
@@ -39,16 +39,16 @@ def publish(tables: dict[str, DataFrame], path: str, form: str = "parquet", by:
         back = spark.read.format(form).schema(df.schema).load(f"{path}/{name}")
         entries[name] = {"rows": back.count(), "digest": digest_of(back, df.columns), "format": form}
     manifest = {"tables": entries}
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(root, "_manifest.tmp"), True)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(root, "manifest.tmp"), True)
     out.write(bytearray(json.dumps(manifest, sort_keys=True, separators=(",", ":")).encode()))
     out.close()
-    fs.rename(jvm.org.apache.hadoop.fs.Path(root, "_manifest.tmp"), last)
+    fs.rename(jvm.org.apache.hadoop.fs.Path(root, "manifest.tmp"), last)
     return manifest
 
 
 def verify(spark: SparkSession, path: str) -> dict[str, bool]:
     """Whether each table of a manifest still has its rows and digest."""
-    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/_manifest.json").collect()))
+    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
     out = {}
     for name, e in manifest["tables"].items():
         df = spark.read.format(e["format"]).load(f"{path}/{name}")
