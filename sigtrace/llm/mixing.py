@@ -92,7 +92,7 @@ def plan_mix(targets: DataFrame, available: DataFrame, total_tokens: float | Non
     t = t.withColumn("share", F.col("usable") / F.nullif(F.sum("usable").over(mix), F.lit(0.0)))
     limit = F.col("available") * F.col("max_repeats")
     size = F.lit(float(total_tokens)) if total_tokens is not None else F.min(F.when(F.col("share") > 0, limit / F.col("share"))).over(mix)
-    t = t.withColumn("size", size).withColumn("demand", F.coalesce(F.least(F.col("share") * F.col("size"), limit.cast("double")), F.lit(0.0)))
+    t = t.withColumn("size", size).withColumn("demand", F.when(F.col("share") > 0, F.least(F.col("share") * F.col("size"), limit.cast("double"))).otherwise(0.0))
     mean = F.sum(F.col("share") * F.col("max_repeats")).over(mix)
     t = t.withColumn("_mean", mean)
     furthest = F.max(F.when(F.col("share") > 0, F.abs(F.col("max_repeats") - F.col("_mean")))).over(mix)
