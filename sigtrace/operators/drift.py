@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigtrace.functions.trees import Number, parse
+from sigtrace.operators.components import smallest_labels
 from sigtrace.operators.ordered import with_neighbours, with_position
 
 OPENED = "transport"  # the one object whose members are fields of their own
@@ -223,3 +224,75 @@ def drift(files: DataFrame, lines: DataFrame, write=None) -> Drift:
         .unionByName(row(same.unionByName(pairs).filter("old_kinds != new_kinds"), "type_changed"))
     )
     return Drift(changes.join(where, at).select("file_id", "change", "old_name", "new_name"), types, renamed)
+
+
+MOST_FIELDS = 5_000  # distinct names of fields: the alias table and the columns of the consistent table
+# The casts, from the kinds that all values of a field have.
+CASTS = {"bigint": ("integer",), "double": ("integer", "number"), "boolean": ("boolean",)}
+
+
+def aliases(files: DataFrame, found: Drift, write) -> DataFrame:
+    """``protocol, name, field, cast_to``: each name of a field with the field's usual name and the type that holds all values.
+
+    Names belong to one field if a rename links them, directly or through
+    others, in files of one protocol; the usual name is the one in most files,
+    then the smallest. Names are few however many files there are.
+    """
+    kind = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("protocol", F.lit("")).alias("protocol"))
+    c = found.catalogue.join(kind, "file_id")
+    names = c.groupBy("protocol", F.col("field").alias("name")).agg(
+        F.count_distinct("file_id").alias("n_files"), F.collect_set("kind").alias("kinds"), F.bool_and("all_integers").alias("whole")
+    )
+    at = found.catalogue.select("stream_id", "pos", "file_id").distinct().join(kind, "file_id").select("stream_id", "pos", "protocol")
+    links = found.renamed.join(at, ["stream_id", "pos"]).select(F.concat_ws("\n", "protocol", "old_name").alias("a"), F.concat_ws("\n", "protocol", "new_name").alias("b")).distinct()
+    groups = smallest_labels(links, write.__self__)
+    names = names.withColumn("v", F.concat_ws("\n", "protocol", "name")).join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    best = names.groupBy("label").agg(F.min(F.struct((-F.col("n_files")).alias("n"), "name"))["name"].alias("field"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.bool_and("whole").alias("whole"))
+    only = lambda *k: F.size(F.array_except("kinds", F.array(*[F.lit(x) for x in k]))) == 0
+    fits = F.when(F.col("whole") & only("integer", "string"), "bigint")
+    for to, kinds in CASTS.items():
+        fits = fits.when(only(*kinds), to)
+    return names.select("protocol", "name", "label").join(best.select("label", "field", fits.otherwise("string").alias("cast_to")), "label").select("protocol", "name", "field", "cast_to")
+
+
+def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) -> DataFrame:
+    """One row per record: ``file_id, line_no`` and one column per field under its usual name, cast to the type that holds all values.
+
+    A field that has different types in different protocols is a string. Trees
+    are their JSON text. Lines that are no JSON object have no row, repeated
+    lines one each. A field named like the two leading columns gets ``_`` behind.
+    """
+    table = write(aliases(files, found, write), "aliases")
+    known = table.limit(MOST_FIELDS + 1).collect()
+    if len(known) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} names of fields")
+    types: dict[str, set] = {}
+    for r in known:
+        types.setdefault(r.field, set()).add(r.cast_to)
+    fields = sorted(types)
+    place = {(r.protocol, r.name): fields.index(r.field) for r in sorted(known)}
+    column = lambda f: f + "_" if f in ("file_id", "line_no") else f
+    protocol = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("protocol", F.lit("")).alias("protocol"))
+    source = lines.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), F.col("line").cast("string").alias("line")).join(protocol, "file_id")
+    schema = ", ".join(["file_id bigint", "line_no int", *[f"c{i} string" for i in range(len(fields))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            cols: list[list] = [[] for _ in fields]
+            for i, (line, kind) in enumerate(zip(batch.column("line").to_pylist(), batch.column("protocol").to_pylist())):
+                record = fields_of(line)
+                if record is None:
+                    continue
+                rows.append(i)
+                for c in cols:
+                    c.append(None)
+                for name in sorted(record):
+                    v, at = record[name], place.get((kind, _utf8(name)))
+                    if v is not None and at is not None and cols[at][-1] is None:
+                        cols[at][-1] = _utf8(text_of(v))
+            take = pa.array(rows, pa.int64())
+            yield pa.record_batch([batch.column("file_id").take(take), batch.column("line_no").take(take), *[pa.array(c, pa.string()) for c in cols]], names=["file_id", "line_no", *[f"c{i}" for i in range(len(fields))]])
+
+    wide = source.mapInArrow(run, schema)
+    return wide.select("file_id", "line_no", *[F.col(f"c{i}").try_cast(next(iter(types[f])) if len(types[f]) == 1 else "string").alias(column(f)) for i, f in enumerate(fields)])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions.numbers import number_text
-from sigtrace.operators.drift import Drift, drift
+from sigtrace.operators.drift import Drift, consistent_table, drift
 from sigtrace.operators.nested import nodes, type_path
 from sigtrace.sources.shared import RunFolder
 from sigtrace.streaming.dedup import deduplicate_files
@@ -49,7 +49,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_drift(spark, sf_dir).changes
 
 
-QUERIES = {"p5_found": p5_found, "p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records in one table of consistent columns."""
+    folder = RunFolder(spark, "drift")
+    files, lines = spark.read.parquet(f"{sf_dir}/raw_files.parquet"), spark.read.parquet(f"{sf_dir}/raw_lines.parquet")
+    table = consistent_table(files, lines, drift(files, lines, folder.write), folder.write)
+    return table.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in table.columns])
+
+
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
 
 # p3 and p5 have none: SQL can neither follow strings that hold trees nor compare values of renamed fields; they are
 # tested against brute force.

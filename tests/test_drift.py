@@ -1,8 +1,9 @@
 import collections
 import json
 
-from sigtrace.operators.drift import drift
-from sigtrace.plans.records import p5_found
+from sigtrace.operators.drift import consistent_table, drift
+from sigtrace.plans.records import p5_found, p5_table
+from sigtrace.sources.shared import RunFolder
 
 FILES = "file_id long, stream_id long, file_seq int"
 LINES = "file_id long, line_no int, line string"
@@ -73,3 +74,18 @@ def test_against_brute_force(spark, data):
 
 def test_empty(spark):
     assert drift(spark.createDataFrame([], FILES), spark.createDataFrame([], LINES)).changes.count() == 0
+
+
+def test_one_consistent_table(spark, data):
+    files = spark.createDataFrame([(1, 7, 1, "P"), (2, 7, 2, "P"), (3, 8, 1, "N")], FILES + ", protocol string")
+    lines = spark.createDataFrame(
+        [(1, 1, '{"record_id":"r","a":1,"t":{"x":[1]}}'), (1, 2, '{"record_id":"s","a":2}'), (1, 3, "broken"), (2, 1, '{"record_id":"s","b":"2","file_id":1.5,"t":null}'), (3, 1, '{"b":true}')], LINES
+    )
+    folder = RunFolder(spark, "t")
+    got = consistent_table(files, lines, drift(files, lines, folder.write), folder.write)
+    assert dict(got.dtypes) == {"file_id": "bigint", "line_no": "int", "a": "bigint", "b": "boolean", "file_id_": "double", "record_id": "string", "t": "string"}
+    rows = [(r.file_id, r.line_no, r.a, r.b, r.file_id_, r.record_id, r.t) for r in got.orderBy("file_id", "line_no").collect()]
+    assert rows == [(1, 1, 1, None, None, "r", '{"x":[1]}'), (1, 2, 2, None, None, "s", None), (2, 1, 2, None, 1.5, "s", None), (3, 1, None, True, None, None, None)]
+    table = p5_table(spark, data)
+    kept = spark.read.parquet(f"{data}/raw_lines.parquet").count()
+    assert kept * 0.9 < table.count() <= kept and "transport_src_ip" in table.columns and "transport_sport" not in table.columns
