@@ -14,18 +14,19 @@ executor costs one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from sigtrace.operators.skew import join_hot
 from sigtrace.sources.shared import RunFolder
 
-HOT = 20_000  # rows of one key from which on it is joined by broadcast
 ROUNDS = 200
 
 
 def uuid_key(c: Column) -> Column:
     """A UUID however written as 32 lower-case hexadecimal digits; null for anything else."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(c.cast("string")), r"^\s*(urn:uuid:)?\{?|\}?\s*$", ""), "-", "")
+    t = F.translate(F.lower(F.trim(c.cast("string"))), "{}-", "")
+    bare = F.when(t.startswith("urn:uuid:"), F.substring(t, 10, 64)).otherwise(t)
     return F.when(bare.rlike("^[0-9a-f]{32}$"), bare)
 
 
@@ -35,19 +36,6 @@ def numbered(ids: DataFrame, folder: RunFolder) -> DataFrame:
     return folder.write(ranked.withColumn("n", F.monotonically_increasing_id()), "numbers")
 
 
-def join_minimum(pairs: DataFrame, least: DataFrame, hot: DataFrame) -> DataFrame:
-    """``pairs`` with the ``m`` of their ``v``.
-
-    The rows of hot vertices are not shuffled to one task: ``hot`` has those of
-    ``least`` with at least HOT members, of which a table of n pairs has at most
-    n / HOT, and is broadcast; all others go through a shuffle.
-    """
-    hot = F.broadcast(hot.select("v", F.col("m").alias("hot_m")))
-    marked = pairs.join(hot, "v", "left")
-    cold = marked.filter("hot_m is null").select("v", "u").join(least.filter(F.col("size") < HOT).select("v", "m"), "v")
-    return cold.select("v", "u", "m").unionAll(marked.filter("hot_m is not null").select("v", "u", F.col("hot_m").alias("m")))
-
-
 def hash_to_min(edges: DataFrame, folder: RunFolder) -> DataFrame:
     """``v, m``: each vertex of the BIGINT pairs ``a, b`` with the smallest vertex of its component.
 
@@ -59,16 +47,17 @@ def hash_to_min(edges: DataFrame, folder: RunFolder) -> DataFrame:
     pairs = folder.write(both.unionAll(both.select("v", F.col("v").alias("u"))).distinct(), "round0")
     before = None
     for k in range(1, ROUNDS + 1):
-        least = folder.write(pairs.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size")), f"least{k}")
-        known = join_minimum(pairs, least, least.filter(F.col("size") >= HOT))
-        sent = known.select(F.col("m").alias("v"), "u").unionAll(known.select(F.col("u").alias("v"), F.col("m").alias("u")))
-        pairs = folder.write(sent.distinct(), f"round{k}")
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = pairs.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size"))
+        known = join_hot(pairs, least, "v", "m", "u")
+        sent = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
+        state = Observation()
+        new = known.select(sent.alias("s")).select("s.*").distinct()
+        pairs = folder.write(new.observe(state, F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("b")), f"round{k}")
+        now = state.get
         folder.drop(f"round{k - 1}")
-        folder.drop(f"least{k}")
-        if state == before:
+        if now == before:
             break
-        before = state
+        before = now
     else:
         raise RuntimeError(f"not stable after {ROUNDS} rounds")
     return pairs.groupBy("v").agg(F.min("u").alias("m"))
@@ -91,13 +80,10 @@ def connected_groups(links: DataFrame, left: str, right: str, known: DataFrame |
         there = known.select(key(known[known.columns[0]]).alias("id"))
         ids = ids.distinct().join(there.distinct(), "id", "left_semi")
     numbers = numbered(ids, folder)
-    edges = pairs.join(numbers.select(F.col("id").alias("x"), F.col("n").alias("a")), "x").join(numbers.select(F.col("id").alias("y"), F.col("n").alias("b")), "y")
+    edges = join_hot(pairs, numbers.toDF("x", "a"), "x", "a", "y")
+    edges = join_hot(edges, numbers.toDF("y", "b"), "y", "b", "x").filter("a is not null and b is not null")
     groups = folder.write(hash_to_min(folder.write(edges.select("a", "b"), "edges"), folder), "groups")
-    # The roots' texts: hot roots by broadcast, as in join_minimum.
     sizes = groups.groupBy("m").agg(F.count("*").alias("size"))
     roots = folder.write(sizes.join(numbers.withColumnRenamed("n", "m"), "m").select("m", "size", F.col("id").alias("group_id")), "roots")
-    hot = F.broadcast(roots.filter(F.col("size") >= HOT).select("m", F.col("group_id").alias("hot_id")))
-    marked = groups.join(hot, "m", "left")
-    cold = marked.filter("hot_id is null").select("v", "m").join(roots.filter(F.col("size") < HOT), "m").select("v", "group_id")
-    named = cold.unionAll(marked.filter("hot_id is not null").select("v", F.col("hot_id").alias("group_id")))
+    named = join_hot(groups, roots, "m", "group_id", "v")
     return named.join(numbers.withColumnRenamed("n", "v"), "v").select("group_id", "id")
