@@ -21,6 +21,7 @@ from sigtrace.operators.skew import join_hot
 from sigtrace.sources.shared import RunFolder
 
 ROUNDS = 200
+SETTLE = 4  # rounds after which finished components leave the work, again and again
 
 
 def uuid_key(c: Column) -> Column:
@@ -36,16 +37,33 @@ def numbered(ids: DataFrame, folder: RunFolder) -> DataFrame:
     return folder.write(ranked.withColumn("n", F.monotonically_increasing_id()), "numbers")
 
 
+def settled(pairs: DataFrame, folder: RunFolder, k: int) -> tuple[DataFrame, DataFrame]:
+    """Components that can change no more, as ``v, m``, and the pairs of all others.
+
+    Pairs come in both directions. So if the root of n vertices holds n, itself
+    among them, and all others hold just the root, nobody else holds any of them.
+    """
+    vertices = folder.write(pairs.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size")), f"vertices{k}")
+    of_root = vertices.groupBy("m").agg(F.count("*").alias("n"), F.count_if((F.col("v") != F.col("m")) & (F.col("size") == 1)).alias("single"), F.max(F.when(F.col("v") == F.col("m"), F.col("size"))).alias("held"))
+    of_root = of_root.select("m", F.col("n").alias("size"), ((F.col("held") == F.col("n")) & (F.col("single") == F.col("n") - 1)).alias("done"))
+    known = folder.write(join_hot(vertices.select("v", "m", F.col("size").alias("members")), of_root, "m", "done", "v"), f"known{k}")
+    still = known.filter("not coalesce(done, false)").select("v", F.col("members").alias("size"), F.lit(True).alias("on"))
+    left = folder.write(join_hot(pairs, still, "v", "on", "u").filter("on").select("v", "u"), f"left{k}")
+    folder.drop(f"vertices{k}")
+    return known.filter("done").select("v", "m"), left
+
+
 def hash_to_min(edges: DataFrame, folder: RunFolder) -> DataFrame:
     """``v, m``: each vertex of the BIGINT pairs ``a, b`` with the smallest vertex of its component.
 
     Pairs may repeat, in either direction; pairs of one vertex make it a
-    component of its own. No pairs give no rows.
+    component of its own. No pairs give no rows. Every SETTLE rounds the
+    components that are done leave the work, so long chains alone go on.
     """
     e = edges.select("a", "b").filter("a is not null and b is not null")
     both = e.unionAll(e.select("b", "a")).toDF("v", "u")
-    pairs = folder.write(both.unionAll(both.select("v", F.col("v").alias("u"))).distinct(), "round0")
-    before = None
+    pairs, name = folder.write(both.unionAll(both.select("v", F.col("v").alias("u"))).distinct(), "round0"), "round0"
+    before, done = None, []
     for k in range(1, ROUNDS + 1):
         least = pairs.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("size"))
         known = join_hot(pairs, least, "v", "m", "u")
@@ -53,14 +71,23 @@ def hash_to_min(edges: DataFrame, folder: RunFolder) -> DataFrame:
         state = Observation()
         new = known.select(sent.alias("s")).select("s.*").distinct()
         pairs = folder.write(new.observe(state, F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("b")), f"round{k}")
+        folder.drop(name)
+        name = f"round{k}"
         now = state.get
-        folder.drop(f"round{k - 1}")
-        if now == before:
+        if now == before or not now["n"]:
             break
         before = now
+        if k % SETTLE == 0:
+            found, pairs = settled(pairs, folder, k)
+            done.append(found)
+            folder.drop(name)
+            name, before = f"left{k}", None
     else:
         raise RuntimeError(f"not stable after {ROUNDS} rounds")
-    return pairs.groupBy("v").agg(F.min("u").alias("m"))
+    out = pairs.groupBy("v").agg(F.min("u").alias("m"))
+    for found in done:
+        out = out.unionByName(found)
+    return out
 
 
 def connected_groups(links: DataFrame, left: str, right: str, known: DataFrame | None = None, key=None) -> DataFrame:
