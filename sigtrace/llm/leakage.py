@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,35 +24,48 @@ from pyspark.sql import types as T
 WORDS, CHARS = 14, 24  # the least passage, in words, or in characters of scripts without blanks
 EACH = 7  # one error for so many words
 SEED_WORDS, SEED_CHARS = 4, 5  # the longest right stretch is at least as long in any passage
+MOST_KNOWN = 1 << 18  # forms of words that a task keeps
 MOST_ITEM_BYTES = 64 << 20  # of the test items' texts: they are held by every task
 
-_UNIT = re.compile(r"[㐀-鿿豈-﫿぀-ヿ\U00020000-\U0003FFFF]|(?:(?![㐀-鿿豈-﫿぀-ヿ\U00020000-\U0003FFFF])[^\W_])+")
-_INNER = re.compile(r"(?<=\w)['’‘ʼ`´\-‐‑‒­​]+(?=\w)")
-_WIDE = re.compile(r"[㐀-鿿豈-﫿぀-ヿ\U00020000-\U0003FFFF]\Z")
+_CJK = "㐀-鿿豈-﫿぀-ヿ\U00020000-\U0003FFFF"
+_JOIN = "['’‘ʼ`´\\-‐‑‒­​]"
+_UNIT = regex.compile(rf"(?V1)[{_CJK}]|[\w--[_{_CJK}]]+(?:{_JOIN}+[\w--[_{_CJK}]]+)*")
+_ASCII = re.compile(r"[A-Za-z0-9]+(?:['`\-]+[A-Za-z0-9]+)*")
+_JOINS = re.compile(f"{_JOIN}+")
+_WIDE = re.compile(rf"[{_CJK}]\Z")
 
 
-def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """The normalised words of a text, and where each lies in the original.
+def words(text: str, known: dict[str, str] | None = None) -> list[str]:
+    """The normalised words of a text.
 
     Case, punctuation, quote marks, blanks and line breaks do not count; a
     hyphen or apostrophe inside a word is left out; of scripts without blanks
     each character is a word. Letters are compared in compatibility form.
+    ``known`` keeps the forms of words that were met before.
     """
-    joins = {m.start(): m.end() for m in _INNER.finditer(text)}
-    found, places = [], []
-    last = -1
-    for m in _UNIT.finditer(text):
-        w = m.group().casefold()
-        if not w.isascii():
-            w = unicodedata.normalize("NFKC", w).casefold()
-        if found and joins.get(last) == m.start() and not _WIDE.match(w) and not _WIDE.match(found[-1]):
-            found[-1] += w
-            places[-1] = (places[-1][0], m.end())
-        else:
-            found.append(w)
-            places.append((m.start(), m.end()))
-        last = m.end()
-    return found, places
+    if text.isascii():
+        found = _ASCII.findall(text.lower())
+        if "-" in text or "'" in text or "`" in text:
+            return [w if w.isalnum() else _JOINS.sub("", w) for w in found]
+        return found
+    known = {} if known is None else known
+    found = _UNIT.findall(text)
+    try:
+        return [known[w] for w in found]
+    except KeyError:
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        for w in set(found):
+            n = w.casefold()
+            if not n.isascii():
+                n = unicodedata.normalize("NFKC", n).casefold()
+            known[w] = n if n.isalnum() else _JOINS.sub("", n)
+        return [known[w] for w in found]
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Where each of the ``words`` lies in the text, in code points."""
+    return [m.span() for m in (_ASCII if text.isascii() else _UNIT).finditer(text)]
 
 
 def is_wide(item: list[str]) -> bool:
@@ -108,10 +122,12 @@ class Leaks:
         self.ids: list[int] = []
         self.least: list[int] = []
         self.texts: list[np.ndarray] = []
+        self.words: list[list[str]] = []
+        self.known: dict[str, str] = {}
         codes: dict[str, int] = {}
         seeds: dict[str, list[tuple[int, int]]] = {}
         for ident, text in items:
-            item, _ = words(text)
+            item = words(text)
             wide = is_wide(item)
             least, seed = (CHARS, SEED_CHARS) if wide else (WORDS, SEED_WORDS)
             if len(item) < least:
@@ -119,6 +135,7 @@ class Leaks:
             k = len(self.ids)
             self.ids.append(ident)
             self.least.append(least)
+            self.words.append(item)
             self.texts.append(np.array([codes.setdefault(w, len(codes)) for w in item], np.int32))
             for i in range(len(item) - seed + 1):
                 seeds.setdefault(" " + " ".join(item[i : i + seed]) + " ", []).append((k, i))
@@ -134,7 +151,7 @@ class Leaks:
         """(item, first, end) of the items a text gives away, with code point offsets of one passage each."""
         if not self.any:
             return []
-        doc, places = words(text)
+        doc = words(text, self.known)
         if len(doc) < min(WORDS, CHARS) - min(WORDS, CHARS) // EACH:
             return []
         line = " " + " ".join(doc) + " "
@@ -147,16 +164,15 @@ class Leaks:
             for k, i in where:
                 hits.setdefault(k, []).append((last - seed + 1, i))
         out = []
-        coded = None
+        spans: list[tuple[int, int]] = []
         for k, found in hits.items():
-            if coded is None:
-                coded = np.array([self.codes.get(w, -1) for w in doc], np.int32)
-            passage = self.verify(k, found, coded)
+            passage = self.verify(k, found, doc)
             if passage:
-                out.append((self.ids[k], places[passage[0]][0], places[min(passage[1], len(places) - 1)][1]))
+                spans = spans or places(text)
+                out.append((self.ids[k], spans[passage[0]][0], spans[min(passage[1], len(spans) - 1)][1]))
         return out
 
-    def verify(self, k: int, found: list[tuple[int, int]], doc: np.ndarray) -> tuple[int, int] | None:
+    def verify(self, k: int, found: list[tuple[int, int]], doc: list[str]) -> tuple[int, int] | None:
         """Align around the places found.
 
         A passage of 2 * least words or more can be halved so that one half is a
@@ -176,7 +192,16 @@ class Leaks:
                 groups.append(new)
         for i0, i1, d0, d1 in groups:
             i0, d0 = max(i0, 0), max(d0, 0)
-            part, around = item[i0:i1], doc[d0:d1]
+            near = set(doc[d0:d1])
+            there = [w in near for w in self.words[k][i0:i1]]
+            count = best = sum(there[:least])
+            for out, new in zip(there, there[least:]):
+                count += new - out
+                if count > best:
+                    best = count
+            if best < least - most or len(there) < least:
+                continue
+            part, around = item[i0:i1], np.array([self.codes.get(w, -1) for w in doc[d0:d1]], np.int32)
             if not enough(part, around, least, most):
                 continue
             passage = holds(part, around, least)
