@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from sigtrace.functions.trees import Number, parse
 from sigtrace.operators.components import smallest_labels
 from sigtrace.operators.ordered import with_neighbours, with_position
+from sigtrace.sources.shared import RunFolder
 
 OPENED = "transport"  # the one object whose members are fields of their own
 BLOCK = 4096
@@ -184,13 +185,13 @@ class Drift:
 def drift(files: DataFrame, lines: DataFrame, write=None) -> Drift:
     """All changes of fields from each file to the next of its stream.
 
-    ``write(df, name)`` keeps an intermediate table (shared.RunFolder.write);
-    without it plans are only composed. Lines that are no JSON object are
+    ``write(df, name)`` keeps an intermediate table (by default in a run folder
+    of its own), as each is used several times. Lines that are no JSON object are
     ignored, files without any such line have no fields, lines of unknown files
     count nowhere, and null values are no values. Files of the same
     ``file_seq`` follow each other by ``file_id``.
     """
-    keep = write or (lambda df, name: df)
+    keep = write or RunFolder(files.sparkSession, "drift").write
     where = keep(positions(files), "positions")
     types = keep(catalogue(lines).join(where, "file_id"), "catalogue")
     last = where.groupBy("stream_id").agg(F.max("pos").alias("last"))
