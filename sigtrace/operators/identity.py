@@ -47,8 +47,8 @@ def chain(obs: DataFrame, by: list[str], frame: str, ident: str) -> DataFrame:
 def together(obs: DataFrame, event: str, ident: str, kind: str, kinds: list[str]) -> DataFrame:
     """Pairs of observations of one event of different kinds (by place in ``kinds``).
 
-    An event holds at most one observation per kind and value, so its pairs are
-    few; events are spread by id.
+    All pairs of an event are built, so their number grows with the square of
+    its observations; ``linked`` counts pairs without building them.
     """
     place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind))
     o = obs.withColumn("_p", place).filter("_p > 0")
@@ -57,6 +57,25 @@ def together(obs: DataFrame, event: str, ident: str, kind: str, kinds: list[str]
     return a.join(b, event).filter("_a < _b").drop("_a", "_b")
 
 
+def linked(obs: DataFrame, event: str, kind: str) -> DataFrame:
+    """Pairs of observations linked by a common event, per ``left_kind`` and ``right_kind``: ``n_pairs``, ``n_events``.
+
+    Observations of different node types are linked, and those of access
+    contexts also with each other, of one kind too. Left is the lesser by node
+    type, then kind. An event's pairs of two kinds are the product of its counts
+    of each, so none are built and a large event costs no more than a small one.
+    """
+    n = obs.groupBy(event, kind).agg(F.count("*").alias("_n")).select(event, F.struct(node_type(F.col(kind)).alias("t"), F.col(kind).alias("k"), F.col("_n").alias("n")).alias("_x"))
+    each = n.groupBy(event).agg(F.collect_list("_x").alias("_x"))  # as many as there are kinds
+    pair = each.select(event, F.explode("_x").alias("a"), "_x").select(event, "a", F.explode("_x").alias("b"))
+    same = F.col("a.k") == F.col("b.k")
+    access = (F.col("a.t") == "ACCESS_CONTEXT") & (F.col("b.t") == "ACCESS_CONTEXT")
+    pair = pair.filter((F.col("a.t") < F.col("b.t")) | (access & (F.col("a.k") <= F.col("b.k"))))
+    pairs = F.when(same, F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
+    p = pair.select(F.col("a.k").alias("left_kind"), F.col("b.k").alias("right_kind"), pairs.alias("_n")).filter("_n > 0")
+    return p.groupBy("left_kind", "right_kind").agg(F.sum("_n").alias("n_pairs"), F.count("*").alias("n_events"))
+
+
 def node_table(obs: DataFrame, key: list[str]) -> DataFrame:
     """Nodes: first and last frame and time, provisional if any observation is, and how many there are."""
     return obs.groupBy(*key).agg(

@@ -172,9 +172,7 @@ def observation_kinds(spark, d):
 @query("""WITH o AS (SELECT event_id, kind, lookup_value, min(frame) AS frame FROM identity_observations WHERE event_id IS NOT NULL GROUP BY ALL)
     SELECT a.kind AS left_kind, b.kind AS right_kind, count(*) AS n_pairs, count(DISTINCT a.event_id) AS n_events FROM o a JOIN o b ON a.event_id = b.event_id AND a.kind = 'amf_ue_ngap_id' AND b.kind IN ('ran_ue_ngap_id', 'supi', 'suci') GROUP BY 1, 2""")
 def cooccurrence_pairs(spark, d):
-    o = _obs(spark, d)
-    p = I.together(o, "event_id", "lookup_value", "kind", ["amf_ue_ngap_id", "ran_ue_ngap_id", "supi", "suci"]).filter("left_kind = 'amf_ue_ngap_id'")
-    return p.groupBy("left_kind", "right_kind").agg(F.count("*").alias("n_pairs"), F.count_distinct("event_id").alias("n_events"))
+    return I.linked(_obs(spark, d), "event_id", "kind")
 
 
 @query("""WITH o AS (SELECT DISTINCT observation_id, kind, lookup_value, scope_key, frame FROM identity_observations), c AS (

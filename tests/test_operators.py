@@ -12,6 +12,7 @@ from sigtrace.operators.components import smallest_labels
 from sigtrace.operators.match import EventMatcher, any_matcher, condition
 from sigtrace.operators.phases import sweep
 from sigtrace.operators.skew import join_hot
+from sigtrace.plans import captures
 from sigtrace.sources.jsonl import authorised, read_documents, read_lines, read_records, split_lines
 from sigtrace.sources.shared import RunFolder
 from sigtrace.sources.sinks import publish, verify
@@ -185,6 +186,27 @@ def test_identifiers_and_conflicts(spark):
     assert [tuple(r) for r in identity.conflicts(b, "a", "b", [F.col("f")]).collect()] == [("x", 2, "t")]
 
 
+def test_linked_counts_all_kinds(spark):
+    rnd = random.Random(5)
+    kinds = ["supi", "suci", "guti", "amf_ue_ngap_id", "ran_ue_ngap_id", "pdu_session_id", "sm_context_ref", "cp_seid", "up_seid"]
+    rows = sorted({(e, rnd.choice(kinds), str(rnd.randint(0, 30))) for e in (1, 1, 1, 2, 3, 4) for _ in range(20)})
+    node = lambda k: next((t for t, ks in identity.NODE_TYPES.items() if k in ks), "PFCP_SESSION")
+    want = {}
+    for e in range(1, 5):
+        group = sorted((node(k), k, v) for x, k, v in rows if x == e)
+        for i, a in enumerate(group):
+            for b in group[i + 1 :]:
+                if a[0] != b[0] or a[0] == "ACCESS_CONTEXT":
+                    want.setdefault((a[1], b[1]), []).append(e)
+    got = {(r.left_kind, r.right_kind): (r.n_pairs, r.n_events) for r in identity.linked(spark.createDataFrame(rows, "event_id int, kind string, lookup_value string"), "event_id", "kind").collect()}
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()} and ("amf_ue_ngap_id", "amf_ue_ngap_id") in got
+
+
+def test_cooccurrence_pairs_over_all_kinds(spark, data):
+    got = {(r.left_kind, r.right_kind) for r in captures.cooccurrence_pairs(spark, data).collect()}
+    assert {("cp_seid", "guti"), ("pdu_session_id", "sm_context_ref"), ("ran_ue_ngap_id", "supi")} <= got
+
+
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"a":1}\n\nbroken\n[1]\n{"a":2}\n{"a":3} more\n')
