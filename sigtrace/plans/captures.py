@@ -21,6 +21,8 @@ SQL: dict[str, str] = {}
 
 # Names of PFCP message types.
 PFCP_NAMES = {"1": "HEARTBEAT_REQUEST", "2": "HEARTBEAT_RESPONSE", "50": "SESSION_ESTABLISHMENT_REQUEST", "51": "SESSION_ESTABLISHMENT_RESPONSE", "52": "SESSION_MODIFICATION_REQUEST", "53": "SESSION_MODIFICATION_RESPONSE", "54": "SESSION_DELETION_REQUEST", "55": "SESSION_DELETION_RESPONSE"}
+# PFCP message types that are responses (TS 29.244, table 7.3-1).
+PFCP_RESPONSES = ["2", "4", "6", "8", "10", "11", "13", "15", "17", "51", "53", "55", "57"]
 
 NUM = "CASE WHEN trim({0}) ILIKE '0x%' THEN CAST(CAST(lower(trim({0})) AS UBIGINT) AS VARCHAR) ELSE CAST(TRY_CAST(trim({0}) AS UBIGINT) AS VARCHAR) END"
 
@@ -72,11 +74,22 @@ def node_pairs(spark, d):
     SELECT analysis_id, seq, count(*) AS n_messages, min(frame) AS first_frame, count(*) FILTER (typ IN ('51', '53', '55')) AS n_responses,
     CASE WHEN bool_or(cause NOT IN ('', '1')) THEN 'failure' WHEN bool_or(typ IN ('51', '53', '55') AND cause = '1') THEN 'success' ELSE 'unknown' END AS outcome FROM n GROUP BY analysis_id, seq""")
 def pfcp_transactions(spark, d):
-    m = read(spark, d, "pfcp_messages").select("analysis_id", number_text(F.col("seq_num")).alias("seq"), number_text(F.col("msg_type")).alias("typ"), "frame", F.regexp_extract(F.coalesce("pfcp", F.lit("")), r'"cause"\s*:\s*"([^"]*)"', 1).alias("cause"))
-    m = m.filter(F.col("typ").isin("50", "51", "52", "53", "54", "55"))
-    response = F.col("typ").isin("51", "53", "55")
+    """All messages by what they answer, else by node pair, sequence and SEID; the parts of the key not used are null.
+
+    The SEID is that of the tree, else the message's, else the PDU session.
+    Texts that name one number are one. A tree that can't be read keeps the cause in its text.
+    """
+    wanted = {"cp": ["cpseid", "cp-f-seid", "f-seid"], "up": ["upseid", "up-f-seid"], "pdu": ["pdusessionid", "pdu-session-id"], "cause": ["cause"]}
+    m = read(spark, d, "pfcp_messages").select("analysis_id", "frame", "seq_num", "msg_type", "seid", "response_to", "pfcp", X.pair_key(F.col("transport.src_ip"), F.col("transport.dst_ip")).alias("pair"), X.first_values(F.col("pfcp"), wanted).alias("v"))
+    answered = number_text(F.nullif(F.col("response_to"), F.lit("None")))
+    seid = F.coalesce(number_text(F.col("v.cp")), number_text(F.col("v.up")), number_text(F.col("seid")), F.nullif(number_text(F.col("v.pdu")), F.lit("0")))
+    cause = F.coalesce(F.trim("v.cause"), F.regexp_extract("pfcp", r'"cause"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    m = m.select("analysis_id", "frame", "pair", answered.alias("response_to"), number_text(F.col("seq_num")).alias("seq"), seid.alias("seid"), number_text(F.col("msg_type")).alias("typ"), cause.alias("cause"))
+    own = lambda c: F.when(F.col("response_to").isNull(), F.col(c))
+    response = F.coalesce(F.col("typ").isin(PFCP_RESPONSES), F.lit(False))
     outcome = F.when(F.bool_or(~F.col("cause").isin("", "1")), "failure").when(F.bool_or(response & (F.col("cause") == "1")), "success").otherwise("unknown")
-    return m.groupBy("analysis_id", "seq").agg(F.count("*").alias("n_messages"), F.min("frame").alias("first_frame"), F.count_if(response).alias("n_responses"), outcome.alias("outcome"))
+    g = m.groupBy("analysis_id", "response_to", own("pair").alias("node_pair"), own("seq").alias("seq"), own("seid").alias("seid"))
+    return g.agg(F.count("*").alias("n_messages"), F.min("frame").alias("first_frame"), F.count_if(response).alias("n_responses"), outcome.alias("outcome"))
 
 
 @query("""WITH t AS (SELECT row_id, lower(ngap) AS t FROM ngap_messages)

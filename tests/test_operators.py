@@ -207,6 +207,37 @@ def test_cooccurrence_pairs_over_all_kinds(spark, data):
     assert {("cp_seid", "guti"), ("pdu_session_id", "sm_context_ref"), ("ran_ue_ngap_id", "supi")} <= got
 
 
+def test_pfcp_transactions_of_all_messages(spark, tmp_path):
+    a, b, c = "10.0.0.1", "10.0.0.2", "10.0.0.3"
+    rows = [  # frame, src, dst, type, sequence, seid, response_to, tree
+        (1, a, b, "50", "7", "0x0a", None, '{"pfcp.seid":"0x0a"}'),
+        (2, b, a, "0x33", "7", "10", "", '{"cause":"1"}'),
+        (3, a, c, "50", "7", "10", "None", "{}"),  # another peer with the same sequence
+        (4, a, b, "50", "7", "11", None, "{}"),  # another session
+        (5, b, a, "57", "8", None, "99", '{"x":"{\\"cause\\":\\"65\\"}"}'),
+        (6, c, a, "57", "9", "5", "99", '{"cause":"1"}'),
+        (7, a, b, "1", "12", None, None, "{}"),
+        (8, b, a, "2", "0x0c", None, None, None),
+        (9, a, b, "5", "13", None, None, '{"pdu_session_id":"3"}'),
+        (10, b, a, "6", "13", None, None, '{"pdu_session_id":"3","cause":"1"}'),
+        (11, a, None, None, None, None, None, '{"cause":"64", cut'),
+    ]
+    schema = "frame long, src_ip string, dst_ip string, msg_type string, seq_num string, seid string, response_to string, pfcp string"
+    df = spark.createDataFrame(rows, schema).select("*", F.struct("src_ip", "dst_ip").alias("transport"), F.lit("x").alias("analysis_id"))
+    df.write.parquet(str(tmp_path / "pfcp_messages.parquet"))
+    got = {(r.response_to, r.node_pair, r.seq, r.seid): (r.n_messages, r.first_frame, r.n_responses, r.outcome) for r in captures.pfcp_transactions(spark, str(tmp_path)).collect()}
+    ab, ac = f"{a}->{b}", f"{a}->{c}"
+    assert got == {
+        (None, ab, "7", "10"): (2, 1, 1, "success"),
+        (None, ac, "7", "10"): (1, 3, 0, "unknown"),
+        (None, ab, "7", "11"): (1, 4, 0, "unknown"),
+        ("99", None, None, None): (2, 5, 2, "failure"),
+        (None, ab, "12", None): (2, 7, 1, "unknown"),
+        (None, ab, "13", "3"): (2, 9, 1, "success"),
+        (None, None, None, None): (1, 11, 0, "failure"),
+    }
+
+
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"a":1}\n\nbroken\n[1]\n{"a":2}\n{"a":3} more\n')
