@@ -366,7 +366,7 @@ def phase_sweep(spark, d):
 
 def _phases(spark, d):
     folder = RunFolder(spark, "sweep")
-    a = folder.write(_attempts(spark, d), "attempts").filter("outcome = 'failed'")
+    a = folder.write(_attempts(spark, d), "attempts")
     lo, hi = canonical(spark, d).agg(F.min("frame"), F.max("frame")).first()
     return folder.write(sweep(a, "start_frame", "end_frame", 20, lo or 0, hi or 0), "phases")
 

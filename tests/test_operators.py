@@ -12,7 +12,7 @@ from sigtrace.operators.components import smallest_labels
 from sigtrace.operators.match import EventMatcher, any_matcher, condition
 from sigtrace.operators.phases import sweep
 from sigtrace.operators.skew import join_hot
-from sigtrace.plans import captures
+from sigtrace.plans import captures, events
 from sigtrace.sources.jsonl import authorised, read_documents, read_lines, read_records, split_lines
 from sigtrace.sources.shared import RunFolder
 from sigtrace.sources.sinks import publish, verify
@@ -238,6 +238,17 @@ def test_pfcp_transactions_of_all_messages(spark, tmp_path):
     }
 
 
+def test_phases_sweep_all_attempts(spark, data):
+    spans = [(r.start_frame, r.end_frame) for r in events.attempt_segments(spark, data).collect()]
+    last = max(b for _, b in spans)
+    first = min(a for a, _ in spans)
+    for r in events.phase_sweep(spark, data).collect():
+        for f in (r.from_frame, r.to_frame):
+            n = sum(max(a - 20, first) <= f <= min(b + 20, last) for a, b in spans)
+            assert (r.n_active, r.phase == "attempt_active") == (n, n > 0)
+    assert events.event_phases(spark, data).filter("phase != 'attempt_active'").count() == 0  # each event is of an attempt
+
+
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"a":1}\n\nbroken\n[1]\n{"a":2}\n{"a":3} more\n')
