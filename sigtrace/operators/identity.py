@@ -97,3 +97,22 @@ def aliases(nodes: DataFrame, kind: str, frame: str, ident: str) -> DataFrame:
 def conflicts(bindings: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
     """Left ids bound to more than one right id: how many, and the first."""
     return bindings.filter(F.col(right).isNotNull()).groupBy(left).agg(F.count_distinct(right).alias("n_values"), earliest(F.col(right), *order).alias("first_value")).filter("n_values > 1")
+
+
+def bound_conflicts(left: DataFrame, right: DataFrame, event: str) -> DataFrame:
+    """Keys bound to more than one value by common events: ``k``, ``kind``, ``n_values``, ``first_value`` by frame, then value.
+
+    ``left`` has distinct ``event``, ``k``, ``frame`` and ``right`` distinct
+    ``event``, ``kind``, ``value``. A key starts from the number of values of
+    its largest event and only values of its other events are looked up in that
+    one, so no pairs are built of a large event and the keys that it alone has.
+    """
+    sizes = right.groupBy(event, "kind").agg(F.count("*").alias("n"), F.min("value").alias("first"))
+    b = left.join(sizes, event)
+    g = b.groupBy("k", "kind").agg(F.max(F.struct("n", F.col(event).alias("event"))).alias("base"), F.count("*").alias("_events"), earliest(F.col("first"), F.col("frame"), F.col("first")).alias("first_value"))
+    more = g.filter("_events > 1").select("k", "kind", F.col("base.event").alias("_base"))
+    rest = b.select("k", "kind", event).join(more, ["k", "kind"]).filter(F.col(event) != F.col("_base")).join(right, [event, "kind"]).select("k", "kind", "_base", "value").distinct()
+    held = right.select(F.col(event).alias("_base"), "kind", "value")
+    extra = rest.join(held, ["_base", "kind", "value"], "left_anti").groupBy("k", "kind").agg(F.count("*").alias("_more"))
+    n = g.join(extra, ["k", "kind"], "left").select("k", "kind", (F.col("base.n") + F.coalesce("_more", F.lit(0))).alias("n_values"), "first_value")
+    return n.filter("n_values > 1")

@@ -214,10 +214,13 @@ def node_aliases(spark, d):
     b AS (SELECT a.lookup_value AS access_id, s.lookup_value AS subscriber, a.frame FROM o a JOIN o s ON a.event_id = s.event_id AND a.kind = 'amf_ue_ngap_id' AND s.kind = 'supi')
     SELECT access_id, count(DISTINCT subscriber) AS n_values, arg_min(subscriber, (frame, subscriber)) AS first_value FROM b GROUP BY access_id HAVING count(DISTINCT subscriber) > 1""")
 def identity_conflicts(spark, d):
-    o = _obs(spark, d)
-    a = o.filter("kind = 'amf_ue_ngap_id'").select("event_id", F.col("lookup_value").alias("access_id"), "frame")
-    s = o.filter("kind = 'supi'").select("event_id", F.col("lookup_value").alias("subscriber"))
-    return I.conflicts(a.join(s, "event_id"), "access_id", "subscriber", [F.col("frame"), F.col("subscriber")])
+    """Access identifiers, each in its scope, bound to several values of one kind of subscriber identifier."""
+    o = read(spark, d, "identity_observations").filter("event_id is not null and lookup_value is not null").withColumn("type", I.node_type(F.col("kind")))
+    key = F.struct(F.col("kind").alias("access_kind"), F.col("lookup_value").alias("access_id"), "scope_key").alias("k")
+    a = o.filter("type = 'ACCESS_CONTEXT'").groupBy("event_id", key).agg(F.min("frame").alias("frame"))
+    u = o.filter("type = 'UE'").select("event_id", "kind", F.col("lookup_value").alias("value")).distinct()
+    c = I.bound_conflicts(a, u, "event_id")
+    return c.select("k.access_kind", "k.access_id", "k.scope_key", F.col("kind").alias("ue_kind"), "n_values", "first_value")
 
 
 @query()

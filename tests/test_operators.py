@@ -249,6 +249,26 @@ def test_phases_sweep_all_attempts(spark, data):
     assert events.event_phases(spark, data).filter("phase != 'attempt_active'").count() == 0  # each event is of an attempt
 
 
+def test_identity_conflicts_of_all_kinds(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = []
+    for _ in range(500):
+        e, kind = rnd.choice([1, 1, 1, *range(2, 40)]), rnd.choice(["amf_ue_ngap_id", "ran_ue_ngap_id", "supi", "suci", "guti", "cp_seid"])
+        rows.append((f"e{e}", kind, str(rnd.randint(0, 60)), rnd.choice(["s", "t", None]) if "ngap" in kind else "u", rnd.randint(0, 99)))
+    df = spark.createDataFrame(rows, "event_id string, kind string, lookup_value string, scope_key string, frame long")
+    df.write.parquet(str(tmp_path / "identity_observations.parquet"))
+    bound = {}
+    for e, kind, v, scope, _ in rows:
+        if "ngap" in kind:
+            frame = min(r[4] for r in rows if r[:4] == (e, kind, v, scope))
+            for x in rows:
+                if x[0] == e and x[1] in ("supi", "suci", "guti"):
+                    bound.setdefault((kind, v, scope, x[1]), set()).add((frame, x[2]))
+    want = {(*k, n, min(b)[1]) for k, b in bound.items() if (n := len({v for _, v in b})) > 1}
+    got = [tuple(r) for r in captures.identity_conflicts(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and len({(k[0], k[3]) for k in want}) == 6
+
+
 def test_files_in_and_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text('{"a":1}\n\nbroken\n[1]\n{"a":2}\n{"a":3} more\n')
