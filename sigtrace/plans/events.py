@@ -422,5 +422,5 @@ def lifecycle_transitions(spark, d):
 
 @query()
 def stream_sessions(spark, d):
-    """Sessions of the stream that the watermark has closed, by the session window of Structured Streaming."""
-    return run_sessions(file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "12 hours", "1 hour", RunFolder(spark, "sessions"))
+    """All sessions of the stream, those open at its end too."""
+    return run_sessions(file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "12 hours", RunFolder(spark, "sessions"))

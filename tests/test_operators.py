@@ -16,7 +16,7 @@ from sigtrace.plans import captures, events
 from sigtrace.sources.jsonl import authorised, read_documents, read_lines, read_records, split_lines
 from sigtrace.sources.shared import RunFolder
 from sigtrace.sources.sinks import publish, verify
-from sigtrace.streaming.sessions import sessions
+from sigtrace.streaming.sessions import run_sessions, sessions
 
 
 def test_uuid_and_mask(spark):
@@ -295,3 +295,29 @@ def test_files_in_and_out(spark, tmp_path):
 def test_sessions_in_batch(spark):
     df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP'2026-01-01 00:00:00'), (1, TIMESTAMP'2026-01-01 00:05:00'), (1, TIMESTAMP'2026-01-01 01:00:00'), (2, TIMESTAMP'2026-01-01 00:01:00') t(u, ts)")
     assert sorted((r.u, r.n_events) for r in sessions(df, "u", "ts", "10 minutes", "1 hour").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_run_sessions_keeps_late_and_open_ones(spark, tmp_path):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([1, 2, 3, None]), rnd.randint(0, 3000)) for _ in range(300)] + [(9, 0), (9, 10), (9, 20), (9, 31)]  # minutes
+    rnd.shuffle(rows)
+    for i in range(6):  # the last file's events are late for all others
+        part = rows[i::6] + [(7, 5000 - 900 * i), (8, 1000 - 5 * i)]
+        spark.createDataFrame(part, "u int, m long").select("u", F.timestamp_seconds(F.col("m") * 60).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("u int, ts timestamp").option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "e"))
+    whole = spark.read.parquet(str(tmp_path / "e"))
+    want, by = [], {}
+    for r in whole.select("u", (F.unix_seconds("ts") / 60).cast("long").alias("m")).collect():
+        by.setdefault(r.u, []).append(r.m)
+    for u, ms in by.items():
+        ms.sort()
+        cuts = [0, *[i for i in range(1, len(ms)) if ms[i] - ms[i - 1] > 10], len(ms)]
+        want += [(str(u), ms[a], ms[b - 1], b - a) for a, b in zip(cuts, cuts[1:])]
+    flat = lambda s: sorted((str(r.u), int(r.start.timestamp()) // 60, int(r.last.timestamp()) // 60, r.n_events) for r in s.collect())
+    folder = RunFolder(spark, "t")
+    assert flat(sessions(whole, "u", "ts", "10 minutes", "1 hour")) == sorted(want)
+    assert flat(run_sessions(stream, "u", "ts", "10 minutes", folder)) == sorted(want)
+    assert flat(run_sessions(stream, "u", "ts", "10 minutes", folder)) == sorted(want)  # goes on where it stopped
+    (tmp_path / "none").mkdir()
+    none = spark.readStream.schema("u int, ts timestamp").parquet(str(tmp_path / "none"))
+    assert run_sessions(none, "u", "ts", "10 minutes", RunFolder(spark, "t")).count() == 0
