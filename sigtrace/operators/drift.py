@@ -6,9 +6,10 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,6 +20,7 @@ from sigtrace.sources.shared import RunFolder
 
 OPENED = "transport"  # the one object whose members are fields of their own
 BLOCK = 4096
+FLAGS = ("all_integers", "longs", "doubles")  # of a field's values, see catalogue
 
 
 def fields_of(line: str | None, opened: str = OPENED) -> dict | None:
@@ -72,11 +74,25 @@ def _is_integer(s: str) -> bool:
     return len(s) <= 18 and s.isascii() and (s[1:] if s[:1] == "-" else s).isdigit()
 
 
+def _is_long(s: str) -> bool:
+    """Whether BIGINT holds a JSON integer."""
+    return len(s) <= 18 or len(s) <= 20 and -(1 << 63) <= int(s) < 1 << 63
+
+
+def _is_double(s: str) -> bool:
+    """Whether a JSON number comes back from DOUBLE with the same value, written with up to 17 digits."""
+    if len(s) <= 15 and "e" not in s and "E" not in s:
+        return True
+    f = float(s)
+    return f - f == 0 and Decimal(repr(f)) == Decimal(s)
+
+
 def catalogue(lines: DataFrame) -> DataFrame:
-    """``file_id, field, kind, n_values, all_integers`` of each file's fields with a value other than null.
+    """``file_id, field, kind, n_values, all_integers, longs, doubles`` of each file's fields with a value other than null.
 
     ``all_integers`` says that every value's text is an integer of up to 18
-    digits. Counts are made up within each task first.
+    digits, ``longs`` and ``doubles`` that every number is one that BIGINT and
+    DOUBLE hold. Counts are made up within each task first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,16 +102,19 @@ def catalogue(lines: DataFrame) -> DataFrame:
                 for name, v in (fields_of(line) or {}).items():
                     if v is None:
                         continue
-                    at = counts.setdefault((fid, _utf8(name), kind_of(v)), [0, True])
+                    at = counts.setdefault((fid, _utf8(name), kind_of(v)), [0, True, True, True])
                     at[0] += 1
                     at[1] = at[1] and isinstance(v, str) and _is_integer(v)
+                    if type(v) is Number:
+                        at[2] = at[2] and v.kind == "integer" and _is_long(v)
+                        at[3] = at[3] and _is_double(v)
             if counts:
                 fid, name, kind = zip(*counts)
-                n, whole = zip(*counts.values())
-                yield pa.record_batch([pa.array(fid, pa.int64()), pa.array(name), pa.array(kind), pa.array(n, pa.int64()), pa.array(whole)], names=["file_id", "field", "kind", "n_values", "all_integers"])
+                n, *flags = zip(*counts.values())
+                yield pa.record_batch([pa.array(fid, pa.int64()), pa.array(name), pa.array(kind), pa.array(n, pa.int64()), *map(pa.array, flags)], names=["file_id", "field", "kind", "n_values", *FLAGS])
 
-    found = lines.select(F.col("file_id").cast("bigint"), F.col("line").cast("string")).mapInArrow(run, "file_id bigint, field string, kind string, n_values bigint, all_integers boolean")
-    return found.groupBy("file_id", "field", "kind").agg(F.sum("n_values").alias("n_values"), F.bool_and("all_integers").alias("all_integers"))
+    found = lines.select(F.col("file_id").cast("bigint"), F.col("line").cast("string")).mapInArrow(run, "file_id bigint, field string, kind string, n_values bigint, " + ", ".join(f"{f} boolean" for f in FLAGS))
+    return found.groupBy("file_id", "field", "kind").agg(F.sum("n_values").alias("n_values"), *[F.bool_and(f).alias(f) for f in FLAGS])
 
 
 def positions(files: DataFrame) -> DataFrame:
@@ -228,8 +247,17 @@ def drift(files: DataFrame, lines: DataFrame, write=None) -> Drift:
 
 
 MOST_FIELDS = 5_000  # distinct names of fields: the alias table and the columns of the consistent table
-# The casts, from the kinds that all values of a field have.
-CASTS = {"bigint": ("integer",), "double": ("integer", "number"), "boolean": ("boolean",)}
+
+
+def holding() -> Column:
+    """The type that holds all values of a field with ``kinds`` and the flags of the catalogue; string if no other does."""
+    only = lambda *k: F.size(F.array_except("kinds", F.array(*[F.lit(x) for x in k]))) == 0
+    return (
+        F.when(only("boolean"), "boolean")
+        .when(F.col("all_integers") & only("integer", "string") | F.col("longs") & only("integer"), "bigint")
+        .when(F.col("doubles") & only("integer", "number") & ~only("integer"), "double")
+        .otherwise("string")
+    )
 
 
 def aliases(files: DataFrame, found: Drift, write) -> DataFrame:
@@ -242,18 +270,14 @@ def aliases(files: DataFrame, found: Drift, write) -> DataFrame:
     kind = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("protocol", F.lit("")).alias("protocol"))
     c = found.catalogue.join(kind, "file_id")
     names = c.groupBy("protocol", F.col("field").alias("name")).agg(
-        F.count_distinct("file_id").alias("n_files"), F.collect_set("kind").alias("kinds"), F.bool_and("all_integers").alias("whole")
+        F.count_distinct("file_id").alias("n_files"), F.collect_set("kind").alias("kinds"), *[F.bool_and(f).alias(f) for f in FLAGS]
     )
     at = found.catalogue.select("stream_id", "pos", "file_id").distinct().join(kind, "file_id").select("stream_id", "pos", "protocol")
     links = found.renamed.join(at, ["stream_id", "pos"]).select(F.concat_ws("\n", "protocol", "old_name").alias("a"), F.concat_ws("\n", "protocol", "new_name").alias("b")).distinct()
     groups = smallest_labels(links, write.__self__)
     names = names.withColumn("v", F.concat_ws("\n", "protocol", "name")).join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    best = names.groupBy("label").agg(F.min(F.struct((-F.col("n_files")).alias("n"), "name"))["name"].alias("field"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.bool_and("whole").alias("whole"))
-    only = lambda *k: F.size(F.array_except("kinds", F.array(*[F.lit(x) for x in k]))) == 0
-    fits = F.when(F.col("whole") & only("integer", "string"), "bigint")
-    for to, kinds in CASTS.items():
-        fits = fits.when(only(*kinds), to)
-    return names.select("protocol", "name", "label").join(best.select("label", "field", fits.otherwise("string").alias("cast_to")), "label").select("protocol", "name", "field", "cast_to")
+    best = names.groupBy("label").agg(F.min(F.struct((-F.col("n_files")).alias("n"), "name"))["name"].alias("field"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), *[F.bool_and(f).alias(f) for f in FLAGS])
+    return names.select("protocol", "name", "label").join(best.select("label", "field", holding().alias("cast_to")), "label").select("protocol", "name", "field", "cast_to")
 
 
 def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) -> DataFrame:
@@ -262,6 +286,9 @@ def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) ->
     A field that has different types in different protocols is a string. Trees
     are their JSON text. Lines that are no JSON object have no row, repeated
     lines one each. A field named like the two leading columns gets ``_`` behind.
+    Of several names of one field in a record the first has the column; fields
+    where that happens have another column, named ``_others``, with the rest as
+    a JSON object of names and texts.
     """
     table = write(aliases(files, found, write), "aliases")
     known = table.limit(MOST_FIELDS + 1).collect()
@@ -275,12 +302,13 @@ def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) ->
     column = lambda f: f + "_" if f in ("file_id", "line_no") else f
     protocol = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("protocol", F.lit("")).alias("protocol"))
     source = lines.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), F.col("line").cast("string").alias("line")).join(protocol, "file_id")
-    schema = ", ".join(["file_id bigint", "line_no int", *[f"c{i} string" for i in range(len(fields))]])
+    schema = ", ".join(["file_id bigint", "line_no int", *[f"c{i} string" for i in range(len(fields))], "more string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             cols: list[list] = [[] for _ in fields]
+            more: list = []
             for i, (line, kind) in enumerate(zip(batch.column("line").to_pylist(), batch.column("protocol").to_pylist())):
                 record = fields_of(line)
                 if record is None:
@@ -288,12 +316,26 @@ def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) ->
                 rows.append(i)
                 for c in cols:
                     c.append(None)
+                others: dict[int, dict] = {}
                 for name in sorted(record):
                     v, at = record[name], place.get((kind, _utf8(name)))
-                    if v is not None and at is not None and cols[at][-1] is None:
+                    if v is None or at is None:
+                        continue
+                    if cols[at][-1] is None:
                         cols[at][-1] = _utf8(text_of(v))
+                    else:
+                        others.setdefault(at, {})[_utf8(name)] = _utf8(text_of(v))
+                more.append(json.dumps(others) if others else None)
             take = pa.array(rows, pa.int64())
-            yield pa.record_batch([batch.column("file_id").take(take), batch.column("line_no").take(take), *[pa.array(c, pa.string()) for c in cols]], names=["file_id", "line_no", *[f"c{i}" for i in range(len(fields))]])
-
-    wide = source.mapInArrow(run, schema)
-    return wide.select("file_id", "line_no", *[F.col(f"c{i}").try_cast(next(iter(types[f])) if len(types[f]) == 1 else "string").alias(column(f)) for i, f in enumerate(fields)])
+            yield pa.record_batch([batch.column("file_id").take(take), batch.column("line_no").take(take), *[pa.array(c, pa.string()) for c in [*cols, more]]], names=["file_id", "line_no", *[f"c{i}" for i in range(len(fields))], "more"])
+
+    wide = write(source.mapInArrow(run, schema), "wide")
+    shared = sorted(int(r[0]) for r in wide.filter("more is not null").select(F.explode(F.json_object_keys("more"))).distinct().collect())
+    taken, rest = {column(f) for f in fields}, []
+    for i in shared:
+        name = column(fields[i]) + "_others"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        rest.append(F.get_json_object("more", f"$.{i}").alias(name))
+    return wide.select("file_id", "line_no", *[F.col(f"c{i}").try_cast(next(iter(types[f])) if len(types[f]) == 1 else "string").alias(column(f)) for i, f in enumerate(fields)], *rest)

@@ -89,3 +89,28 @@ def test_one_consistent_table(spark, data):
     table = p5_table(spark, data)
     kept = spark.read.parquet(f"{data}/raw_lines.parquet").count()
     assert kept * 0.9 < table.count() <= kept and "transport_src_ip" in table.columns and "transport_sport" not in table.columns
+
+
+def test_table_keeps_large_numbers_and_second_names(spark):
+    files = spark.createDataFrame([(1, 7, 1, "P"), (2, 7, 2, "P")], FILES + ", protocol string")
+    lines = spark.createDataFrame(
+        [
+            (1, 1, '{"record_id":"r","old":"x","big":18446744073709551615,"most":9223372036854775807,"fine":0.1234567890123456789,"sum":0.30000000000000004,"mixed":9007199254740993}'),
+            (2, 1, '{"record_id":"r","new":"x","big":1,"most":-9223372036854775808,"fine":1,"sum":2,"mixed":0.5}'),
+            (2, 2, '{"record_id":"s","new":"y","old":"z"}'),
+            (1, 2, '{"record_id":"t","old":"v","new":"w"}'),
+        ],
+        LINES,
+    )
+    folder = RunFolder(spark, "t")
+    found = drift(files, lines, folder.write)
+    # a rename as if the names followed each other, so that one record holds both
+    found.renamed = spark.createDataFrame([(7, 2, "old", "new")], "stream_id long, pos int, old_name string, new_name string")
+    got = consistent_table(files, lines, found, folder.write)
+    kinds = dict(got.dtypes)
+    assert {c: kinds[c] for c in ("big", "most", "fine", "sum", "mixed")} == {"big": "string", "most": "bigint", "fine": "string", "sum": "double", "mixed": "string"}
+    rows = {(r.file_id, r.line_no): r for r in got.collect()}
+    a, b = rows[1, 1], rows[2, 1]
+    assert (a.big, a.most, a.fine, a["sum"], a.mixed) == ("18446744073709551615", (1 << 63) - 1, "0.1234567890123456789", 0.30000000000000004, "9007199254740993")
+    assert (b.big, b.most, b.fine, b["sum"], b.mixed) == ("1", -(1 << 63), "1", 2.0, "0.5")
+    assert {k: (r.new, r.new_others and json.loads(r.new_others)) for k, r in rows.items()} == {(1, 1): ("x", None), (2, 1): ("x", None), (2, 2): ("y", {"old": "z"}), (1, 2): ("w", {"old": "v"})}
