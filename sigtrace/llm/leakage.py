@@ -1,8 +1,8 @@
 """Evaluation passages in training text, whole, in part or slightly changed.
 
-All test questions and answers become one Aho-Corasick automaton of short word
-sequences. A passage of n words with at most one word in seven wrong holds one
-of SEED_WORDS right words in a row (n - n/7 words in n/7 + 1 stretches), so one
+The texts of all test items, questions and answers if both are named, become one
+Aho-Corasick automaton of short word sequences. A passage of n words with at
+most one word in seven wrong holds one of SEED_WORDS right words in a row (n - n/7 words in n/7 + 1 stretches), so one
 scan of a document's normalised text finds every item of which it can hold a
 passage. Around the places found an alignment then decides exactly.
 """

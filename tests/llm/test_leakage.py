@@ -91,3 +91,12 @@ def test_table(spark):
         m.setattr(L, "MOST_ITEM_BYTES", 10)
         with pytest.raises(ValueError):
             L.leaked_items(docs, items)
+
+
+def test_answers_are_searched(spark, tmp_path):
+    from sigtrace.llm.queries import p6_passages
+
+    answer = "the session was released because the user plane function lost its association with the control plane twice"
+    spark.createDataFrame([(1, f"It is known that {answer} today."), (2, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, "Why?", answer), (6, "What?", None)], "item_id long, text string, answer string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert [(r.doc_id, r.item_id) for r in p6_passages(spark, str(tmp_path)).collect()] == [(1, 5)]
