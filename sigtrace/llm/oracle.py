@@ -11,7 +11,7 @@ _RUNS = f"""
             TRY_CAST(time_epoch AS DECIMAL(38,18)) AS t,
             least(coalesce(transport.src_ip, ''), coalesce(transport.dst_ip, '')) AS peer_a,
             greatest(coalesce(transport.src_ip, ''), coalesce(transport.dst_ip, '')) AS peer_b
-        FROM pfcp_messages WHERE TRY_CAST(time_epoch AS DECIMAL(38,18)) IS NOT NULL
+        FROM pfcp_messages
     ), once AS (
         SELECT * FROM (
             SELECT *, row_number() OVER (PARTITION BY analysis_id, frame, seq, sei ORDER BY received_at, row_id) AS k FROM n
@@ -20,9 +20,11 @@ _RUNS = f"""
         SELECT *, CASE WHEN typ IN (1, 2) THEN 'heartbeat' WHEN typ IS NOT NULL THEN 'type ' || typ
                        WHEN is_heartbeat THEN 'heartbeat' END AS event
         FROM once
+    ), timed AS (
+        SELECT * FROM e WHERE t IS NOT NULL
     ), m AS (
         SELECT *, CASE WHEN event = lag(event) OVER w THEN 0 ELSE 1 END AS new
-        FROM e WINDOW w AS (PARTITION BY analysis_id, peer_a, peer_b ORDER BY t, frame, seq NULLS FIRST, sei NULLS FIRST)
+        FROM timed WINDOW w AS (PARTITION BY analysis_id, peer_a, peer_b ORDER BY t, frame, seq NULLS FIRST, sei NULLS FIRST)
     ), r AS (
         SELECT *, sum(new) OVER (PARTITION BY analysis_id, peer_a, peer_b ORDER BY t, frame, seq NULLS FIRST, sei NULLS FIRST
                                  ROWS UNBOUNDED PRECEDING) AS run FROM m
@@ -42,4 +44,12 @@ ORACLE: dict[str, str] = {
     SELECT analysis_id, min(frame) FILTER (f = 1) AS first_frame, min(frame) FILTER (l = 1) AS last_frame
     FROM g GROUP BY analysis_id, peer_a, peer_b, run HAVING count(*) >= 2
     """,
+    "p1_collapsed": _RUNS
+    + """
+    SELECT analysis_id, peer_a, peer_b, any_value(event) AS event, count(*) AS n_events, max(t) - min(t) AS duration, min(t) AS first_time, max(t) AS last_time,
+        min(frame) FILTER (f = 1) AS first_frame, min(frame) FILTER (l = 1) AS last_frame
+    FROM g GROUP BY analysis_id, peer_a, peer_b, run
+    UNION ALL
+    SELECT analysis_id, peer_a, peer_b, event, 1, NULL, NULL, NULL, frame, frame FROM e WHERE t IS NULL
+    """,
 }

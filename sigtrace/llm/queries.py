@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigtrace.functions.numbers import exact_time, number
+from sigtrace.functions.numbers import exact_time, number, number_text
 from sigtrace.llm.components import connected_groups, uuid_key
 from sigtrace.llm.leakage import leaked_items
 from sigtrace.llm.mixing import Mix, mix_sources
@@ -13,6 +13,7 @@ from sigtrace.llm.runs import collapse_runs
 from sigtrace.llm.sentences import sentence_units
 from sigtrace.operators.dedup import first_copies
 from sigtrace.plans.records import pfcp_key
+from sigtrace.sources.shared import RunFolder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,29 +25,59 @@ def pfcp_event() -> Column:
     n = number(F.col("msg_type"))
     return (
         F.when(n.isin(1, 2), "heartbeat")
-        .when(n.isNotNull(), F.concat(F.lit("type "), n.cast("string")))
+        .when(n.isNotNull(), F.concat(F.lit("type "), number_text(F.col("msg_type"))))
         .when(F.col("is_heartbeat"), "heartbeat")
     )
 
 
-def pfcp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs of each pair of peers, of messages taken once, as one event each."""
-    m = table(spark, sf_dir, "pfcp_messages").filter(exact_time(F.col("time_epoch")).isNotNull())
+PEERS = ["analysis_id", "peer_a", "peer_b"]
+ORDER = ["time", "frame", "seq_num", "seid"]
+
+
+def pfcp_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each PFCP message once, with its peers, exact time (null if it has none), event and what kind of event it is."""
+    m = table(spark, sf_dir, "pfcp_messages")
     peers = [F.coalesce(F.col(f"transport.{c}_ip"), F.lit("")) for c in ("src", "dst")]
     keys = dict(zip(("analysis_id", "frame", "seq", "se"), pfcp_key()))
     take = {"time": exact_time(F.col("time_epoch")), "event": pfcp_event(), "peer_a": F.least(*peers), "peer_b": F.greatest(*peers)}
     once = first_copies(m, keys, ["received_at", "row_id"], take)
-    once = once.withColumn("seq_num", number(F.col("seq"))).withColumn("seid", number(F.col("se")))
-    return collapse_runs(once, ["analysis_id", "peer_a", "peer_b"], ["time", "frame", "seq_num", "seid"], "event", "time", ["frame"])
+    return once.withColumn("seq_num", number(F.col("seq"))).withColumn("seid", number(F.col("se")))
+
+
+def pfcp_runs(once: DataFrame, folder: RunFolder) -> DataFrame:
+    """The runs of each pair of peers as one event each, of messages with a time."""
+    return collapse_runs(once.filter("time is not null"), PEERS, ORDER, "event", "time", ["frame"], folder=folder)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfcp_runs(spark, sf_dir).filter("n_events >= 2").select("analysis_id", "first_frame", "last_frame")
+    runs = pfcp_runs(pfcp_once(spark, sf_dir), RunFolder(spark, "runs"))
+    return runs.filter("n_events >= 2").select("analysis_id", "first_frame", "last_frame")
+
+
+RUN_COLUMNS = [*PEERS, "event", "n_events", "duration", "first_time", "last_time", "first_frame", "last_frame"]
+
+
+def untimed(once: DataFrame) -> DataFrame:
+    """Messages without a readable time have no place in a sequence: an event of its own each, without duration."""
+    none = F.lit(None).cast("decimal(38,18)")
+    return once.filter("time is null").select(*PEERS, "event", F.lit(1).cast("bigint").alias("n_events"), none.alias("duration"), none.alias("first_time"), none.alias("last_time"), F.col("frame").alias("first_frame"), F.col("frame").alias("last_frame"))
 
 
 def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run, single events too, with count and duration."""
-    return pfcp_runs(spark, sf_dir)
+    """Every message in one event: runs with count and duration, single events and messages without a time too."""
+    folder = RunFolder(spark, "runs")
+    once = folder.write(pfcp_once(spark, sf_dir), "once")
+    runs = pfcp_runs(once, folder).withColumn("duration", F.col("duration").cast("decimal(38,18)"))
+    return runs.select(*RUN_COLUMNS).unionByName(untimed(once))
+
+
+def p1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-identical stretches as one event: a heartbeat among session messages (or the reverse) weighs 1, another type
+    of the same kind 0.5, a boundary 1, so what departs for a moment is bridged and counted in ``n_unlike``."""
+    kind = F.when(F.col("event") == "heartbeat", "heartbeat").when(F.col("event").isNotNull(), "other")
+    once = pfcp_once(spark, sf_dir).filter("time is not null").withColumn("kind", kind)
+    runs = collapse_runs(once, PEERS, ORDER, {"kind": 1.0, "event": 0.5}, "time", ["frame"], penalty=1.0)
+    return runs.withColumn("duration", F.col("duration").cast("decimal(38,18)"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +128,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p1_similar": p1_similar,
     "p2_found": p2_found,
     "p6_found": p6_found,
     "p6_passages": p6_passages,
