@@ -22,7 +22,8 @@ def boundary(content_type: Column) -> Column:
 def parts(body: Column, content_type: Column) -> Column:
     """The parts of a multipart text body as an array of (content_type, content); null if it is none."""
     b = boundary(content_type)
-    pieces = F.filter(F.slice(F.split(body, F.concat(F.lit(r"(?:^|\r?\n)--\Q"), b, F.lit(r"\E"))), 2, 1 << 20), lambda p: ~p.startswith("--"))
+    pieces = F.split(body, F.concat(F.lit(r"(?:^|\r?\n)--\Q"), b, F.lit(r"\E")))
+    pieces = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: ~p.startswith("--"))
     split = lambda p: F.struct(
         F.nullif(F.trim(F.regexp_extract(p, r"(?im)^content-type:([^\r\n]*)", 1)), F.lit("")).alias("content_type"),
         F.regexp_replace(F.regexp_replace(p, r"(?s)^.*?\r?\n\r?\n", ""), r"\r?\n$", "").alias("content"),

@@ -21,7 +21,7 @@ def number_text(c: Column) -> Column:
     Hexadecimal values of up to 31 significant digits are converted exactly.
     """
     t = F.lower(trimmed(c.cast("string")))
-    digits = F.regexp_replace(F.substring(t, 3, 1 << 20), r"^0+(?=[0-9a-f])", "")
+    digits = F.regexp_replace(t, r"^0x0*(?=[0-9a-f])", "")
     two64 = F.lit("18446744073709551616").cast("decimal(20,0)")
     high = F.conv(F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 16, F.lit(0))), 16, 10)
     low = F.conv(F.substring(digits, F.greatest(F.length(digits) - 15, F.lit(1)), F.lit(16)), 16, 10)

@@ -91,21 +91,26 @@ def any_of(text: Column, words: list[str]) -> Column:
 
 # Causes that mean success.
 GOOD_CAUSES = ["normal", "normal_release", "request_accepted", "success", "successful", "0", "1"]
-# Words of failures.
+# Words of failures in messages.
 BAD_WORDS = ["reject", "fail", "unsuccessful", "error", "not_reachable", "unreachable", "denied", "invalid", "missing"]
 
 
 def cause_class(message: Column, outcome: Column, cause: Column) -> Column:
-    """success, failure or unknown of a signalling message: its words, then its cause, then both."""
-    m, c = F.upper(F.coalesce(message, F.lit(""))), F.lower(F.coalesce(cause.cast("string"), F.lit("")))
-    good = ((outcome == "success") | any_of(m, ["ACCEPT", "COMPLETE"])) & ~any_of(m, ["REJECT", "FAIL", "UNSUCCESSFUL"])
-    both = F.concat(F.lower(m), F.lit(" "), c)
+    """success, failure or unknown of a signalling message.
+
+    Its words come first: a message that rejects or fails is a failure also
+    without a cause, one that accepts or completes a success. Then the outcome
+    success, then the cause: one that means success, or any other, a failure;
+    without a cause only the outcome failure is one. Nulls count as empty.
+    """
+    text = lambda c: F.lower(F.coalesce(c.cast("string"), F.lit("")))
+    m, o, c = text(message), text(outcome), F.trim(text(cause))
     return (
-        F.when(good, "success")
+        F.when(any_of(m, BAD_WORDS), "failure")
+        .when((o == "success") | any_of(m, ["accept", "complete"]), "success")
         .when(c.isin(GOOD_CAUSES), "success")
-        .when(c.isin("", "none"), "unknown")
-        .when((outcome == "failure") | any_of(both, BAD_WORDS), "failure")
-        .otherwise("failure")
+        .when(~c.isin("", "none") | (o == "failure"), "failure")
+        .otherwise("unknown")
     )
 
 
