@@ -1,16 +1,21 @@
 """Evaluation passages in training text, whole, in part or slightly changed.
 
-The texts of all test items, questions and answers if both are named, become one
-Aho-Corasick automaton of short word sequences. A passage of n words with at
-most one word in seven wrong holds one of SEED_WORDS right words in a row (n - n/7 words in n/7 + 1 stretches), so one
+The texts and answers of all test items become one Aho-Corasick automaton of
+short word sequences. A passage of n words with at most one word in seven wrong
+holds SEED_WORDS right words in a row (n - n/7 words in n/7 + 1 stretches), so one
 scan of a document's normalised text finds every item of which it can hold a
-passage. Around the places found an alignment then decides exactly.
+passage. Around the places found an alignment then decides exactly. An item
+shorter than the least passage leaks if it stands whole, with as many words wrong
+as a passage of its length may have. Answers, often a word or two that stand in
+most texts, count where they follow a passage of their item; one as long as a
+passage is searched as a text of its own.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,12 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-WORDS, CHARS = 14, 24  # the least passage, in words, or in characters of scripts without blanks
+from sigtrace.sources.shared import RunFolder
+
+WORDS, CHARS = 14, 24  # the least passage by default, in words, or in characters of scripts without blanks
 EACH = 7  # one error for so many words
-SEED_WORDS, SEED_CHARS = 4, 5  # the longest right stretch is at least as long in any passage
+SEED_WORDS, SEED_CHARS = 4, 5  # right words in a row to look for, if every passage has as many
 MOST_KNOWN = 1 << 18  # forms of words that a task keeps
-MOST_ITEM_BYTES = 64 << 20  # of the test items' texts: they are held by every task
+BLOCK_BYTES = 2 << 20  # of the test items' texts in one block: a task holds about 200 bytes for each of it
 
 _CJK = "㐀-鿿豈-﫿぀-ヿ\U00020000-\U0003FFFF"
 _JOIN = "['’‘ʼ`´\\-‐‑‒­​]"
@@ -115,61 +123,95 @@ def holds(item: np.ndarray, doc: np.ndarray, least: int, each: int = EACH) -> tu
     return None
 
 
+def seed_length(least: int, wide: bool) -> int:
+    """How many right words in a row every passage of ``least`` words or more has, at most SEED_WORDS or SEED_CHARS.
+
+    A passage of n words has n // EACH errors at most, so a right stretch of
+    (n - n // EACH) / (n // EACH + 1) words; the quotient is least at a multiple of EACH.
+    """
+    longest = SEED_CHARS if wide else SEED_WORDS
+    tried = range(least, max(least, longest * EACH) + EACH + 1)
+    return max(min(longest, *(-(-(n - n // EACH) // (n // EACH + 1)) for n in tried)), 1)
+
+
 class Leaks:
-    """The automaton over the items, made anew in each task from (item, text) pairs."""
+    """The automaton over the items, made anew in each worker from (item, text, answer) triples."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids: list[int] = []
+    def __init__(self, items: list[tuple], least_words: int = WORDS, least_chars: int = CHARS):
+        self.ids: list = []
         self.least: list[int] = []
         self.texts: list[np.ndarray] = []
         self.words: list[list[str]] = []
+        self.answers: list[str] = []
         self.known: dict[str, str] = {}
         codes: dict[str, int] = {}
         seeds: dict[str, list[tuple[int, int]]] = {}
-        for ident, text in items:
-            item = words(text)
-            wide = is_wide(item)
-            least, seed = (CHARS, SEED_CHARS) if wide else (WORDS, SEED_WORDS)
-            if len(item) < least:
+        def full_of(item: list[str]) -> tuple[bool, int]:
+            return (True, least_chars) if is_wide(item) else (False, least_words)
+
+        searched = []
+        for ident, text, answer in items:
+            said = words(answer or "")
+            searched.append((ident, words(text or ""), said))
+            if len(said) >= full_of(said)[1]:
+                searched.append((ident, said, []))
+        for ident, item, said in searched:
+            if not item:
                 continue
+            wide, full = full_of(item)
+            least = min(full, len(item))
+            # An item shorter than the least passage must stand whole; others are found by the seeds of longer passages too.
+            errors = least // EACH
+            seed = seed_length(least, wide) if len(item) >= full else min(SEED_CHARS if wide else SEED_WORDS, -(-(least - errors) // (errors + 1)))
             k = len(self.ids)
             self.ids.append(ident)
             self.least.append(least)
             self.words.append(item)
+            self.answers.append(" ".join(said))
             self.texts.append(np.array([codes.setdefault(w, len(codes)) for w in item], np.int32))
             for i in range(len(item) - seed + 1):
                 seeds.setdefault(" " + " ".join(item[i : i + seed]) + " ", []).append((k, i))
         self.codes = codes
         self.automaton = ahocorasick.Automaton()
-        for s, where in seeds.items():
-            self.automaton.add_word(s, (s.count(" ") - 1, where))
+        answers = {f" {a} " for a in self.answers if a}
+        for s in {*seeds, *answers}:
+            self.automaton.add_word(s, (s.count(" ") - 1, seeds.get(s, ()), s if s in answers else None))
         if seeds:
             self.automaton.make_automaton()
         self.any = bool(seeds)
 
-    def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, first, end) of the items a text gives away, with code point offsets of one passage each."""
+    def search(self, text: str) -> list[tuple]:
+        """(item, first, end, answer first, answer end) of the items a text gives away, in code points; the answer's place
+        is that of its first standing after the passage, None if there is none."""
         if not self.any:
             return []
         doc = words(text, self.known)
-        if len(doc) < min(WORDS, CHARS) - min(WORDS, CHARS) // EACH:
+        if not doc:
             return []
         line = " " + " ".join(doc) + " "
         hits: dict[int, list[tuple[int, int]]] = {}
+        said: dict[str, list[int]] = {}
         ends = None
-        for end, (seed, where) in self.automaton.iter(line):
+        for end, (size, where, answer) in self.automaton.iter(line):
             if ends is None:
                 ends = np.cumsum([len(w) + 1 for w in doc])
             last = int(np.searchsorted(ends, end))
             for k, i in where:
-                hits.setdefault(k, []).append((last - seed + 1, i))
+                hits.setdefault(k, []).append((last - size + 1, i))
+            if answer is not None:
+                said.setdefault(answer, []).append(last - size + 1)
         out = []
         spans: list[tuple[int, int]] = []
         for k, found in hits.items():
             passage = self.verify(k, found, doc)
             if passage:
                 spans = spans or places(text)
-                out.append((self.ids[k], spans[passage[0]][0], spans[min(passage[1], len(spans) - 1)][1]))
+                stop = min(passage[1], len(spans) - 1)
+                answer = self.answers[k]
+                starts = said.get(f" {answer} ", []) if answer else []
+                at = bisect_right(starts, stop)
+                there = (spans[starts[at]][0], spans[starts[at] + answer.count(" ")][1]) if at < len(starts) else (None, None)
+                out.append((self.ids[k], spans[passage[0]][0], spans[stop][1], *there))
         return out
 
     def verify(self, k: int, found: list[tuple[int, int]], doc: list[str]) -> tuple[int, int] | None:
@@ -180,7 +222,7 @@ class Leaks:
         any, with at most ``most`` errors, and it lies around one of the places.
         """
         item, least = self.texts[k], self.least[k]
-        reach = 2 * least - 1
+        reach = 2 * least - 1 if least < len(item) else least
         most = reach // EACH
         groups: list[list[int]] = []  # item from, to, document from, to
         for d, i in sorted(found):
@@ -230,39 +272,72 @@ def enough(item: np.ndarray, doc: np.ndarray, least: int, most: int) -> bool:
     return bool((total[least:] - total[:-least]).max() >= least - most)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",)) -> DataFrame:
-    """``id_col, item_id, start_pos, end_pos``: one row per document row and item of which it holds a passage.
+def item_blocks(items: DataFrame, item_id: str, item_texts: tuple[str, ...], answer: str | None, block_bytes: int) -> tuple[DataFrame, int]:
+    """``i, t, a, block``: the items' distinct texts in blocks of about ``block_bytes``, and the number of blocks.
 
-    The items' texts go to every task, so their size is checked: beyond
-    MOST_ITEM_BYTES this raises, and the items are to be searched in blocks.
-    Null and empty texts hold nothing; items shorter than the least passage
-    cannot leak; repeated documents count each, an item with several texts (or
-    repeated rows) once.
+    All texts of one item are in one block.
     """
-    texts = items.select(F.col(item_id).alias("i"), F.explode(F.array(*[F.col(c).cast("string") for c in item_texts])).alias("t")).filter("t is not null")
-    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"{size} bytes of test items; at most {MOST_ITEM_BYTES} are searched at once")
+    said = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
+    texts = items.select(F.col(item_id).alias("i"), F.explode(F.array(*[F.col(c).cast("string") for c in item_texts])).alias("t"), said.alias("a")).filter("t is not null or a is not null").distinct()
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
+    blocks = 1 if size <= block_bytes else -(-size * 2 // block_bytes)  # hashing fills them unevenly
+    return texts.withColumn("block", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(blocks))), blocks
+
+
+def leaked_items(
+    documents: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_texts: tuple[str, ...] = ("text",),
+    answer: str | None = None,
+    least_words: int = WORDS,
+    least_chars: int = CHARS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``id_col, item_id, start_pos, end_pos, answer_start, answer_end``: one row per document row and item of which it holds a passage.
+
+    A passage has ``least_words`` words (``least_chars`` characters of scripts
+    without blanks) in a row or is a shorter item's whole text; one word in EACH
+    may be wrong. The answer's place is given where the item's ``answer`` stands
+    after the passage. The items go to every task in blocks of ``block_bytes``;
+    if there are several the documents are scanned once for each. Null and empty
+    texts hold nothing and cannot leak; repeated documents count each, an item
+    with several texts (or repeated rows) once.
+    """
+    texts, blocks = item_blocks(items, item_id, item_texts, answer, block_bytes)
+    if blocks > 1:  # read again for each block
+        texts = RunFolder(documents.sparkSession, "items").write(texts.repartitionByRange("block"), "blocks")
     spark = documents.sparkSession
-    known = spark.sparkContext.broadcast([tuple(r) for r in texts.distinct().collect()])
     source = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([source.schema[0], T.StructField("item_id", items.schema[item_id].dataType), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks = Leaks(known.value)
-        for batch in batches:
-            row, item, start, end = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    best: dict = {}
-                    for ident, a, b in leaks.search(text):
-                        best.setdefault(ident, (a, b))
-                    for ident, (a, b) in best.items():
-                        row.append(i)
-                        item.append(ident)
-                        start.append(a)
-                        end.append(b)
-            yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=names)
-
-    return source.mapInArrow(run, schema)
+    ident = items.schema[item_id].dataType
+    places_of = ["start_pos", "end_pos", "answer_start", "answer_end"]
+    schema = T.StructType([source.schema[0], T.StructField("item_id", ident), *[T.StructField(c, T.LongType()) for c in places_of]])
+    item_type = to_arrow_type(ident)
+
+    def scan(known):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaks = Leaks(known.value, least_words, least_chars)
+            for batch in batches:
+                row, item, spots = [], [], [[], [], [], []]
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    if text:
+                        best: dict = {}
+                        for ident, *found in leaks.search(text):
+                            if ident not in best or best[ident][2] is None and found[2] is not None:
+                                best[ident] = found
+                        for ident, found in best.items():
+                            row.append(i)
+                            item.append(ident)
+                            for c, x in zip(spots, found):
+                                c.append(x)
+                yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), *[pa.array(c, pa.int64()) for c in spots]], names=schema.names)
+
+        return source.mapInArrow(run, schema)
+
+    found = None
+    for k in range(blocks):  # a block is bounded, see BLOCK_BYTES
+        known = spark.sparkContext.broadcast([tuple(r) for r in texts.filter(F.col("block") == k).select("i", "t", "a").collect()])
+        found = scan(known) if found is None else found.unionAll(scan(known))
+    return found

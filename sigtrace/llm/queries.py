@@ -98,8 +98,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each leak of a question or an answer with the place of a passage in the document's original text."""
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), item_texts=("text", "answer"))
+    """Each leak with the place of a passage in the document's original text, and of the item's answer behind it."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), answer="answer")
 
 
 def mix(spark: SparkSession, sf_dir: str) -> Mix:

@@ -50,7 +50,7 @@ def test_alignment_against_brute_force():
 def test_search_finds_what_the_alignment_finds(seed):
     rnd = random.Random(seed)
     items = [(k, " ".join(rnd.choice(WORDS) for _ in range(60))) for k in range(12)]
-    leaks = L.Leaks(items)
+    leaks = L.Leaks([(k, t, None) for k, t in items])
     hits = 0
     for _ in range(60):
         doc = [rnd.choice(WORDS) for _ in range(40)]
@@ -63,7 +63,7 @@ def test_search_finds_what_the_alignment_finds(seed):
         doc[10:10] = part
         codes = np.array([leaks.codes.get(w, -1) for w in doc])
         want = {i for i, t in items if L.holds(np.array([leaks.codes[w] for w in t.split()]), codes, L.WORDS)}
-        got = {i for i, _, _ in leaks.search(", ".join(doc).upper())}
+        got = {i for i, *_ in leaks.search(", ".join(doc).upper())}
         assert got == want
         hits += len(want)
     assert 10 < hits < 60
@@ -87,10 +87,45 @@ def test_table(spark):
     r = [x for x in got.collect() if x[0] == 7][0]
     assert ("x " * 100_000 + passage)[r.start_pos : r.end_pos].split()[0] in passage.split()
     assert L.leaked_items(docs, items.limit(0)).count() == 0 and L.leaked_items(docs.limit(0), items).count() == 0
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(L, "MOST_ITEM_BYTES", 10)
-        with pytest.raises(ValueError):
-            L.leaked_items(docs, items)
+    # In blocks, each with an automaton of its own, the result is the same.
+    blocks = L.leaked_items(docs, items, block_bytes=40)
+    assert L.item_blocks(items, "item_id", ("text",), None, 40)[1] > 3
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_short_items_and_answers(spark):
+    """Items below the least passage leak if they stand whole; short answers count behind a passage of their item."""
+    passage = "the anchor gateway rarely fragments sixty stacked leases behind the dormant bearer until each partly renumbers seven reports"
+    items = spark.createDataFrame([(1, "purple timer drift", None), (2, passage, "no"), (3, "one two three four five six seven eight nine ten", None), (4, "", "yes")], "item_id long, text string, answer string")
+    rows = [
+        (1, "A Purple timer-drift? no: purple, TIMER drift."), (2, "purple timer"), (3, f"no. {passage}. Answer: No!"), (4, f"no {passage}"),
+        (5, "zero one two three four WRONG six seven eight nine ten"), (6, "one two three WRONG five six WRONG eight nine ten"), (7, "yes"), (8, "purple red timer drift"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in L.leaked_items(docs, items, answer="answer").collect()}
+    assert sorted(got) == [(1, 1), (3, 2), (4, 2), (5, 3)]
+    r = got[3, 2]
+    assert rows[2][1][r.answer_start : r.answer_end] == "No" and got[4, 2].answer_start is None
+    assert (5, 1) not in got and rows[0][1][got[1, 1].start_pos : got[1, 1].end_pos] == "purple, TIMER drift"
+
+
+@pytest.mark.parametrize("least", [5, 7, 9, 14])
+def test_least_passage_is_a_parameter(least):
+    rnd = random.Random(least)
+    items = [(k, " ".join(rnd.choice(WORDS) for _ in range(30)), None) for k in range(8)]
+    leaks = L.Leaks(items, least_words=least)
+    hits = 0
+    for _ in range(60):
+        k, n, a = rnd.randrange(8), rnd.randint(least - 2, least + 9), rnd.randint(0, 10)
+        part = items[k][1].split()[a : a + n]
+        for _ in range(rnd.randint(0, 2)):
+            part[rnd.randrange(len(part))] = "wrong"
+        doc = [rnd.choice(WORDS) for _ in range(12)] + part + [rnd.choice(WORDS) for _ in range(12)]
+        codes = np.array([leaks.codes.get(w, -1) for w in doc])
+        want = {i for i, t, _ in items if L.holds(np.array([leaks.codes[w] for w in t.split()]), codes, least)}
+        assert {i for i, *_ in leaks.search(" ".join(doc))} == want
+        hits += len(want)
+    assert hits > 15
 
 
 def test_answers_are_searched(spark, tmp_path):
