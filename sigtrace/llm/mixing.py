@@ -1,12 +1,12 @@
 """Mixing sources to target shares of all tokens, as a curriculum whose weights vary over training.
 
-Each source has a weight at each training time t in [0, 1], piecewise linear,
-and all weights add up to 1 at any time; the integral of a source's weight is its
-target share. The integral up to t, times the mix's size, is the source's
-cumulative token demand. A source's documents stand in one pseudo-random order,
-repeated as often as needed; the tokens before a copy, put into the inverse of
-the demand, give the copy's training position, and copies are range-sorted by
-position.
+Each source has a weight schedule over training time t in [0, 1], piecewise
+linear, from a table or by default one that tilts towards sources that may be
+repeated more. Its integral up to t, scaled so that the whole is the source's
+share of the mix's tokens, is the source's cumulative demand. A source's
+documents stand in one pseudo-random order, repeated as often as needed; the
+tokens before a copy, put into the inverse of the demand, give the copy's
+training position, and copies are range-sorted by position.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ORDER_BITS = 12  # a source's order is cut into 2 ** ORDER_BITS blocks for prefix sums
-MOST_TARGETS = 100_000  # rows of targets, which are broadcast
+TOLERANCE = 0.001  # of a demand: sources that miss more are filled up
+PASSES = 8  # at most so many documents fill a source up
 
 
 def source_name(c: Column) -> Column:
@@ -75,15 +76,48 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     return t.filter("source is not null").groupBy("mix_name", "source").agg(F.sum("share").alias("target_share"), F.max("repeats").alias("max_repeats"))
 
 
-def plan_mix(targets: DataFrame, available: DataFrame, total_tokens: float | None = None, tilt: float = 0.5) -> DataFrame:
-    """By mix and source: share, demand in tokens, and the weights ``w0`` and ``w1`` at the start and end of training.
+SCHEDULE = "array<struct<at: double, weight: double>>"
+
+
+def clean_schedules(schedules: DataFrame) -> DataFrame:
+    """``mix_name, source, points``: the weights of each schedule in the order of time, times beyond [0, 1] left out.
+
+    Null and negative weights count as 0; of several at one time the greatest
+    counts; before the first and after the last point the weight stays. A
+    schedule without any positive weight is none.
+    """
+    s = schedules.select("mix_name", source_name(F.col("source")).alias("source"), F.col("at").cast("double").alias("at"), F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("weight"))
+    s = s.filter("source is not null and at between 0 and 1").groupBy("mix_name", "source", "at").agg(F.max("weight").alias("weight"))
+    s = s.groupBy("mix_name", "source").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("p"), F.max("weight").alias("_most"))
+    point = lambda at, of: F.array(F.struct(F.lit(at).alias("at"), of["weight"].alias("weight")))
+    whole = F.concat(point(0.0, F.get("p", F.lit(0))), F.col("p"), point(1.0, F.element_at("p", -1)))
+    return s.filter("_most > 0").select("mix_name", "source", whole.cast(SCHEDULE).alias("points"))
+
+
+def integrated(points: Column) -> Column:
+    """The pieces of a schedule: ``at, span, w0, w1`` and the integral ``before`` each."""
+    step = lambda acc, i: F.struct(
+        F.concat(acc["out"], F.array(F.struct(
+            F.get(points, i)["at"].alias("at"), (F.get(points, i + 1)["at"] - F.get(points, i)["at"]).alias("span"),
+            F.get(points, i)["weight"].alias("w0"), F.get(points, i + 1)["weight"].alias("w1"), acc["area"].alias("before"),
+        ))).alias("out"),
+        (acc["area"] + (F.get(points, i + 1)["at"] - F.get(points, i)["at"]) * (F.get(points, i)["weight"] + F.get(points, i + 1)["weight"]) / 2).alias("area"),
+    )
+    pieces = "array<struct<at: double, span: double, w0: double, w1: double, before: double>>"
+    start = F.struct(F.array().cast(pieces).alias("out"), F.lit(0.0).alias("area"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(points) - 2), start, step)
+
+
+def plan_mix(targets: DataFrame, available: DataFrame, total_tokens: float | None = None, tilt: float = 0.5, schedules: DataFrame | None = None) -> DataFrame:
+    """By mix and source: share, demand in tokens, and the schedule as ``pieces`` with their whole ``area``.
 
     Targets of sources without documents go to the others in proportion.
     Without ``total_tokens`` a mix is as large as it can be with every share met
     and no document above its repeats. With it, a source whose demand is beyond
-    its repeats gives all it may. By default sources that may be repeated more
-    often come later: the weight of a source moves linearly by up to ``tilt`` of
-    its share, so that at any time all weights add up to 1.
+    its repeats gives all it may. ``schedules`` has rows ``mix_name, source, at,
+    weight``. Sources without get one by which those that may be repeated more
+    often come later: the weight moves linearly by up to ``tilt`` of the share,
+    so that without any schedule all weights add up to 1 at any time.
     """
     t = targets.join(available, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     mix = Window.partitionBy("mix_name")
@@ -98,12 +132,23 @@ def plan_mix(targets: DataFrame, available: DataFrame, total_tokens: float | Non
     furthest = F.max(F.when(F.col("share") > 0, F.abs(F.col("max_repeats") - F.col("_mean")))).over(mix)
     t = t.withColumn("_far", furthest)
     lean = F.when(F.col("_far") > 0, tilt * (F.col("max_repeats") - F.col("_mean")) / F.col("_far")).otherwise(0.0)
-    return t.withColumn("w0", F.col("share") * (1 - lean)).withColumn("w1", F.col("share") * (1 + lean)).drop("usable", "_mean", "_far")
+    point = lambda at, w: F.struct(F.lit(at).alias("at"), w.alias("weight"))
+    points = F.array(point(0.0, F.coalesce("share", F.lit(0.0)) * (1 - lean)), point(1.0, F.coalesce("share", F.lit(0.0)) * (1 + lean))).cast(SCHEDULE)
+    if schedules is None:
+        t = t.withColumn("points", points)
+    else:
+        t = t.join(clean_schedules(schedules), ["mix_name", "source"], "left").withColumn("points", F.coalesce("points", points))
+    whole = integrated(F.col("points"))
+    return t.withColumn("_i", whole).withColumn("pieces", F.col("_i.out")).withColumn("area", F.col("_i.area")).drop("usable", "_mean", "_far", "points", "_i")
 
 
-def position(part: Column, w0: Column, w1: Column) -> Column:
-    """The time at which a linear weight from ``w0`` to ``w1`` has integrated to ``part``."""
-    return F.when(part <= 0, 0.0).otherwise(F.least(2 * part / (w0 + F.sqrt(F.greatest(w0 * w0 + 2 * (w1 - w0) * part, F.lit(0.0)))), F.lit(1.0)))
+def position(part: Column, pieces: Column, area: Column) -> Column:
+    """The time at which a schedule has integrated to ``part`` of its whole ``area``."""
+    x = F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * area
+    p = F.element_at(F.filter(pieces, lambda k: k["before"] <= x), -1)
+    y = x - p["before"]
+    root = p["w0"] + F.sqrt(F.greatest(p["w0"] * p["w0"] + 2 * (p["w1"] - p["w0"]) * y / F.nullif(p["span"], F.lit(0.0)), F.lit(0.0)))
+    return F.least(p["at"] + F.least(F.coalesce(2 * y / F.nullif(root, F.lit(0.0)), F.lit(0.0)), p["span"]), F.lit(1.0))
 
 
 class Mix:
@@ -126,6 +171,45 @@ class Mix:
         return s.select("mix_name", "source", "target_share", (F.col("tokens") / F.nullif(all_, F.lit(0))).alias("reached_share"), "tokens", "n_copies", "most_copies", "max_repeats", "available", "demand")
 
 
+def fill(placed: DataFrame, plan: DataFrame, folder: RunFolder) -> tuple[DataFrame, DataFrame]:
+    """How far each source fills its demand: ``state`` (mix_name, source, rounds, rest, filled) and ``extra`` documents.
+
+    All documents are taken in ``rounds`` full rounds, then in one more those
+    that fit into the ``rest`` in their order. A source that still misses more
+    than TOLERANCE takes the largest document that fits, again and again (PASSES
+    at most), at last the one nearest in size to what is missing if it would
+    miss less with it. Extra rows are known by their ``_before``.
+    """
+    rounds = F.floor(F.col("demand") / F.col("available") + 1e-9)
+    wanted = plan.filter("demand > 0").select("mix_name", "source", "demand", rounds.alias("rounds"), (F.col("demand") - rounds * F.col("available")).alias("rest"), (F.col("max_repeats") > rounds).alias("more"))
+    fits = F.col("_before") + F.col("n_tokens") <= F.col("rest") + 1e-6
+    both = placed.join(wanted, "source").groupBy("mix_name", "source").agg(F.max(F.when(fits & F.col("more"), F.col("_before") + F.col("n_tokens"))).alias("filled"))
+    state = folder.write(wanted.join(both, ["mix_name", "source"], "left").withColumn("filled", F.coalesce("filled", F.lit(0))), "filled0")
+    # In the order of the round the documents beyond those that fit.
+    picks = "mix_name string, source string, _before bigint, _after bigint, n_tokens bigint"
+    extra = placed.sparkSession.createDataFrame([], picks)
+    for k in range(1, PASSES + 2):
+        gap = F.col("rest") - F.col("filled")
+        short = state.filter(F.col("more") & (gap > TOLERANCE * F.col("demand")))
+        if short.isEmpty():
+            break
+        left = placed.join(short, "source").filter(~fits).join(extra.select("mix_name", "source", "_before"), ["mix_name", "source", "_before"], "left_anti")
+        size, order = F.col("n_tokens").cast("bigint"), F.struct((-F.col("_before")).alias("b"))
+        if k <= PASSES:
+            best = F.max(F.when(size <= gap, F.struct(size.alias("n"), order.alias("o"))))
+        else:
+            best = F.max(F.when((size > gap) & (size < 2 * gap), F.struct((-size).alias("m"), order.alias("o"), size.alias("n"))))
+        found = left.groupBy("mix_name", "source").agg(best.alias("x")).filter("x is not null").select("mix_name", "source", (-F.col("x.o.b")).cast("bigint").alias("_before"), F.col("x.n").alias("n_tokens"))
+        found = folder.write(found.join(state.select("mix_name", "source", F.col("filled").cast("bigint").alias("_after")), ["mix_name", "source"]).select("mix_name", "source", "_before", "_after", "n_tokens"), f"extra{k}")
+        if found.isEmpty():
+            if k <= PASSES:
+                continue
+            break
+        extra = extra.unionByName(found)
+        state = folder.write(state.join(found.select("mix_name", "source", F.col("n_tokens").alias("_n")), ["mix_name", "source"], "left").withColumn("filled", F.col("filled") + F.coalesce("_n", F.lit(0))).drop("_n"), f"filled{k}")
+    return state, extra
+
+
 def mix_sources(
     documents: DataFrame,
     targets: DataFrame,
@@ -137,29 +221,31 @@ def mix_sources(
     seed: int = 17,
     tokenizer: str = TOKENIZER,
     folder: RunFolder | None = None,
+    schedules: DataFrame | None = None,
 ) -> Mix:
     """Copies of documents so that each source's share of a mix's tokens meets its target as far as it can.
 
-    A copy belongs to the mix if its middle token lies within its source's
-    demand, so a source misses its demand by half a document at most. Documents
-    without source or tokens are in no mix; sources without target are in none.
-    Rows of one document count as documents of their own.
+    See ``plan_mix`` for demands and schedules and ``fill`` for how documents
+    meet a demand. Documents without source or tokens are in no mix; sources
+    without target are in none. Rows of one document count as documents of their
+    own. ``tokenizer`` is a file that every executor must have under that path.
     """
     folder = folder or RunFolder(documents.sparkSession, "mix")
     named = documents.select(F.col(id_col).alias("doc_id"), source_name(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).filter("source is not null")
     wanted = clean_targets(targets)
-    if wanted.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    of_target = F.broadcast(wanted.select("source").distinct())
-    docs = folder.write(token_counts(named.join(of_target, "source", "left_semi"), "text", ("doc_id", "source"), tokenizer).filter("n_tokens > 0"), "tokens")
+    docs = folder.write(token_counts(named.join(wanted.select("source").distinct(), "source", "left_semi"), "text", ("doc_id", "source"), tokenizer).filter("n_tokens > 0"), "tokens")
     available = docs.groupBy("source").agg(F.sum("n_tokens").alias("available"))
-    plan = folder.write(plan_mix(wanted, available, total_tokens, tilt), "plan")
-    placed = before_each(docs, "source", "n_tokens", "doc_id", seed)
-    joined = placed.join(F.broadcast(plan.filter("demand > 0").select("mix_name", "source", "available", "max_repeats", "demand", "share", "w0", "w1")), "source")
-    middle = F.col("_before") + F.col("n_tokens") / 2
-    # A copy's tokens before it: those of full rounds and those before it in its round.
-    n = F.least(F.floor((F.col("demand") - middle) / F.col("available")) + 1, F.col("max_repeats").cast("bigint"))
+    plan = folder.write(plan_mix(wanted, available, total_tokens, tilt, schedules), "plan")
+    placed = folder.write(before_each(docs, "source", "n_tokens", "doc_id", seed).select("doc_id", "source", "n_tokens", "_before"), "placed")
+    state, extra = fill(placed, plan, folder)
+    facts = plan.select("mix_name", "source", "available", "pieces", "area").join(state.select("mix_name", "source", "demand", "rounds", "rest", "more"), ["mix_name", "source"])
+    chosen = extra.select("mix_name", F.col("source"), "_before", "_after")
+    joined = placed.join(facts, "source").join(chosen, ["mix_name", "source", "_before"], "left")
+    last = F.col("more") & ((F.col("_before") + F.col("n_tokens") <= F.col("rest") + 1e-6) | F.col("_after").isNotNull())
+    n = F.col("rounds") + last.cast("bigint")
     copies = joined.withColumn("_n", n).filter("_n > 0").withColumn("copy_no", F.explode(F.expr("sequence(1L, _n)")))
-    offset = (F.col("copy_no") - 1) * F.col("available") + F.col("_before")
-    at = position(offset / F.col("demand") * F.col("share"), F.col("w0"), F.col("w1"))
-    return Mix(copies.select("mix_name", "source", "doc_id", "copy_no", "n_tokens", at.alias("position")), plan)
+    # A copy's tokens before it: those of full rounds and those before it in its round.
+    in_round = F.when((F.col("copy_no") > F.col("rounds")) & F.col("_after").isNotNull(), F.col("_after")).otherwise(F.col("_before"))
+    offset = (F.col("copy_no") - 1) * F.col("available") + in_round
+    at = position(offset / F.col("demand"), F.col("pieces"), F.col("area"))
+    return Mix(copies.select("mix_name", "source", "doc_id", "copy_no", "n_tokens", at.alias("position")), plan.drop("pieces", "area"))

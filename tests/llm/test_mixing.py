@@ -49,6 +49,35 @@ def test_given_size_is_held_by_repeats(spark):
     assert got["big_source"].tokens == pytest.approx(4000, abs=60)
 
 
+def test_schedules_are_integrated_and_inverted(spark):
+    """Positions follow a piecewise linear schedule: the tokens up to each time are its integral."""
+    rows = [("m", "big_source", 0.0, 0.0), ("m", "Big source", 0.5, 2.0), ("m", "big_source", 1.0, 0.0), ("m", "tiny", 0.25, 0.0), ("m", "tiny", 0.5, 1.0), ("m", "tiny", -1.0, 9.0), ("x", "tiny", 0.0, 0.0)]
+    schedules = spark.createDataFrame(rows, "mix_name string, source string, at double, weight double")
+    targets = spark.createDataFrame([("m", "big_source", 0.5, 2), ("m", "tiny", 0.5, 2)], TARGETS)
+    copies = M.mix_sources(docs_of(spark), targets, schedules=schedules).copies.toPandas()
+    w = {"big_source": lambda t: 2 * t if t < 0.5 else 2 - 2 * t, "tiny": lambda t: 0 if t < 0.25 else 4 * t - 1 if t < 0.5 else 1}
+    for source, g in copies.groupby("source"):
+        g = g.sort_values("position")
+        steps = 20000
+        area = [0.0]
+        for i in range(steps):
+            area.append(area[-1] + w[source]((i + 0.5) / steps))
+        for at, done in list(zip(g.position, (g.n_tokens.cumsum() - g.n_tokens) / g.n_tokens.sum()))[::7]:
+            assert area[int(at * steps)] / area[-1] == pytest.approx(done, abs=0.02)
+    assert copies[copies.source == "tiny"].position.min() >= 0.25
+
+
+def test_large_documents_do_not_spoil_small_mixes(spark):
+    """One document is larger than its source's demand: smaller ones fill it instead."""
+    docs = spark.createDataFrame([(i, "word " * n, "a") for i, n in enumerate([900, 70, 61, 53, 31, 17, 9, 5, 3, 2])] + [(100 + i, "word " * 20, "b") for i in range(50)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "a", 0.2, 1), ("m", "b", 0.8, 1)], TARGETS)
+    got = M.mix_sources(docs, targets)
+    shares = {r.source: r for r in got.shares.collect()}
+    assert shares["a"].reached_share == pytest.approx(0.2, abs=0.004) and shares["b"].most_copies == 1 and shares["a"].most_copies == 1
+    c = got.copies.toPandas()
+    assert not c.duplicated(["doc_id", "copy_no"]).any() and 0 not in set(c.doc_id)
+
+
 def test_prefix_sums(spark):
     d = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 7).alias("n_tokens"))
     p = M.before_each(d, "source", "n_tokens", "doc_id", 1).toPandas().sort_values(["source", "_before", "n_tokens"])
