@@ -36,8 +36,25 @@ _RUNS = f"""
     )
 """
 
-# p2 has no SQL: a recursive query reaches all pairs within a group, too slow on whole tables. p6, p7 and p8 are
-# beyond SQL. All are tested against brute force.
+_UUID = "CASE WHEN regexp_matches(regexp_replace(translate(lower(trim({0})), '{{}}-', ''), '^urn:uuid:', ''), '^[0-9a-f]{{32}}$') THEN CAST(CAST(regexp_replace(translate(lower(trim({0})), '{{}}-', ''), '^urn:uuid:', '') AS UUID) AS VARCHAR) END"
+
+# Labels of a recursive table with one row per vertex: each round takes the least label among the neighbours.
+_GROUPS = f"""
+    WITH RECURSIVE o AS (
+        SELECT DISTINCT coalesce({_UUID.format("observation_id")}, nullif(trim(observation_id), '')) AS id FROM identity_observations WHERE observation_id IS NOT NULL
+    ), p AS (
+        SELECT {_UUID.format("left_observation_id")} AS x, {_UUID.format("right_observation_id")} AS y FROM identity_edges
+        WHERE decision IN ('accepted', 'accepted_with_warning') AND edge_effect = 'union_same_type'
+    ), e AS (
+        SELECT DISTINCT x, y FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p) WHERE x <> y AND x IN (SELECT id FROM o) AND y IN (SELECT id FROM o)
+    ), g(id, label) USING KEY (id) AS (
+        SELECT DISTINCT x, x FROM e
+        UNION
+        SELECT e.y, min(g.label) FROM g JOIN e ON e.x = g.id JOIN recurring.g AS r ON r.id = e.y WHERE g.label < r.label GROUP BY e.y
+    )
+"""
+
+# p6, p7 and p8 are beyond SQL and tested against brute force.
 ORACLE: dict[str, str] = {
     "p1_found": _RUNS
     + """
@@ -52,4 +69,6 @@ ORACLE: dict[str, str] = {
     UNION ALL
     SELECT analysis_id, peer_a, peer_b, event, 1, NULL, NULL, NULL, frame, frame FROM e WHERE t IS NULL
     """,
+    "p2_found": _GROUPS + "SELECT label AS group_id, id AS observation_id FROM g",
+    "p2_groups": _GROUPS + "SELECT coalesce(g.label, o.id) AS group_id, o.id AS observation_id FROM o LEFT JOIN g ON g.id = o.id",
 }

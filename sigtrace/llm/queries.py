@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions.numbers import exact_time, number, number_text
-from sigtrace.llm.components import connected_groups, uuid_key
+from sigtrace.llm.components import connected_groups, dashed, text_key, uuid_key
 from sigtrace.llm.leakage import leaked_items
 from sigtrace.llm.mixing import Mix, mix_sources
 from sigtrace.llm.runs import collapse_runs
@@ -80,15 +80,25 @@ def p1_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("duration", F.col("duration").cast("decimal(38,18)"))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def linking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The edges that link observations, and the observations' ids."""
     accepted = F.col("decision").isin("accepted", "accepted_with_warning") & (F.col("edge_effect") == "union_same_type")
-    edges = table(spark, sf_dir, "identity_edges").filter(accepted)
-    known = table(spark, sf_dir, "identity_observations").select("observation_id")
-    dashed = lambda c: F.regexp_replace(c, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return table(spark, sf_dir, "identity_edges").filter(accepted), table(spark, sf_dir, "identity_observations").select("observation_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, known = linking(spark, sf_dir)
     groups = connected_groups(edges, "left_observation_id", "right_observation_id", known, uuid_key)
     return groups.select(dashed(F.col("group_id")).alias("group_id"), dashed(F.col("id")).alias("observation_id"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every observation with the identifier of its whole linked group, those without a link with their own."""
+    edges, known = linking(spark, sf_dir)
+    groups = connected_groups(edges, "left_observation_id", "right_observation_id", known, text_key, singles=True)
+    return groups.select(dashed(F.col("group_id")).alias("group_id"), dashed(F.col("id")).alias("observation_id"))
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -130,6 +140,7 @@ QUERIES = {
     "p1_collapsed": p1_collapsed,
     "p1_similar": p1_similar,
     "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p6_found": p6_found,
     "p6_passages": p6_passages,
     "p7_mix": p7_mix,

@@ -57,6 +57,17 @@ def test_unknown_ids_and_empty(spark):
     assert C.hash_to_min(spark.createDataFrame([], "a long, b long"), RunFolder(spark, "t")).count() == 0
 
 
+def test_single_vertices_have_a_row_too(spark):
+    links = spark.createDataFrame([("b", "a"), ("a", "gone"), ("c", "c")], "l string, r string")
+    known = spark.createDataFrame([(x,) for x in ("a", "b", "c", " d ", None, "", "c")], "id string")
+    got = sorted((r.group_id, r.id) for r in C.connected_groups(links, "l", "r", known, C.text_key, singles=True).collect())
+    assert got == [("a", "a"), ("a", "b"), ("c", "c"), ("d", "d")]
+
+
+def test_few_keys_are_hot_however_many_rows(spark):
+    assert skew.hot_size(10) == skew.HOT and skew.hot_size(10**12) * skew.MOST_HOT >= 10**12 and 10**12 // skew.hot_size(10**12) <= skew.MOST_HOT
+
+
 @pytest.mark.parametrize("text", ["0B2F6A1E-8d1c-5c51-9a52-7a8f0c6d5e11", " {0b2f6a1e-8d1c-5c51-9a52-7a8f0c6d5e11} ", "urn:uuid:0b2f6a1e-8d1c-5c51-9a52-7a8f0c6d5e11", "0b2f6a1e8d1c5c519a527a8f0c6d5e11"])
 def test_uuids_however_written(spark, text):
     from pyspark.sql import functions as F
