@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigtrace.operators.skew import hot_size, join_hot
 from sigtrace.sources.shared import RunFolder
 
 ROUNDS = 200
@@ -19,18 +20,23 @@ def smallest_labels(edges: DataFrame, folder: RunFolder) -> DataFrame:
 
     Edges may repeat in any direction; null ends are left out; a loop makes a
     vertex of its own. Each round takes the least label among neighbours, then
-    that label's label, so chains halve.
+    that label's label, so chains halve. Vertices with many neighbours and
+    labels of many vertices are joined by broadcast. After ROUNDS rounds, far
+    beyond what halving needs, it raises.
     """
     e = edges.select("a", "b").filter("a is not null and b is not null")
     both = folder.write(e.unionAll(e.select(F.col("b"), F.col("a"))).distinct(), "both")
+    hot = hot_size(both.count())
     labels = folder.write(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels0")
     for k in range(1, ROUNDS + 1):
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("to"))
+        near = join_hot(both, labels.select(F.col("v").alias("b"), "label"), "b", "label", "a", hot).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        new = folder.write(labels.join(near, "v").select("v", "label", F.least("label", "near").alias("to")), f"near{k}")
         jump = labels.select(F.col("v").alias("to"), F.col("label").alias("far"))
-        new = folder.write(new.join(jump, "to").select("v", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("label")).alias("moved")), f"labels{k}")
+        new = join_hot(new, jump, "to", "far", "v", hot).select("v", F.least("to", "far").alias("to"), "label")
+        new = folder.write(new.select("v", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")), f"labels{k}")
         moved = new.filter("moved").limit(1).count()
         folder.drop(f"labels{k - 1}")
+        folder.drop(f"near{k}")
         labels = new.select("v", "label")
         if not moved:
             return labels

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigtrace.operators.ordered import with_neighbour, with_position
+from sigtrace.operators.skew import join_hot
 from sigtrace.operators.transactions import earliest
 
 # The node type of each kind of identifier; all others are PFCP_SESSION.
@@ -17,6 +18,39 @@ NODE_TYPES = {
 }
 
 
+# The role of each node type.
+ROLES = {"UE": "UE", "ACCESS_CONTEXT": "ACCESS_CONTEXT", "PDU_SESSION": "SESSION", "SM_CONTEXT": "SESSION", "PFCP_SESSION": "USER_PLANE"}
+
+
+def role(kind: Column) -> Column:
+    """What an identifier of a kind stands for; null for null."""
+    table = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    return F.when(kind.isNotNull(), table[node_type(kind)])
+
+
+def scope_key(kind: Column, access: Column, src: Column, dst: Column, frame: Column) -> Column:
+    """Where a value of a kind is unique: a subscriber's anywhere, an access context's between two endpoints in that
+    direction, a session's within its access context, any other in its frame. Missing parts are ``unknown``."""
+    or_unknown = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    return (
+        F.when(kind.isin(NODE_TYPES["UE"]), F.concat(kind, F.lit(":subscriber")))
+        .when(kind.isin(NODE_TYPES["ACCESS_CONTEXT"]), F.concat_ws(":", kind, or_unknown(src), or_unknown(dst)))
+        .when(kind.isin("pdu_session_id", "procedure_transaction_id", "sm_context_ref"), F.concat(kind, F.lit(":access:"), or_unknown(access)))
+        .otherwise(F.concat(kind, F.lit(":frame:"), or_unknown(frame)))
+    )
+
+
+def nodes_of_events(events: DataFrame, obs: DataFrame, members: DataFrame, event: str = "event_id") -> DataFrame:
+    """``event, node_id, node_type``: the distinct nodes of each event, by its observations.
+
+    ``obs`` has ``event`` and ``observation_id``, ``members`` ``observation_id``,
+    ``node_id``, ``node_type``. Two equi-joins; events without nodes have a row
+    with nulls.
+    """
+    n = obs.select(event, "observation_id").distinct().join(members.select("observation_id", "node_id", "node_type").distinct(), "observation_id").select(event, "node_id", "node_type").distinct()
+    return events.select(event).distinct().join(n, event, "left")
+
+
 def node_type(kind: Column) -> Column:
     c = None
     for name, kinds in NODE_TYPES.items():
@@ -44,17 +78,15 @@ def chain(obs: DataFrame, by: list[str], frame: str, ident: str) -> DataFrame:
     return n.select(*by, F.col(ident).alias("left_id"), "right_id").filter("right_id is not null")
 
 
-def together(obs: DataFrame, event: str, ident: str, kind: str, kinds: list[str]) -> DataFrame:
-    """Pairs of observations of one event of different kinds (by place in ``kinds``).
+def star(obs: DataFrame, event: str, key: str) -> DataFrame:
+    """Edges ``a, b`` that connect all keys of an event: from its smallest key to each, itself too.
 
-    All pairs of an event are built, so their number grows with the square of
-    its observations; ``linked`` counts pairs without building them.
+    As many as there are distinct keys of events, where all pairs would grow with
+    the square; an event with a third of all rows is spread over tasks.
     """
-    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind))
-    o = obs.withColumn("_p", place).filter("_p > 0")
-    a = o.select(event, F.col(ident).alias("left_id"), F.col(kind).alias("left_kind"), F.col("_p").alias("_a"))
-    b = o.select(event, F.col(ident).alias("right_id"), F.col(kind).alias("right_kind"), F.col("_p").alias("_b"))
-    return a.join(b, event).filter("_a < _b").drop("_a", "_b")
+    o = obs.filter(F.col(event).isNotNull() & F.col(key).isNotNull()).select(event, key).distinct()
+    hubs = o.groupBy(event).agg(F.min(key).alias("_hub"), F.count("*").alias("size"))
+    return join_hot(o, hubs, event, "_hub", key).select(F.col("_hub").alias("a"), F.col(key).alias("b")).distinct()
 
 
 def linked(obs: DataFrame, event: str, kind: str) -> DataFrame:

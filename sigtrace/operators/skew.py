@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT = 20_000  # rows of one key from which on it is joined by broadcast
+MOST_HOT = 1 << 20  # keys that are broadcast at most, about 40 MB: of more rows a key must have more to be hot
+
+
+def hot_size(rows: int) -> int:
+    """Rows of a key from which on it is hot, of so many rows in all: at most MOST_HOT keys are."""
+    return max(HOT, -(-rows // MOST_HOT))
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, fact: str, spread: str, hot_rows: int | None = None) -> DataFrame:
@@ -15,7 +21,9 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, fact: str, spread: str
     of rows of the key, else rows are counted here. Facts of keys with at least
     ``hot_rows`` rows (HOT) are broadcast: n rows have at most n / HOT such keys.
     The rows that find theirs there are spread by ``spread`` over the tasks of the
-    shuffle join that all others need, so nothing is read twice.
+    shuffle join that all others need, so nothing is read twice. With the
+    ``hot_size`` of the number of rows as ``hot_rows`` the broadcast is bounded
+    however many rows there are.
     """
     least = HOT if hot_rows is None else hot_rows
     if "size" in facts.columns:
