@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from sigtrace.operators.ordered import with_neighbour, with_position, with_running_sum
+from sigtrace.operators.ordered import _same, with_neighbour, with_position
 
 
 @dataclass(frozen=True)
@@ -102,14 +103,23 @@ BLOCK = 1 << 16  # frames of one block of a subject's timeline
 def islands(events: DataFrame, by: list[str], order: str, time: str, gap: int, last: Column) -> DataFrame:
     """Single-profile mode without Python: an attempt ends after a ``last`` event or a silence beyond ``gap``.
 
-    Adds ``attempt_no`` from 1 to each event. ``order`` is a unique integer; a
-    subject's timeline is cut into blocks of it, so a hot subject is spread.
+    Adds ``attempt_no`` from 1 to each event. ``order`` is a unique integer. A
+    subject's timeline is cut into blocks of it, so a hot subject is spread: one
+    window within blocks gives what starts there, one over the blocks what came
+    before, both from one shuffle of the events.
     """
-    block = F.floor(F.col(order) / BLOCK)
-    before = F.struct(F.col(time).alias("t"), F.coalesce(last, F.lit(False)).alias("l"))
-    e = with_neighbour(events, by, block, [order], before, "_p")
-    starts = F.col("_p").isNull() | (F.col(time) - F.col("_p.t") > gap) | F.coalesce(F.col("_p.l"), F.lit(False))
-    return with_running_sum(e, by, block, [order], starts.cast("int"), "attempt_no").drop("_p")
+    e = events.withColumn("_b", F.floor(F.col(order) / BLOCK)).withColumn("_e", F.struct(F.col(time).alias("t"), F.coalesce(last, F.lit(False)).alias("l")))
+    v = Window.partitionBy(*by, "_b").orderBy(order)
+    new = lambda p, t: ((t - p["t"] > gap) | p["l"]).cast("int")
+    inner = e.withColumn("_s", F.coalesce(new(F.lag("_e").over(v), F.col(time)), F.lit(0))).withColumn("_in", F.sum("_s").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = inner.groupBy(*by, "_b").agg(F.min(F.struct(order, time))[time].alias("_first"), F.max_by("_e", order).alias("_last"), F.sum("_s").alias("_sum"))
+    w = Window.partitionBy(*by).orderBy("_b")
+    begins = F.coalesce(new(F.lag("_last").over(w), F.col("_first")), F.lit(1))
+    blocks = blocks.withColumn("_begins", begins)
+    before = F.sum(F.col("_begins")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*by, "_b"])], before.alias("_before"))
+    joined = inner.join(offsets, _same([*by, "_b"], [f"_o{i}" for i in range(len(by) + 1)]))
+    return joined.select(*events.columns, (F.col("_before") + F.col("_in")).alias("attempt_no"))
 
 
 def summarise(labelled: DataFrame, by: list[str], success: Column, failure: Column, time: str, capture_end: Column, gap: int) -> DataFrame:

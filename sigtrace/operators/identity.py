@@ -90,7 +90,7 @@ def star(obs: DataFrame, event: str, key: str) -> DataFrame:
 
 
 def linked(obs: DataFrame, event: str, kind: str) -> DataFrame:
-    """Pairs of observations linked by a common event, per ``left_kind`` and ``right_kind``: ``n_pairs``, ``n_events``.
+    """Pairs of observations linked by a common event, per event, ``left_kind`` and ``right_kind``: ``n_pairs``.
 
     Observations of different node types are linked, and those of access
     contexts also with each other, of one kind too. Left is the lesser by node
@@ -104,8 +104,7 @@ def linked(obs: DataFrame, event: str, kind: str) -> DataFrame:
     access = (F.col("a.t") == "ACCESS_CONTEXT") & (F.col("b.t") == "ACCESS_CONTEXT")
     pair = pair.filter((F.col("a.t") < F.col("b.t")) | (access & (F.col("a.k") <= F.col("b.k"))))
     pairs = F.when(same, F.expr("a.n * (a.n - 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
-    p = pair.select(F.col("a.k").alias("left_kind"), F.col("b.k").alias("right_kind"), pairs.alias("_n")).filter("_n > 0")
-    return p.groupBy("left_kind", "right_kind").agg(F.sum("_n").alias("n_pairs"), F.count("*").alias("n_events"))
+    return pair.select(event, F.col("a.k").alias("left_kind"), F.col("b.k").alias("right_kind"), pairs.alias("n_pairs")).filter("n_pairs > 0")
 
 
 def node_table(obs: DataFrame, key: list[str]) -> DataFrame:

@@ -10,26 +10,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigtrace.operators.ordered import _same
+from sigtrace.operators.ordered import _same, running
 
 
-def in_interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, lo: str, hi: str, width: int, how: str = "inner", open_end: int | None = None) -> DataFrame:
+def _level(length: Column, width: int) -> Column:
+    """The smallest k with ``width`` * 2**k >= ``length``."""
+    return F.greatest(F.ceil(F.log2(length / F.lit(width))), F.lit(0)).cast("int")
+
+
+def in_interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, lo: str, hi: str, width: int) -> DataFrame:
     """Points with the spans of the same ``by`` values around them, bounds included; a null ``hi`` is open.
 
-    Spans are listed once per bucket of ``width`` they touch, points have one
-    bucket. ``open_end`` is the end of open spans for that (default: the
-    greatest ``at``). Columns of ``spans`` must have other names, but for ``by``.
-    Null keys and points match nothing.
+    A span has the level k whose blocks of ``width`` * 2**k are as long as it at
+    least, so it touches two of them at most, however long it is; points are
+    looked up once in each level there is, of which there are no more than 64.
+    Open spans end with the last point. Columns of ``spans`` must have other
+    names, but for ``by``. Null keys and points match nothing.
     """
-    if open_end is None:
-        open_end = points.agg(F.max(at)).first()[0] or 0
-    first, last = F.floor(F.col(lo) / width), F.floor(F.coalesce(F.col(hi), F.greatest(F.col(lo), F.lit(open_end))) / width)
-    s = spans.filter(F.col(lo).isNotNull() & (F.coalesce(F.col(hi), F.col(lo)) >= F.col(lo))).withColumn("_k", F.explode(F.sequence(first, last)))
-    p = points.withColumn("_k", F.floor(F.col(at) / width))
-    joined = p.alias("p").join(s.alias("s"), [F.col(f"p.{c}") == F.col(f"s.{c}") for c in [*by, "_k"]] + [F.col(f"p.{at}") >= F.col(f"s.{lo}"), F.col(f"s.{hi}").isNull() | (F.col(f"p.{at}") <= F.col(f"s.{hi}"))], how)
+    end = points.agg(F.max(at).cast("bigint").alias("_end")).scalar()
+    s = spans.withColumn("_hi", F.coalesce(F.col(hi), F.greatest(F.col(lo), end))).filter(F.col(lo).isNotNull() & (F.col("_hi") >= F.col(lo)))
+    s = s.withColumn("_k", _level(F.col("_hi") - F.col(lo) + 1, width))
+    levels = F.sort_array(s.agg(F.collect_set("_k").alias("_k")).scalar())
+    size = F.lit(width).cast("bigint") * F.expr("shiftleft(1L, _k)")
+    s = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col("_hi") / size))))
+    p = points.withColumn("_k", F.explode(levels)).withColumn("_b", F.floor(F.col(at) / size))
+    joined = p.alias("p").join(s.alias("s"), [F.col(f"p.{c}") == F.col(f"s.{c}") for c in [*by, "_k", "_b"]] + [F.col(f"p.{at}").between(F.col(f"s.{lo}"), F.col("s._hi"))])
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in spans.columns if c not in by])
 
 
+def valid_counts(points: DataFrame, spans: DataFrame, by: list[str], at: str, lo: str, hi: str, value: str, width: int) -> DataFrame:
+    """``by, at, n_valid, first_valid``: of the spans around each distinct point how many there are, and the least ``value``.
+
+    Spans with an end are looked up by ``in_interval``; of open ones, which hold
+    for all that follows, a running count and minimum says as much, so no pairs
+    of them are built. Points in no span have no row.
+    """
+    p = points.select(*by, at).filter(F.col(at).isNotNull()).distinct()
+    closed = in_interval(p, spans.filter(F.col(hi).isNotNull()), by, at, lo, hi, width).select(*by, at, F.lit(1).cast("bigint").alias("_n"), F.col(value).alias("_v"))
+    facts = spans.filter(F.col(hi).isNull() & F.col(lo).isNotNull()).groupBy(*by, F.col(lo).alias("_t")).agg(F.count("*").alias("_n"), F.min(value).alias("_v"))
+    both = facts.withColumn("_p", F.lit(0)).unionByName(p.select(*by, F.col(at).alias("_t"), F.lit(0).cast("bigint").alias("_n"), F.lit(None).cast(spans.schema[value].dataType).alias("_v"), F.lit(1).alias("_p")))
+    open_ = running(both, by, F.floor(F.col("_t") / width), ["_t", "_p"], {"_rn": (F.sum, F.col("_n")), "_rv": (F.min, F.col("_v"))})
+    open_ = open_.filter("_p = 1 and _rn > 0").select(*by, F.col("_t").alias(at), F.col("_rn").alias("_n"), F.col("_rv").alias("_v"))
+    return closed.unionByName(open_).groupBy(*by, at).agg(F.sum("_n").alias("n_valid"), F.min("_v").alias("first_valid"))
+
+
 def last_before(points: DataFrame, facts: DataFrame, by: list[str], at: str, when: str, take: list[str], width: int = 1 << 16) -> DataFrame:
     """As-of: to each point the ``take`` columns of the latest fact of the same ``by`` with ``when`` <= ``at``, as ``as_of_...``.
 
@@ -54,9 +78,9 @@ def last_before(points: DataFrame, facts: DataFrame, by: list[str], at: str, whe
 
 def around(anchors: DataFrame, rows: DataFrame, anchor: str, at: str, before: int, after: int) -> DataFrame:
     """Rows within ``before`` and ``after`` of each anchor, both positions integers."""
-    a = anchors.withColumn("_lo", F.col(anchor) - before).withColumn("_hi", F.col(anchor) + after).withColumn("_one", F.lit(1))
+    a = anchors.withColumn("_from", F.col(anchor) - before).withColumn("_to", F.col(anchor) + after).withColumn("_one", F.lit(1))
     width = max(before + after, 1)
-    return in_interval(rows.withColumn("_one", F.lit(1)), a, ["_one"], at, "_lo", "_hi", width, open_end=0).drop("_one", "_lo", "_hi")
+    return in_interval(rows.withColumn("_one", F.lit(1)), a, ["_one"], at, "_from", "_to", width).drop("_one", "_from", "_to")
 
 
 def compare(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -74,7 +98,12 @@ def similarity(pairs: DataFrame, by: list[str], left: str, right: str) -> DataFr
 
 
 def latest_valid(points: DataFrame, spans: DataFrame, by: list[str], at: str, lo: str, hi: str, tie: Column, width: int, key: list[str]) -> DataFrame:
-    """Of the spans valid at each point the one that began last, then the smallest ``tie``."""
+    """Of the spans valid at each point the one that began last, then the smallest ``tie``; ``key`` identifies a point.
+
+    One aggregate with a partial step, so a point in many spans is reduced before
+    the shuffle. Points in no span have no row.
+    """
     found = in_interval(points, spans, by, at, lo, hi, width)
-    w = Window.partitionBy(*key).orderBy(F.col(lo).desc(), tie)
-    return found.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in found.columns if c not in key]
+    best = F.min(F.struct((-F.col(lo)).alias("l"), tie.alias("t"), F.struct(*rest).alias("r")))
+    return found.groupBy(*key).agg(best.alias("_x")).select(*key, "_x.r.*").select(*found.columns)

@@ -72,3 +72,24 @@ def with_running_sum(df: DataFrame, by: list[str], block: Column, order: list[st
     inner = b.withColumn("_in", F.sum("_v").over(v))
     joined = inner.join(offsets, _same([*by, "_b"], [f"_o{i}" for i in range(len(by) + 1)]))
     return joined.withColumn(to, F.col("_before") + F.col("_in")).select(*df.columns, to)
+
+
+def running(df: DataFrame, by: list[str], block: Column, order: list[str], aggs: dict[str, tuple]) -> DataFrame:
+    """For each ``to: (function, value)`` of ``aggs`` the aggregate of ``value`` over the rows of the group up to each row.
+
+    ``function`` is F.sum, F.min or F.max. One window within blocks, one over
+    them, from one shuffle of the rows.
+    """
+    names = list(aggs)
+    b = df.withColumn("_b", block).withColumns({f"_v{i}": aggs[n][1] for i, n in enumerate(names)})
+    v = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = b.withColumns({f"_in{i}": aggs[n][0](f"_v{i}").over(v) for i, n in enumerate(names)})
+    blocks = inner.groupBy(*by, "_b").agg(*[aggs[n][0](f"_v{i}").alias(f"_s{i}") for i, n in enumerate(names)])
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*by, "_b"])], *[aggs[n][0](f"_s{i}").over(w).alias(f"_p{i}") for i, n in enumerate(names)])
+    joined = inner.join(offsets, _same([*by, "_b"], [f"_o{i}" for i in range(len(by) + 1)]))
+    both = {}
+    for i, n in enumerate(names):
+        here, far = F.col(f"_in{i}"), F.col(f"_p{i}")
+        both[n] = F.coalesce(here + far, here, far) if aggs[n][0] is F.sum else (F.least if aggs[n][0] is F.min else F.greatest)(here, far)
+    return joined.select(*df.columns, *[c.alias(n) for n, c in both.items()])

@@ -53,8 +53,9 @@ def timeline(items: list[DataFrame], by: list[str], order: list[str], most: int
     all_ = items[0]
     for i in items[1:]:
         all_ = all_.unionByName(i, allowMissingColumns=True)
-    t = all_.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    return t if most is None else t.filter(F.col("ordinal") < most)
+    t = all_.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    t = t if most is None else t.filter(F.col("ordinal") <= most)  # so that only as many of each task are shuffled
+    return t.withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def pages(rows: DataFrame, by: list[str], order: list[str], size: Column, most_bytes: int, most_rows: int) -> DataFrame:

@@ -46,10 +46,10 @@ def transactions(events: DataFrame, keys: list[str], group: Column) -> DataFrame
 
 
 def retry_groups(tx: DataFrame, by: list[str], failed: Column, order: list[str]) -> DataFrame:
-    """Groups of at least two transactions of which one before the last failed."""
-    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
-    t = tx.withColumn("_last", F.row_number().over(w) == 1).withColumn("_failed", F.coalesce(failed, F.lit(False)))
-    g = t.groupBy(*by).agg(F.count("*").alias("n_transactions"), F.count_if(F.col("_failed") & ~F.col("_last")).alias("failed_before_last"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"))
+    """Groups of at least two transactions of which one before the last (by ``order``) failed; one aggregate."""
+    bad = F.coalesce(failed, F.lit(False))
+    last = F.max_by(bad.cast("int"), F.struct(*order))
+    g = tx.groupBy(*by).agg(F.count("*").alias("n_transactions"), (F.count_if(bad) - last).alias("failed_before_last"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"))
     return g.filter("n_transactions >= 2 and failed_before_last >= 1")
 
 

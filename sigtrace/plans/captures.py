@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigtrace.functions import messages as M
 from sigtrace.functions import text as X
 from sigtrace.functions.numbers import number_text
 from sigtrace.operators import identity as I
@@ -70,10 +71,25 @@ def node_pairs(spark, d):
     return read(spark, d, "pfcp_messages").groupBy("analysis_id", pair.alias("node_pair")).agg(F.count("*").alias("n"), F.count_if("is_heartbeat").alias("n_heartbeats"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
-@query(f"""WITH n AS (SELECT analysis_id, {NUM.format('seq_num')} AS seq, {NUM.format('msg_type')} AS typ, frame, response_to,
-        regexp_extract(pfcp, '"cause"\\s*:\\s*"([^"]*)"', 1) AS cause FROM pfcp_messages WHERE {NUM.format('msg_type')} IN ('50', '51', '52', '53', '54', '55'))
-    SELECT analysis_id, seq, count(*) AS n_messages, min(frame) AS first_frame, count(*) FILTER (typ IN ('51', '53', '55')) AS n_responses,
-    CASE WHEN bool_or(cause NOT IN ('', '1')) THEN 'failure' WHEN bool_or(typ IN ('51', '53', '55') AND cause = '1') THEN 'success' ELSE 'unknown' END AS outcome FROM n GROUP BY analysis_id, seq""")
+def _first(column: str, *suffixes: str) -> str:
+    """SQL for the first scalar of a tree whose key ends with one of the suffixes; nulls are passed over."""
+    ends = "|".join("[^a-z0-9\"]*".join(x for x in s.lower() if x.isalnum()) for s in suffixes)
+    plain = f"replace({column}, chr(92) || chr(34), chr(34))"
+    found = f"regexp_extract({plain}, '(?i)\"[^\"]*(?:{ends})[^a-z0-9\"]*\"\\s*:\\s*(?:\\[\\s*)?(\"[^\"{{}}\\[\\]]*\"|-?[0-9][0-9.eE+-]*|true|false)', 1)"
+    return f"CASE WHEN json_valid({column}) AND {found} <> '' THEN trim({found}, '\"') END"
+
+
+@query(f"""WITH t AS (SELECT analysis_id, frame, {NUM.format('msg_type')} AS typ, {NUM.format("nullif(response_to, 'None')")} AS answered, {NUM.format('seq_num')} AS own_seq,
+        CASE WHEN transport.src_ip IS NOT NULL AND transport.dst_ip IS NOT NULL THEN least(transport.src_ip, transport.dst_ip) || '->' || greatest(transport.src_ip, transport.dst_ip) END AS pair,
+        {_first('pfcp', 'cpseid', 'cp-f-seid', 'f-seid')} AS cp, {_first('pfcp', 'upseid', 'up-f-seid')} AS up, seid AS own, {_first('pfcp', 'pdusessionid', 'pdu-session-id')} AS pdu,
+        coalesce(trim({_first('pfcp', 'cause')}), regexp_extract(pfcp, '"cause"\\s*:\\s*"([^"]*)"', 1), '') AS cause FROM pfcp_messages),
+    n AS (SELECT *, coalesce({NUM.format('cp')}, {NUM.format('up')}, {NUM.format('own')}, nullif({NUM.format('pdu')}, '0')) AS own_seid,
+        coalesce(typ IN ({', '.join(f"'{x}'" for x in PFCP_RESPONSES)}), false) AS response FROM t)
+    SELECT analysis_id, answered AS response_to, CASE WHEN answered IS NULL THEN pair END AS node_pair, CASE WHEN answered IS NULL THEN own_seq END AS seq, CASE WHEN answered IS NULL THEN own_seid END AS seid,
+        count(*) AS n_messages, min(frame) AS first_frame, count(*) FILTER (response) AS n_responses,
+        CASE WHEN bool_or(lower(trim(cause)) NOT IN ('', 'none', '1', 'request_accepted', 'accepted', 'success', 'successful')) THEN 'failure'
+            WHEN bool_or(response AND lower(trim(cause)) IN ('1', 'request_accepted', 'accepted', 'success', 'successful')) THEN 'success' ELSE 'unknown' END AS outcome
+    FROM n GROUP BY ALL""")
 def pfcp_transactions(spark, d):
     """All messages by what they answer, else by node pair, sequence and SEID; the parts of the key not used are null.
 
@@ -88,7 +104,8 @@ def pfcp_transactions(spark, d):
     m = m.select("analysis_id", "frame", "pair", answered.alias("response_to"), number_text(F.col("seq_num")).alias("seq"), seid.alias("seid"), number_text(F.col("msg_type")).alias("typ"), cause.alias("cause"))
     own = lambda c: F.when(F.col("response_to").isNull(), F.col(c))
     response = F.coalesce(F.col("typ").isin(PFCP_RESPONSES), F.lit(False))
-    outcome = F.when(F.bool_or(~F.col("cause").isin("", "1")), "failure").when(F.bool_or(response & (F.col("cause") == "1")), "success").otherwise("unknown")
+    said = M.reply_cause_class(F.col("cause"), others="failure")
+    outcome = F.when(F.bool_or(said == "failure"), "failure").when(F.bool_or(response & (said == "success")), "success").otherwise("unknown")
     g = m.groupBy("analysis_id", "response_to", own("pair").alias("node_pair"), own("seq").alias("seq"), own("seid").alias("seid"))
     return g.agg(F.count("*").alias("n_messages"), F.min("frame").alias("first_frame"), F.count_if(response).alias("n_responses"), outcome.alias("outcome"))
 
@@ -96,9 +113,7 @@ def pfcp_transactions(spark, d):
 @query("""WITH t AS (SELECT row_id, lower(ngap) AS t FROM ngap_messages)
     SELECT row_id, CASE WHEN contains(t, 'unsuccessfuloutcome') THEN 'failure' WHEN contains(t, 'successfuloutcome') THEN 'success' WHEN contains(t, 'initiatingmessage') THEN 'request' ELSE 'unknown' END AS outcome FROM t""")
 def ngap_outcomes(spark, d):
-    t = F.lower("ngap")
-    has = lambda w: F.coalesce(F.contains(t, F.lit(w)), F.lit(False))
-    return read(spark, d, "ngap_messages").select("row_id", F.when(has("unsuccessfuloutcome"), "failure").when(has("successfuloutcome"), "success").when(has("initiatingmessage"), "request").otherwise("unknown").alias("outcome"))
+    return read(spark, d, "ngap_messages").select("row_id", M.pdu_outcome(M.pdu_class(F.col("ngap"))).alias("outcome"))
 
 
 @query()
@@ -151,11 +166,12 @@ def stream_assembly(spark, d):
 
 
 @query("""SELECT row_id, response.body.byte_length AS byte_length, response.body.content_type AS content_type, octet_length(encode(response.body.decoded_json)) <= 200 AS small,
-    CASE WHEN octet_length(encode(response.body.decoded_json)) <= 200 THEN response.body.decoded_json END AS decoded FROM http2_streams WHERE response.body IS NOT NULL""")
+    CASE WHEN octet_length(encode(response.body.decoded_json)) <= 200 THEN response.body.decoded_json END AS decoded,
+    CASE WHEN response.body.multipart IS NOT NULL THEN CAST(coalesce(CASE WHEN json_valid(response.body.multipart) AND json_type(response.body.multipart) = 'ARRAY' THEN json_array_length(response.body.multipart) END, 1) AS INTEGER) END AS parts
+    FROM http2_streams WHERE response.body IS NOT NULL""")
 def body_summaries(spark, d):
-    b = F.col("response.body")
-    small = F.octet_length(b["decoded_json"]) <= 200
-    return read(spark, d, "http2_streams").filter(b.isNotNull()).select("row_id", b["byte_length"].alias("byte_length"), b["content_type"].alias("content_type"), small.alias("small"), F.when(small, b["decoded_json"]).alias("decoded"))
+    b = M.body_summary(F.col("response.body"), 200)
+    return read(spark, d, "http2_streams").select("row_id", b.alias("b")).filter("b is not null").select("row_id", "b.byte_length", "b.content_type", "b.small", "b.decoded", "b.parts")
 
 
 @query("""WITH n AS (SELECT nullif(regexp_extract(nullif(regexp_extract(request.uri, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), ''), '^/*([^/]+)', 1), '') AS api, response.status AS status, completion.state AS state FROM http2_streams)
@@ -183,19 +199,25 @@ def observation_kinds(spark, d):
     return o.groupBy("kind").agg(F.count("*").alias("n_rows")).join(one, "kind", "left").select("kind", "n_rows", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
-@query("""WITH o AS (SELECT event_id, kind, lookup_value, min(frame) AS frame FROM identity_observations WHERE event_id IS NOT NULL GROUP BY ALL)
-    SELECT a.kind AS left_kind, b.kind AS right_kind, count(*) AS n_pairs, count(DISTINCT a.event_id) AS n_events FROM o a JOIN o b ON a.event_id = b.event_id AND a.kind = 'amf_ue_ngap_id' AND b.kind IN ('ran_ue_ngap_id', 'supi', 'suci') GROUP BY 1, 2""")
+_TYPE = "CASE WHEN kind IN ('supi', 'suci', 'gpsi', 'guti', 'pei') THEN 'UE' WHEN kind IN ('amf_ue_ngap_id', 'ran_ue_ngap_id') THEN 'ACCESS_CONTEXT' WHEN kind = 'pdu_session_id' THEN 'PDU_SESSION' WHEN kind = 'sm_context_ref' THEN 'SM_CONTEXT' ELSE 'PFCP_SESSION' END"
+
+
+@query(f"""WITH o AS (SELECT event_id, kind, lookup_value, {_TYPE} AS t, min(observation_id) AS id FROM identity_observations WHERE event_id IS NOT NULL GROUP BY ALL)
+    SELECT a.event_id, a.kind AS left_kind, b.kind AS right_kind, count(*) AS n_pairs FROM o a JOIN o b ON a.event_id = b.event_id
+        AND (a.t < b.t OR a.t = 'ACCESS_CONTEXT' AND b.t = 'ACCESS_CONTEXT' AND (a.kind < b.kind OR a.kind = b.kind AND a.lookup_value < b.lookup_value))
+    GROUP BY a.event_id, a.kind, b.kind""")
 def cooccurrence_pairs(spark, d):
+    """How many pairs of observations each event links, by kinds; a large event's pairs are counted, not built."""
     return I.linked(_obs(spark, d), "event_id", "kind")
 
 
 @query("""WITH o AS (SELECT DISTINCT observation_id, kind, lookup_value, scope_key, frame FROM identity_observations), c AS (
     SELECT kind, observation_id AS left_id, lead(observation_id) OVER (PARTITION BY kind, lookup_value, scope_key ORDER BY frame, observation_id) AS right_id FROM o)
-    SELECT kind, count(*) AS n_edges, min(left_id || right_id) AS first_edge FROM c WHERE right_id IS NOT NULL GROUP BY kind""")
+    SELECT kind, left_id, right_id FROM c WHERE right_id IS NOT NULL""")
 def identity_chain(spark, d):
+    """The edges between consecutive observations of each identifier."""
     o = read(spark, d, "identity_observations").select("observation_id", "kind", "lookup_value", "scope_key", "frame").distinct()
-    c = I.chain(o, ["kind", "lookup_value", "scope_key"], "frame", "observation_id")
-    return c.groupBy("kind").agg(F.count("*").alias("n_edges"), F.min(F.concat("left_id", "right_id")).alias("first_edge"))
+    return I.chain(o, ["kind", "lookup_value", "scope_key"], "frame", "observation_id").select("kind", "left_id", "right_id")
 
 
 @query("""SELECT kind, lookup_value, scope_key, min(frame) AS first_frame, max(frame) AS last_frame, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp,
@@ -211,9 +233,9 @@ def node_aliases(spark, d):
     return I.aliases(n, "node_type", "first_frame", "lookup_value")
 
 
-@query("""WITH o AS (SELECT event_id, kind, lookup_value, min(frame) AS frame FROM identity_observations WHERE event_id IS NOT NULL GROUP BY ALL),
-    b AS (SELECT a.lookup_value AS access_id, s.lookup_value AS subscriber, a.frame FROM o a JOIN o s ON a.event_id = s.event_id AND a.kind = 'amf_ue_ngap_id' AND s.kind = 'supi')
-    SELECT access_id, count(DISTINCT subscriber) AS n_values, arg_min(subscriber, (frame, subscriber)) AS first_value FROM b GROUP BY access_id HAVING count(DISTINCT subscriber) > 1""")
+@query(f"""WITH o AS (SELECT event_id, kind, lookup_value, scope_key, {_TYPE} AS t, min(frame) AS frame FROM identity_observations WHERE event_id IS NOT NULL AND lookup_value IS NOT NULL GROUP BY ALL),
+    b AS (SELECT a.kind AS access_kind, a.lookup_value AS access_id, a.scope_key, u.kind AS ue_kind, u.lookup_value AS value, a.frame FROM o a JOIN o u ON a.event_id = u.event_id AND a.t = 'ACCESS_CONTEXT' AND u.t = 'UE')
+    SELECT access_kind, access_id, scope_key, ue_kind, count(DISTINCT value) AS n_values, arg_min(value, (frame, value)) AS first_value FROM b GROUP BY ALL HAVING count(DISTINCT value) > 1""")
 def identity_conflicts(spark, d):
     """Access identifiers, each in its scope, bound to several values of one kind of subscriber identifier."""
     o = read(spark, d, "identity_observations").filter("event_id is not null and lookup_value is not null").withColumn("type", I.node_type(F.col("kind")))
@@ -224,22 +246,25 @@ def identity_conflicts(spark, d):
     return c.select("k.access_kind", "k.access_id", "k.scope_key", F.col("kind").alias("ue_kind"), "n_values", "first_value")
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT DISTINCT event_id, kind || ':' || lookup_value AS k FROM identity_observations WHERE event_id IS NOT NULL AND lookup_value IS NOT NULL AND {_TYPE} = 'ACCESS_CONTEXT'),
+    h AS (SELECT event_id, min(k) AS h FROM o GROUP BY event_id), p AS (SELECT h.h AS x, o.k AS y FROM o JOIN h USING (event_id)), e AS (SELECT DISTINCT x, y FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p)),
+    g(id, label) USING KEY (id) AS (SELECT DISTINCT x, x FROM e UNION
+        SELECT e.y, min(g.label) FROM g JOIN e ON e.x = g.id JOIN recurring.g AS r ON r.id = e.y WHERE g.label < r.label GROUP BY e.y)
+    SELECT id AS v, label FROM g""")
 def access_components(spark, d):
-    """Access identifiers that share events, directly or through others; tested against brute force."""
-    o = _obs(spark, d).filter(I.node_type(F.col("kind")) == "ACCESS_CONTEXT").withColumn("key", F.concat_ws(":", "kind", "lookup_value"))
-    e = I.together(o, "event_id", "key", "kind", ["amf_ue_ngap_id", "ran_ue_ngap_id"]).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    return smallest_labels(e, RunFolder(spark, "access"))
+    """Access identifiers that share events, directly or through others, each with the smallest of its group."""
+    o = _obs(spark, d).filter((I.node_type(F.col("kind")) == "ACCESS_CONTEXT") & F.col("lookup_value").isNotNull()).withColumn("key", F.concat_ws(":", "kind", "lookup_value"))
+    return smallest_labels(I.star(o, "event_id", "key"), RunFolder(spark, "access"))
 
 
-@query("""WITH s AS (SELECT DISTINCT analysis_id, lookup_value, valid_from_frame AS lo, valid_to_frame AS hi FROM identity_observations WHERE kind = 'amf_ue_ngap_id' AND valid_from_frame IS NOT NULL),
+@query("""WITH s AS (SELECT DISTINCT analysis_id, kind || ':' || lookup_value AS value, valid_from_frame AS lo, valid_to_frame AS hi FROM identity_observations WHERE valid_from_frame IS NOT NULL),
     p AS (SELECT DISTINCT analysis_id, frame FROM ngap_messages WHERE analysis_id IS NOT NULL AND frame IS NOT NULL)
-    SELECT p.analysis_id, p.frame, count(*) AS n_valid, min(lookup_value) AS first_valid FROM p JOIN s ON p.analysis_id = s.analysis_id AND p.frame >= lo AND (hi IS NULL OR p.frame <= hi) GROUP BY 1, 2""")
+    SELECT p.analysis_id, p.frame, count(*) AS n_valid, min(value) AS first_valid FROM p JOIN s ON p.analysis_id = s.analysis_id AND p.frame >= lo AND (hi IS NULL OR p.frame <= hi) GROUP BY 1, 2""")
 def valid_at(spark, d):
-    """Identifiers valid at each NGAP message's frame."""
-    s = read(spark, d, "identity_observations").filter("kind = 'amf_ue_ngap_id' and valid_from_frame is not null").select("analysis_id", "lookup_value", F.col("valid_from_frame").alias("lo"), F.col("valid_to_frame").alias("hi")).distinct()
-    p = read(spark, d, "ngap_messages").filter("frame is not null").select("analysis_id", "frame").distinct()
-    return J.in_interval(p, s, ["analysis_id"], "frame", "lo", "hi", 1 << 16).groupBy("analysis_id", "frame").agg(F.count("*").alias("n_valid"), F.min("lookup_value").alias("first_valid"))
+    """How many identifiers are valid at each NGAP message's frame, and the first of them."""
+    s = read(spark, d, "identity_observations").filter("valid_from_frame is not null").select("analysis_id", F.concat("kind", F.lit(":"), "lookup_value").alias("value"), F.col("valid_from_frame").alias("lo"), F.col("valid_to_frame").alias("hi")).distinct()
+    p = read(spark, d, "ngap_messages").filter("frame is not null and analysis_id is not null").select("analysis_id", "frame")
+    return J.valid_counts(p, s.filter("analysis_id is not null"), ["analysis_id"], "frame", "lo", "hi", "value", 1 << 16)
 
 
 @query("""WITH x AS (SELECT edge_id, unnest(supporting_event_ids) AS event_id FROM identity_edges), o AS (SELECT event_id, count(*) AS n, min(frame) AS f FROM identity_observations GROUP BY event_id)

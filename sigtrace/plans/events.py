@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions.ids import mask, run_key, uuid5
+from sigtrace.functions.messages import speaks_of_reachability
 from sigtrace.functions.text import cause_class, holds_tokens, status_class
 from sigtrace.operators import attempts as A
 from sigtrace.operators import joins as J
@@ -82,12 +83,17 @@ def canonical_events(spark, d):
     return e.select("event_id", "frame", "us", "subject", "message_type", "protocol", "status", "outcome", status_class(F.col("status"), F.lit(False)).alias("status_class"), part.alias("part"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT event_id, sha1(unhex('{SPACE.hex}') || encode(user_id || chr(31) || event_id)) AS h FROM events)
+    SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM h""")
 def uuid5_ids(spark, d):
     return canonical(spark, d).select("event_id", uuid5(SPACE, F.col("subject"), F.col("event_id")).alias("uuid"))
 
 
-@query()
+_PADS = [bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"""SELECT user_id AS subject, count(*) AS n, 'supi:mask_' || substr(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode('supi:' || user_id)))), 1, 24) AS masked
+    FROM events GROUP BY user_id""")
 def mask_subject(spark, d):
     return canonical(spark, d).groupBy("subject").agg(F.count("*").alias("n")).select("subject", "n", mask(F.lit("supi"), F.col("subject").cast("string"), KEY).alias("masked"))
 
@@ -159,10 +165,28 @@ def retry_group_detection(spark, d):
     return retry_groups(_transactions(spark, d), ["subject", "path"], F.col("completion") != "complete", ["transaction_key"])
 
 
-@query(f"""WITH {EV} SELECT event_id, CASE
-    WHEN outcome = 'success' THEN 'success' WHEN CAST(k AS VARCHAR) IN ('0', '1') THEN 'success' WHEN k IS NULL THEN 'unknown' ELSE 'failure' END AS class FROM ev""")
+_MESSAGE = {"error": ("REGISTRATION_REJECT", "PAGING_FAILURE", "SESSION_ERROR"), "purchase": ("REGISTRATION_ACCEPT", "SESSION_COMPLETE", "CONTEXT_RELEASE"), "click": ("SERVICE_REQUEST", "SERVICE_ACCEPT", "PATH_SWITCH"), "view": ("IDENTITY_RESPONSE", "SECURITY_MODE_COMPLETE", "STATUS")}
+# The causes of the query's messages.
+_CAUSES = (None, "", "none", "normal", "0", "not_reachable", "protocol_error_17", "111")
+_SQL_MESSAGE = " ".join(f"WHEN message_type = '{t}' AND k % 3 = {i} THEN '{m}'" for t, ms in _MESSAGE.items() for i, m in enumerate(ms))
+_SQL_CAUSE = " ".join(f"WHEN k % 8 = {i} THEN " + ("NULL" if c is None else f"'{c}'") for i, c in enumerate(_CAUSES))
+
+
+@query(f"""WITH {EV}, m AS (SELECT event_id, outcome, lower(coalesce(CASE {_SQL_MESSAGE} END, '')) AS m, lower(coalesce(CASE {_SQL_CAUSE} END, '')) AS c FROM ev)
+    SELECT event_id, CASE WHEN regexp_matches(m, 'reject|fail|unsuccessful|error|not_reachable|unreachable|denied|invalid|missing') THEN 'failure'
+        WHEN outcome = 'success' OR m LIKE '%accept%' OR m LIKE '%complete%' THEN 'success' WHEN c IN ('normal', 'normal_release', 'request_accepted', 'success', 'successful', '0', '1') THEN 'success'
+        WHEN c NOT IN ('', 'none') OR outcome = 'failure' THEN 'failure' ELSE 'unknown' END AS class,
+        regexp_matches(m || ' ' || c, 'paging|not_reachable|unreachable|mobile_terminated|mt_delivery') AS reachability FROM m""")
 def cause_classes(spark, d):
-    return canonical(spark, d).select("event_id", cause_class(F.col("message_type"), F.col("outcome"), F.col("k")).alias("class"))
+    """Messages with names and causes made from the events: classes, and whether they speak of an unreachable subscriber."""
+    e = canonical(spark, d)
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(n).cast("string") for n in names]), (k + 1).cast("int"))
+    message = None
+    for t, names in _MESSAGE.items():
+        here = (F.col("message_type") == t, pick(names, F.col("k") % 3))
+        message = F.when(*here) if message is None else message.when(*here)
+    e = e.withColumn("m", message).withColumn("c", pick(_CAUSES, F.col("k") % 8))
+    return e.select("event_id", cause_class(F.col("m"), F.col("outcome"), F.col("c")).alias("class"), speaks_of_reachability(F.coalesce("m", F.lit("")), F.coalesce("c", F.lit(""))).alias("reachability"))
 
 
 _AT = f"""WITH {EV}, s AS (SELECT *, CASE WHEN lag(time) OVER w IS NULL OR time - lag(time) OVER w > {GAP} OR lag(message_type) OVER w IN ('purchase', 'error') THEN 1 ELSE 0 END AS st
@@ -180,8 +204,19 @@ def _labelled(spark, d):
 
 
 def _attempts(spark, d):
-    end = canonical(spark, d).agg(F.max("time")).first()[0] or 0  # one number
-    return A.summarise(_labelled(spark, d), ["subject"], F.col("message_type") == "purchase", F.col("message_type") == "error", "time", F.lit(end), GAP)
+    return _summarised(_labelled(spark, d), canonical(spark, d))
+
+
+def _summarised(labelled, events):
+    end = events.agg(F.max("time")).scalar()
+    return A.summarise(labelled, ["subject"], F.col("message_type") == "purchase", F.col("message_type") == "error", "time", end, GAP)
+
+
+def _kept(spark, d, what):
+    """Labelled events and attempts, each written once, as the query uses them more than once."""
+    folder = RunFolder(spark, what)
+    lab = folder.write(_labelled(spark, d), "labelled")
+    return lab, folder.write(_summarised(lab, lab), "attempts"), folder
 
 
 @query(_AT + " SELECT * FROM att")
@@ -213,7 +248,7 @@ def sequence_and_retries(spark, d):
 @query(_AT + """ , fa AS (SELECT subject, attempt_no, start_frame FROM att WHERE outcome = 'failed'), su AS (SELECT subject, end_frame, attempt_no FROM att WHERE outcome = 'succeeded')
     SELECT fa.subject, fa.attempt_no, fa.start_frame, su.attempt_no AS as_of_attempt_no FROM fa ASOF LEFT JOIN su ON fa.subject = su.subject AND fa.start_frame >= su.end_frame""")
 def asof_prior_success(spark, d):
-    a = RunFolder(spark, "asof").write(_attempts(spark, d), "attempts")
+    _, a, _ = _kept(spark, d, "asof")
     failed = a.filter("outcome = 'failed'").select("subject", "attempt_no", "start_frame")
     return J.last_before(failed, a.filter("outcome = 'succeeded'"), ["subject"], "start_frame", "end_frame", ["attempt_no"])
 
@@ -226,21 +261,23 @@ _ST = _AT + """, seen AS (SELECT subject, attempt_no, message_type AS stage, min
         FROM grid g LEFT JOIN seen s USING (subject, attempt_no, stage))"""
 
 
-def _stages(spark, d):
-    seen = _labelled(spark, d).withColumn("stage", F.col("message_type"))
+def _stages(labelled):
+    seen = labelled.withColumn("stage", F.col("message_type"))
     return R.stage_states(seen.select("subject", "attempt_no").distinct(), seen, STAGES, ["subject", "attempt_no"])
 
 
 @query(_ST + " SELECT subject, attempt_no, stage_no, stage, first_frame, state FROM st")
 def missing_stages(spark, d):
-    return _stages(spark, d).select("subject", "attempt_no", "stage_no", "stage", "first_frame", "state")
+    lab = RunFolder(spark, "stages").write(_labelled(spark, d), "labelled")
+    return _stages(lab).select("subject", "attempt_no", "stage_no", "stage", "first_frame", "state")
 
 
 @query(_ST + """ SELECT subject, attempt_no, stage FROM st WHERE state = 'missing'
     AND NOT EXISTS (SELECT 1 FROM lab WHERE lab.subject = st.subject AND lab.attempt_no = st.attempt_no AND lab.message_type = 'error')""")
 def unexplained_missing(spark, d):
-    explained = _labelled(spark, d).filter("message_type = 'error'").select("subject", "attempt_no")
-    return _stages(spark, d).filter("state = 'missing'").join(explained, ["subject", "attempt_no"], "left_anti").select("subject", "attempt_no", "stage")
+    lab = RunFolder(spark, "stages").write(_labelled(spark, d), "labelled")
+    explained = lab.filter("message_type = 'error'").select("subject", "attempt_no")
+    return _stages(lab).filter("state = 'missing'").join(explained, ["subject", "attempt_no"], "left_anti").select("subject", "attempt_no", "stage")
 
 
 @query(f"""WITH {EV}, i AS (SELECT subject, frame, 'event' AS item, message_type AS label FROM ev UNION ALL
@@ -253,9 +290,14 @@ def timeline_topk(spark, d):
     return R.timeline([events, found], ["subject"], ["frame", "item"], 50)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, r AS (SELECT subject, frame, octet_length(encode('{{"event_id":' || event_id || ',"message_type":"' || message_type || '","status":' || status || '}}')) AS size,
+        row_number() OVER (PARTITION BY subject ORDER BY frame) AS i FROM ev WHERE outcome = 'failure'),
+    p AS (SELECT subject, frame, size, i, 0 AS page, size AS used, 1 AS n FROM r WHERE i = 1 UNION ALL
+        SELECT r.subject, r.frame, r.size, r.i, CASE WHEN used + r.size > 600 OR n >= 12 THEN page + 1 ELSE page END, CASE WHEN used + r.size > 600 OR n >= 12 THEN r.size ELSE used + r.size END,
+            CASE WHEN used + r.size > 600 OR n >= 12 THEN 1 ELSE n + 1 END FROM p JOIN r ON r.subject = p.subject AND r.i = p.i + 1)
+    SELECT subject, frame, size, page FROM p""")
 def paginate_bytes(spark, d):
-    """Pages of each subject's failures; tested against a plain loop."""
+    """Pages of each subject's failures."""
     e = canonical(spark, d).filter("outcome = 'failure'")
     return R.pages(e, ["subject"], ["frame"], F.octet_length(F.to_json(F.struct("event_id", "message_type", "status"))), 600, 12)
 
@@ -267,10 +309,7 @@ _CAND = f"""{_AT}, c AS (SELECT l.subject, l.attempt_no, l.event_id, l.frame, CA
 
 
 def _candidates(spark, d):
-    folder = RunFolder(spark, "rank")
-    lab = folder.write(_labelled(spark, d), "labelled")
-    end = lab.agg(F.max("time")).first()[0] or 0
-    a = A.summarise(lab, ["subject"], F.col("message_type") == "purchase", F.col("message_type") == "error", "time", F.lit(end), GAP)
+    lab, a, _ = _kept(spark, d, "rank")
     c = lab.filter("outcome != 'success'").select("subject", "attempt_no", "event_id", "frame", "protocol", "status", "message_type", "k").join(a.select("subject", "attempt_no", "end_frame", F.col("outcome").alias("ended")), ["subject", "attempt_no"])
     terms = [
         F.lit("0.7"),
@@ -306,9 +345,8 @@ def stage_alignment(spark, d):
 
 
 def _alignment(spark, d):
-    folder = RunFolder(spark, "align")
-    a = folder.write(_attempts(spark, d).select("subject", "attempt_no", "outcome"), "attempts")
-    st = folder.write(_stages(spark, d), "stages").filter("state = 'completed'").select("subject", "attempt_no", "stage", "state")
+    lab, a, folder = _kept(spark, d, "align")
+    st = folder.write(_stages(lab), "stages").filter("state = 'completed'").select("subject", "attempt_no", "stage", "state")
     return st, a.filter("outcome = 'failed'").select("subject", "attempt_no"), a.filter("outcome = 'succeeded'").groupBy("subject").agg(F.min("attempt_no").alias("base"))
 
 
@@ -332,7 +370,7 @@ def baseline_topk(spark, d):
     Each success also names the one before it, of all and of those with as many
     events, so two as-of joins give all that can be among the best two.
     """
-    a = RunFolder(spark, "base").write(_attempts(spark, d), "attempts")
+    _, a, _ = _kept(spark, d, "base")
     f = a.filter("outcome = 'failed'").select("subject", "n_events", "attempt_no", "start_frame", (F.col("start_frame") - 1).alias("at"))
     s = a.filter("outcome = 'succeeded'").select("subject", "n_events", "end_frame", F.struct(F.col("attempt_no").alias("base"), "end_frame", "n_events").alias("b"))
     block = F.floor(F.col("end_frame") / A.BLOCK)
@@ -349,26 +387,26 @@ def baseline_topk(spark, d):
     SELECT subject, attempt_no, count(*) FILTER (x = y) / CAST(count(*) AS DOUBLE) AS similarity FROM p GROUP BY subject, attempt_no""".replace("WITH l AS", _AT + ", l AS", 1))
 def request_similarity(spark, d):
     """How alike each attempt is to the one before it."""
-    a = RunFolder(spark, "similar").write(_attempts(spark, d), "attempts").select("subject", "attempt_no", "outcome", F.col("n_events").cast("string").alias("n_events"))
+    _, a, _ = _kept(spark, d, "similar")
+    a = a.select("subject", "attempt_no", "outcome", F.col("n_events").cast("string").alias("n_events"))
     l = a.unpivot(["subject", "attempt_no"], ["outcome", "n_events"], "field", "left_value")
     r = l.select("subject", (F.col("attempt_no") + 1).alias("attempt_no"), "field", F.col("left_value").alias("right_value"))
     return J.similarity(l.join(r, ["subject", "attempt_no", "field"]), ["subject", "attempt_no"], "left_value", "right_value")
 
 
-@query(_AT + """, m AS (SELECT min(frame) AS f, max(frame) AS l FROM ev), sp AS (SELECT greatest(start_frame - 20, m.f) AS a, least(end_frame + 20, m.l) AS b FROM att, m WHERE subject % 50 = 0 AND outcome = 'failed' AND n_events > 3),
+@query(_AT + """, m AS (SELECT min(frame) AS f, max(frame) AS l FROM ev), sp AS (SELECT greatest(start_frame - 20, m.f) AS a, least(end_frame + 20, m.l) AS b FROM att, m),
     e AS (SELECT frame, sum(d) AS d FROM (SELECT a AS frame, 1 AS d FROM sp UNION ALL SELECT b + 1, -1 FROM sp UNION ALL SELECT f, 0 FROM m) GROUP BY frame),
     p AS (SELECT frame AS from_frame, coalesce(lead(frame) OVER (ORDER BY frame), (SELECT l FROM m) + 1) - 1 AS to_frame, sum(d) OVER (ORDER BY frame) AS n_active FROM e)
     SELECT from_frame, to_frame, CAST(n_active AS BIGINT) AS n_active, CASE WHEN n_active > 0 THEN 'attempt_active' WHEN to_frame < (SELECT min(a) FROM sp) THEN 'capture_preamble'
-        WHEN from_frame > (SELECT max(b) FROM sp) THEN 'capture_postamble' ELSE 'between_attempts' END AS phase FROM p WHERE from_frame <= (SELECT l FROM m)""".replace("WHERE subject % 50 = 0 AND outcome = 'failed' AND n_events > 3", "WHERE outcome = 'failed'"))
+        WHEN from_frame > (SELECT max(b) FROM sp) THEN 'capture_postamble' ELSE 'between_attempts' END AS phase FROM p WHERE from_frame <= (SELECT l FROM m)""")
 def phase_sweep(spark, d):
     return _phases(spark, d)
 
 
 def _phases(spark, d):
-    folder = RunFolder(spark, "sweep")
-    a = folder.write(_attempts(spark, d), "attempts")
-    lo, hi = canonical(spark, d).agg(F.min("frame"), F.max("frame")).first()
-    return folder.write(sweep(a, "start_frame", "end_frame", 20, lo or 0, hi or 0), "phases")
+    lab, a, folder = _kept(spark, d, "sweep")
+    lo, hi = (F.coalesce(lab.agg(f("frame")).scalar(), F.lit(0)) for f in (F.min, F.max))
+    return folder.write(sweep(a, "start_frame", "end_frame", 20, lo, hi), "phases")
 
 
 @query(f"WITH ph AS ({SQL['phase_sweep']}), e AS (SELECT event_id, event_id AS frame FROM events) SELECT event_id, phase, n_active FROM e JOIN ph ON frame BETWEEN from_frame AND to_frame")
@@ -420,7 +458,11 @@ def lifecycle_transitions(spark, d):
     return e.filter("from_state is not null and from_state != to_state").select("subject", "frame", "from_state", "to_state")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL),
+    s AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 43200000000 THEN 0 ELSE 1 END AS st FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+    n AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS no FROM s)
+    SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n_events FROM n GROUP BY user_id, no""")
 def stream_sessions(spark, d):
     """All sessions of the stream, those open at its end too."""
-    return run_sessions(file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "12 hours", RunFolder(spark, "sessions"))
+    s = run_sessions(file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "12 hours", RunFolder(spark, "sessions"))
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n_events")

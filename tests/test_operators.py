@@ -197,9 +197,9 @@ def test_linked_counts_all_kinds(spark):
         for i, a in enumerate(group):
             for b in group[i + 1 :]:
                 if a[0] != b[0] or a[0] == "ACCESS_CONTEXT":
-                    want.setdefault((a[1], b[1]), []).append(e)
-    got = {(r.left_kind, r.right_kind): (r.n_pairs, r.n_events) for r in identity.linked(spark.createDataFrame(rows, "event_id int, kind string, lookup_value string"), "event_id", "kind").collect()}
-    assert got == {k: (len(v), len(set(v))) for k, v in want.items()} and ("amf_ue_ngap_id", "amf_ue_ngap_id") in got
+                    want[e, a[1], b[1]] = want.get((e, a[1], b[1]), 0) + 1
+    got = {(r.event_id, r.left_kind, r.right_kind): r.n_pairs for r in identity.linked(spark.createDataFrame(rows, "event_id int, kind string, lookup_value string"), "event_id", "kind").collect()}
+    assert got == want and any(k[1:] == ("amf_ue_ngap_id", "amf_ue_ngap_id") for k in got)
 
 
 def test_cooccurrence_pairs_over_all_kinds(spark, data):
@@ -321,3 +321,57 @@ def test_run_sessions_keeps_late_and_open_ones(spark, tmp_path):
     (tmp_path / "none").mkdir()
     none = spark.readStream.schema("u int, ts timestamp").parquet(str(tmp_path / "none"))
     assert run_sessions(none, "u", "ts", "10 minutes", RunFolder(spark, "t")).count() == 0
+
+
+def test_causes_by_message_words_first(spark):
+    rows = [
+        ("REGISTRATION_REJECT", None, None, "failure"), ("REGISTRATION_REJECT", "unknown", "", "failure"), ("PAGING_FAILURE", "success", "normal", "failure"), ("REGISTRATION_ACCEPT", None, "17", "success"),
+        ("STATUS", "success", "17", "success"), ("STATUS", None, "normal", "success"), ("STATUS", None, "17", "failure"), ("STATUS", None, "none", "unknown"), ("STATUS", "failure", None, "failure"), (None, None, None, "unknown"),
+    ]
+    df = spark.createDataFrame(rows, "m string, o string, c string, want string")
+    assert all(r[0] == r.want for r in df.select(text.cause_class(F.col("m"), F.col("o"), F.col("c")), "want").collect())
+
+
+def test_intervals_of_any_length_and_valid_counts(spark):
+    rnd = random.Random(8)
+    spans = [(rnd.choice("ab"), rnd.randint(0, 900), None if rnd.random() < 0.3 else rnd.randint(0, 1 << 30) if rnd.random() < 0.2 else rnd.randint(0, 1000), f"v{i:03}") for i in range(120)] + [("a", None, 5, "x"), (None, 1, 9, "y")]
+    points = [(rnd.choice("ab"), rnd.randint(0, 1100)) for _ in range(150)] + [("a", None), (None, 4), ("c", 1)]
+    s = spark.createDataFrame(spans, "k string, lo long, hi long, v string")
+    p = spark.createDataFrame(points, "k string, t long").distinct()
+    holds = lambda pt, sp: None not in (pt[0], pt[1], sp[0], sp[1]) and pt[0] == sp[0] and sp[1] <= pt[1] and (sp[2] is None or pt[1] <= sp[2])
+    want = {(pt[0], pt[1], sp[3]) for pt in points for sp in spans if holds(pt, sp)}
+    assert {(r.k, r.t, r.v) for r in joins.in_interval(p, s, ["k"], "t", "lo", "hi", 16).collect()} == want
+    counts = {(r.k, r.t): (r.n_valid, r.first_valid) for r in joins.valid_counts(p.filter("k is not null"), s.filter("k is not null"), ["k"], "t", "lo", "hi", "v", 16).collect()}
+    assert counts == {k: (len(vs), min(vs)) for k in {w[:2] for w in want} for vs in [[w[2] for w in want if w[:2] == k]]}
+    last = {(r.k, r.t): r.v for r in joins.latest_valid(p, s, ["k"], "t", "lo", "hi", F.col("v"), 16, ["k", "t"]).collect()}
+    start = {sp[3]: sp[1] for sp in spans}
+    assert last == {k: min((w[2] for w in want if w[:2] == k), key=lambda v: (-start[v], v)) for k in {w[:2] for w in want}}
+    assert joins.in_interval(p.limit(0), s, ["k"], "t", "lo", "hi", 16).count() == 0 == joins.in_interval(p, s.limit(0), ["k"], "t", "lo", "hi", 16).count()
+
+
+def test_star_edges_connect_all_keys_of_an_event(spark):
+    rows = [(1, "a"), (1, "c"), (1, "b"), (1, "a"), (2, "c"), (2, "d"), (3, "z"), (None, "q"), (4, None)]
+    got = sorted(map(tuple, identity.star(spark.createDataFrame(rows, "e int, k string"), "e", "k").collect()))
+    assert got == [("a", "a"), ("a", "b"), ("a", "c"), ("c", "c"), ("c", "d"), ("z", "z")]
+
+
+def test_scopes_roles_and_nodes_of_events(spark):
+    df = spark.createDataFrame([("supi", "1", "x", "y", 5), ("amf_ue_ngap_id", "1", "x", None, 5), ("pdu_session_id", None, "x", "y", 5), ("ue_ip", None, None, None, 5)], "kind string, access string, src string, dst string, frame long")
+    got = [(r[0], r[1]) for r in df.select(identity.scope_key(*[F.col(c) for c in df.columns]), identity.role(F.col("kind"))).collect()]
+    assert got == [("supi:subscriber", "UE"), ("amf_ue_ngap_id:x:unknown", "ACCESS_CONTEXT"), ("pdu_session_id:access:unknown", "SESSION"), ("ue_ip:frame:5", "USER_PLANE")]
+    events = spark.createDataFrame([(1,), (2,), (2,)], "event_id int")
+    obs = spark.createDataFrame([(1, "o1"), (1, "o2"), (1, "o3")], "event_id int, observation_id string")
+    members = spark.createDataFrame([("o1", "n1", "UE"), ("o2", "n1", "UE"), ("o3", "n2", "PDU_SESSION")], "observation_id string, node_id string, node_type string")
+    assert sorted(map(tuple, identity.nodes_of_events(events, obs, members).collect()), key=str) == [(1, "n1", "UE"), (1, "n2", "PDU_SESSION"), (2, None, None)]
+
+
+def test_running_aggregates_over_blocks(spark):
+    rnd = random.Random(2)
+    rows = [("h" if i % 5 else "g", i, rnd.randint(-5, 5) if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, v int")
+    from sigtrace.operators.ordered import running
+
+    got = {(r.k, r.t): (r.s, r.m) for r in running(df, ["k"], F.floor(F.col("t") / 16), ["t"], {"s": (F.sum, F.col("v")), "m": (F.min, F.col("v"))}).collect()}
+    for k, t, _ in rows:
+        seen = [v for a, b, v in rows if a == k and b <= t and v is not None]
+        assert got[k, t] == ((sum(seen), min(seen)) if seen else (None, None))
