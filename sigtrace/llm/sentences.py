@@ -1,10 +1,14 @@
 """Sentence units of texts in any language and script, as offsets.
 
 A text is cut into blocks at blank lines and into lines where lines count
-(headings, list items, log lines). Within a block a pushdown automaton walks over
-the marks alone: its stack holds the open quotations and brackets (only pairs
-that close count), and at each end mark outside of them it decides by the word
-before, looked up in tries of abbreviations, the mark itself and what follows.
+(headings, list items, log lines). A pushdown automaton walks over the lines of a
+block with the open list levels on its stack, by the indentation and kind of
+their marks: an item line opens a level, goes on in one that is open or closes
+those below it, and any other line belongs to the item on top. Within a piece it
+walks over the marks alone: the stack holds the open quotations and brackets
+(only pairs that close count), and at each end mark outside of them it decides by
+the word before, looked up in tries of abbreviations, the mark itself and what
+follows.
 """
 
 from __future__ import annotations
@@ -72,10 +76,35 @@ def known(name: str, word: str) -> bool:
     return "" in at
 
 
+OPENERS: dict[str, str] = {}
+for _o, _cs in PAIRS.items():
+    for _c in _cs:
+        OPENERS[_c] = OPENERS.get(_c, "") + _o
+
+
+class _Open:
+    """A stack of opening marks that knows the topmost place of each kind, so unclosed marks cost nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, mark: str, at: int) -> None:
+        self.places.setdefault(mark, []).append(len(self.stack))
+        self.stack.append((mark, at))
+
+    def top(self, kinds: str) -> int | None:
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=None)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+
+
 def pairs(text: str, marks: list[re.Match]) -> dict[int, int]:
     """The stack of the automaton: of the pairs that close, the place of the closing for each opening mark."""
     found: dict[int, int] = {}
-    stack: list[tuple[str, int]] = []
+    open_ = _Open()
     for m in marks:
         c, i = m.group(), m.start()
         if len(c) > 1 or c not in CLOSERS and c not in PAIRS:
@@ -83,21 +112,21 @@ def pairs(text: str, marks: list[re.Match]) -> dict[int, int]:
         if c == '"':
             opens = (i == 0 or not text[i - 1].isalnum() and text[i - 1] not in ".!?,%…") and i + 1 < len(text) and not text[i + 1].isspace()
             closes = i > 0 and not text[i - 1].isspace()
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if at is not None and closes or at is not None and not opens:
-                found[stack[at][1]] = i
-                del stack[at:]
+            at = open_.top('"')
+            if at is not None and (closes or not opens):
+                found[open_.stack[at][1]] = i
+                open_.cut(at)
             elif opens:
                 if at is not None:
-                    del stack[at:]
-                stack.append((c, i))
+                    open_.cut(at)
+                open_.push(c, i)
             continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS.get(stack[k][0], "")), None)
+        at = open_.top(OPENERS.get(c, ""))
         if at is not None:
-            found[stack[at][1]] = i
-            del stack[at:]
+            found[open_.stack[at][1]] = i
+            open_.cut(at)
         elif c in PAIRS:
-            stack.append((c, i))
+            open_.push(c, i)
     return found
 
 
@@ -114,6 +143,20 @@ def _starts(text: str, at: int) -> bool:
     return c.isupper()
 
 
+def word_start(text: str, begin: int, start: int) -> int:
+    """Where the word before ``start`` begins: after the last white space, however far that is."""
+    at = start
+    while at > begin:
+        lo = max(begin, at - 64)
+        m = WORD.search(text, lo, at)
+        if m is None:
+            return at
+        if m.start() > lo:
+            return m.start()
+        at = lo
+    return begin
+
+
 def ends_sentence(text: str, begin: int, start: int, end: int, after: int, nxt: int) -> bool:
     """Whether the end marks at ``start:end`` end a sentence that began at ``begin``.
 
@@ -121,16 +164,15 @@ def ends_sentence(text: str, begin: int, start: int, end: int, after: int, nxt:
     the next character that is no blank.
     """
     mark, blank, n = text[start:end], nxt > after, text[nxt]
-    word = WORD.search(text, max(begin, start - 80), start)
-    word = word.group().lstrip("(\"„“«[¿¡‹>") if word else ""
     if any(c in CERTAIN for c in mark):
         return True
+    if not blank and after == end and not ("…" in mark or mark.startswith("...") or "!" in mark or "?" in mark) and (n.isdigit() or n.islower() or n in "_/\\-=,;:"):
+        return False
+    word = text[word_start(text, begin, start) : start].lstrip("(\"„“«[¿¡‹>")
     if "…" in mark or mark.startswith("..."):  # hesitation
         return bool(start and CJK.match(text, start - 1)) or _starts(text, nxt)
     if "!" in mark or "?" in mark:
         return blank or ("/" not in word and (n in OPENS or n.isalpha()))
-    if not blank and after == end and (n.isdigit() or n.islower() or n in "_/\\-=,;:"):
-        return False
     low = re.sub(r"^[cdjlmnst]['’]|^qu['’]", "", word.lower())  # French elision
     if mark == ".." and (known("month", low) or known("maybe", low) or known("unit", low)):
         return True  # an abbreviation's dot, and the end
@@ -245,6 +287,25 @@ def begin_of(t: str, at: int) -> int:
         at = m.end()
 
 
+def _mark_kind(mark: str) -> str:
+    """bullet, number, letter or the like: what a list's marks have in common."""
+    m = mark.strip()
+    if m[0] not in "(" and not m[0].isalnum():
+        return "circled" if "①" <= m[0] <= "⑳" else m[0]
+    inner = m.strip("().")
+    return ("number" if inner.isdigit() else "letter") + m.replace(inner, "")
+
+
+def _first_of_list(mark: str, kind: str) -> bool:
+    """Whether a mark can begin a list: any bullet, or the first number or letter."""
+    return not kind.startswith(("number", "letter")) or mark.strip().strip("().").lower() in ("0", "1", "a", "i")
+
+
+def _introduces(line: str) -> bool:
+    """Whether a line of running text can stand before a list without a blank line between: it ends with a colon."""
+    return line.endswith((":", "："))
+
+
 def units(text: str | None) -> list[tuple[int, int]]:
     """The sentence units of a text as code point offsets, end exclusive, in order.
 
@@ -260,22 +321,40 @@ def units(text: str | None) -> list[tuple[int, int]]:
         at = m.end()
     lines.append((at, len(text)))
     out: list[tuple[int, int]] = []
-    block: list[tuple[int, int]] = []
+    block: list[tuple[int, int, int]] = []  # from, to, indentation
 
     def close() -> None:
         """Cut the block into pieces of one or more lines that belong together."""
         if not block:
             return
-        first = text[block[0][0] : block[0][1]]
-        listed, logged = ITEM.match(first) is not None, LOG.match(first) is not None
+        logged = LOG.match(text[block[0][0] : block[0][1]]) is not None
         pieces: list[list] = []  # [from, to, whole]
-        for a, b in block:
+        levels: list[tuple[int, str]] = []  # the stack: indentation and kind of mark of each open list
+        for k, (a, b, indent) in enumerate(block):
             line = text[a:b]
             if HEADING.match(line):
                 pieces.append([a, b, True])
-            elif logged and LOG.match(line):
+                levels.clear()
+                continue
+            if logged and LOG.match(line):
                 pieces.append([a, b, True])
-            elif not pieces or pieces[-1][2] or listed and ITEM.match(line):
+                continue
+            item = ITEM.match(line)
+            starts = not pieces or pieces[-1][2]
+            if item:
+                kind = _mark_kind(item.group())
+                while levels and levels[-1][0] > indent and any(level[0] <= indent for level in levels[:-1]):
+                    levels.pop()  # back to a list further out
+                if levels and (levels[-1][1] == kind or any(level[1] == kind for level in levels) or indent > levels[-1][0]):
+                    starts = True
+                    if indent > levels[-1][0]:
+                        levels.append((indent, kind))
+                elif levels:
+                    starts = True  # another kind of mark within a list
+                elif starts or _introduces(text[block[k - 1][0] : block[k - 1][1]]) and _first_of_list(item.group(), kind):
+                    starts = True
+                    levels.append((indent, kind))
+            if starts:
                 pieces.append([a, b, False])
             else:
                 pieces[-1][1] = b
@@ -287,6 +366,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         block.clear()
 
     for a, b in lines:
+        begin = a
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
@@ -294,7 +374,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         if a == b:
             close()
         else:
-            block.append((a, b))
+            block.append((a, b, a - begin + 3 * text.count("\t", begin, a)))
     close()
     return out
 

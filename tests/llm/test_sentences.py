@@ -64,3 +64,21 @@ def test_table(spark):
     assert {(r[0], r["count"]) for r in got.groupBy("doc_id").count().collect()} == {(1, 4), (5, 50_000)}
     assert sorted(r.unit for r in got.filter("doc_id = 1").collect()) == ["One.", "One.", "Two.", "Two."]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_list_levels():
+    """Lists after a heading or an intro line without a blank line, nested ones, and lines that go on."""
+    text = "Steps to take:\n1. Stop it. Wait.\n   a) first\n   b) second one\n      goes on here\n2. Start it\n- other\n\n# Next\n- one\n  - inner\n- two\nsee more\n\nIt ended on\n- 5 dB. Then it rose."
+    want = ["Steps to take:", "1. Stop it.", "Wait.", "a) first", "b) second one\n      goes on here", "2. Start it", "- other", "# Next", "- one", "- inner", "- two\nsee more", "It ended on\n- 5 dB.", "Then it rose."]
+    assert [text[a:b] for a, b in units(text)] == want
+
+
+def test_unclosed_marks_and_long_words_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("(«" * 200_000 + "a. B", "a.b/" * 200_000 + "x. Then", "x" * 400_000 + ". Then", '("' * 100_000 + "end." + ")" * 50_000):
+        assert units(text)
+    assert time.perf_counter() - began < 30
+    long = "https://h.example/" + "a" * 200 + ".b"
+    assert [(f"See {long}. Next"[a:b]) for a, b in units(f"See {long}. Next")] == [f"See {long}.", "Next"]
