@@ -125,13 +125,14 @@ def root_of(text: str | None):
 OBJECT, ARRAY, SCALAR = "object", "array", "scalar"
 
 
-def label(root, kinds: frozenset[str] = frozenset((OBJECT,))) -> list[list]:
+def label(root, kinds: frozenset[str] = frozenset((OBJECT,)), members: bool = False) -> list[list]:
     """The nodes of ``kinds`` in pre-order: [kind, pre, post, level, pointer, value].
 
     ``pre`` and ``post`` number all nodes, of whatever kind, as a depth-first
     traversal enters and leaves them, so node a lies around node b exactly if
     ``a.pre < b.pre`` and ``a.post > b.post``. ``pointer`` is the JSON pointer.
-    The value is given for scalars only.
+    The value is given for scalars only; with ``members`` an object's value is
+    the dictionary of its scalar members that are not null.
     """
     out: list[list] = []
     pre = post = 0
@@ -144,7 +145,7 @@ def label(root, kinds: frozenset[str] = frozenset((OBJECT,))) -> list[list]:
         isdict = type(v) is dict
         node = None
         if objects if isdict else arrays:
-            node = [OBJECT if isdict else ARRAY, pre, 0, len(stack), "/" + "/".join(steps) if steps else "", None]
+            node = [OBJECT if isdict else ARRAY, pre, 0, len(stack), "/" + "/".join(steps) if steps else "", {} if members and isdict else None]
             out.append(node)
         stack.append((iter(v.items()) if isdict else enumerate(v), isdict, node))
         pre += 1
@@ -159,6 +160,8 @@ def label(root, kinds: frozenset[str] = frozenset((OBJECT,))) -> list[list]:
                 if inner is not None:
                     v, t = inner, type(inner)
             nested = t is dict or t is list
+            if members and isdict and not nested and v is not None and node:
+                node[5][k] = v
             if nested or scalars:
                 if not isdict:
                     k = str(k)

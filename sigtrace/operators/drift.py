@@ -18,13 +18,13 @@ from sigtrace.operators.components import smallest_labels
 from sigtrace.operators.ordered import with_neighbours, with_position
 from sigtrace.sources.shared import RunFolder
 
-OPENED = "transport"  # the one object whose members are fields of their own
+OPENED = ("transport",)  # objects whose members are fields of their own, by their path
 BLOCK = 4096
 FLAGS = ("all_integers", "longs", "doubles")  # of a field's values, see catalogue
 
 
-def fields_of(line: str | None, opened: str = OPENED) -> dict | None:
-    """The fields of a line's record, None if the line is not a JSON object; members of ``opened`` as ``opened.x``."""
+def fields_of(line: str | None, opened: tuple[str, ...] = OPENED) -> dict | None:
+    """The fields of a line's record, None if the line is not a JSON object; members of objects in ``opened`` as ``path.x``."""
     if line is None:
         return None
     try:
@@ -33,9 +33,11 @@ def fields_of(line: str | None, opened: str = OPENED) -> dict | None:
         return None
     if type(record) is not dict:
         return None
-    inner = record.get(opened)
-    if type(inner) is dict:
-        record = {k: v for k, v in record.items() if k != opened} | {f"{opened}.{k}": v for k, v in inner.items()}
+    todo = [p for p in sorted(opened, key=lambda p: p.count(".")) if type(record.get(p)) is dict or "." in p]
+    for path in todo:
+        inner = record.get(path)
+        if type(inner) is dict:
+            record = {k: v for k, v in record.items() if k != path} | {f"{path}.{k}": v for k, v in inner.items()}
     return record
 
 
@@ -87,7 +89,7 @@ def _is_double(s: str) -> bool:
     return f - f == 0 and Decimal(repr(f)) == Decimal(s)
 
 
-def catalogue(lines: DataFrame) -> DataFrame:
+def catalogue(lines: DataFrame, opened: tuple[str, ...] = OPENED) -> DataFrame:
     """``file_id, field, kind, n_values, all_integers, longs, doubles`` of each file's fields with a value other than null.
 
     ``all_integers`` says that every value's text is an integer of up to 18
@@ -99,7 +101,7 @@ def catalogue(lines: DataFrame) -> DataFrame:
         for batch in batches:
             counts: dict[tuple, list] = {}
             for fid, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for name, v in (fields_of(line) or {}).items():
+                for name, v in (fields_of(line, opened) or {}).items():
                     if v is None:
                         continue
                     at = counts.setdefault((fid, _utf8(name), kind_of(v)), [0, True, True, True])
@@ -129,7 +131,7 @@ def lifespans(presence: DataFrame, by: list[str]) -> DataFrame:
     return n.withColumn("starts", ~F.col("pos_before").eqNullSafe(F.col("pos") - 1)).withColumn("ends", ~F.col("pos_after").eqNullSafe(F.col("pos") + 1)).drop("pos_before", "pos_after")
 
 
-def _values(lines: DataFrame, roles: DataFrame) -> DataFrame:
+def _values(lines: DataFrame, roles: DataFrame, opened: tuple[str, ...]) -> DataFrame:
     """``stream_id, pos, side, record_id, field, h1, h2`` of the records of files with a role; a row with null field per record."""
     schema = "stream_id bigint, pos bigint, side int, record_id string, field string, h1 bigint, h2 bigint"
 
@@ -137,7 +139,7 @@ def _values(lines: DataFrame, roles: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for line, roles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                record = fields_of(line)
+                record = fields_of(line, opened)
                 rid = record and record.get("record_id")
                 if rid is None:
                     continue
@@ -160,7 +162,7 @@ def _values(lines: DataFrame, roles: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def renames(lines: DataFrame, where: DataFrame, went: DataFrame, came: DataFrame) -> DataFrame:
+def renames(lines: DataFrame, where: DataFrame, went: DataFrame, came: DataFrame, opened: tuple[str, ...] = OPENED) -> DataFrame:
     """``stream_id, pos, old_name, new_name`` of fields with the same values in all records that both files hold.
 
     A field's values over the shared records are one 128-bit fingerprint (the
@@ -174,16 +176,17 @@ def renames(lines: DataFrame, where: DataFrame, went: DataFrame, came: DataFrame
     for side, fields, back in ((0, went, 1), (1, came, 0)):
         named = fields.join(both, ["stream_id", "pos"], "left_semi").groupBy("stream_id", "pos").agg(F.collect_set("field").alias("fields"))
         sides.append(named.withColumn("at", F.col("pos") - back).join(where.select(F.col("stream_id"), F.col("pos").alias("at"), "file_id"), ["stream_id", "at"]).select("file_id", "stream_id", "pos", F.lit(side).alias("side"), "fields"))
-    values = _values(lines, sides[0].unionByName(sides[1])).distinct()
+    values = _values(lines, sides[0].unionByName(sides[1]), opened).distinct()
     record = ["stream_id", "pos", "record_id"]
-    # Of one record there are at most its fields on either side here, repeated lines are gone.
-    shared = values.groupBy(*record).agg(
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    # However often a record stands in the files, it has one row per side and field here.
+    each = values.groupBy(*record, "side", "field").agg(total("h1").alias("h1"), total("h2").alias("h2"))
+    shared = each.groupBy(*record).agg(
         F.bool_or(F.col("side") == 0).alias("old"),
         F.bool_or(F.col("side") == 1).alias("new"),
         F.collect_list(F.when(F.col("field").isNotNull(), F.struct("side", "field", "h1", "h2"))).alias("v"),
     )
     v = shared.filter("old and new").select("stream_id", "pos", F.explode("v").alias("v")).select("stream_id", "pos", "v.*")
-    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     prints = v.groupBy("stream_id", "pos", "side", "field").agg(total("h1").alias("f1"), total("h2").alias("f2"))
     same = ["stream_id", "pos", "f1", "f2"]
     placed = prints.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "side").orderBy("field")))
@@ -201,18 +204,19 @@ class Drift:
     renamed: DataFrame
 
 
-def drift(files: DataFrame, lines: DataFrame, write=None) -> Drift:
+def drift(files: DataFrame, lines: DataFrame, write=None, opened: tuple[str, ...] = OPENED) -> Drift:
     """All changes of fields from each file to the next of its stream.
 
     ``write(df, name)`` keeps an intermediate table (by default in a run folder
-    of its own), as each is used several times. Lines that are no JSON object are
+    of its own), as each is used several times. ``opened`` names objects whose
+    members count as fields, ``a.b`` one within another that is opened. Lines that are no JSON object are
     ignored, files without any such line have no fields, lines of unknown files
     count nowhere, and null values are no values. Files of the same
     ``file_seq`` follow each other by ``file_id``.
     """
     keep = write or RunFolder(files.sparkSession, "drift").write
     where = keep(positions(files), "positions")
-    types = keep(catalogue(lines).join(where, "file_id"), "catalogue")
+    types = keep(catalogue(lines, opened).join(where, "file_id"), "catalogue")
     last = where.groupBy("stream_id").agg(F.max("pos").alias("last"))
     by_type = lifespans(types.select("stream_id", "field", "kind", "pos"), ["stream_id", "field", "kind"])
     logged = by_type.join(last, "stream_id")
@@ -227,7 +231,7 @@ def drift(files: DataFrame, lines: DataFrame, write=None) -> Drift:
     before = sets.select("stream_id", (F.col("pos") + 1).alias("pos"), "field", F.col("kinds").alias("old_kinds"))
     moved = keep(edges.join(sets.withColumnRenamed("kinds", "new_kinds"), ["stream_id", "pos", "field"], "left").join(before, ["stream_id", "pos", "field"], "left"), "moved")
     went, came = moved.filter("new_kinds is null"), moved.filter("old_kinds is null")
-    renamed = keep(renames(lines, where, went, came), "renamed")
+    renamed = keep(renames(lines, where, went, came, opened), "renamed")
     at = ["stream_id", "pos"]
     pairs = (
         renamed.join(went.select(*at, F.col("field").alias("old_name"), "old_kinds"), [*at, "old_name"])
@@ -246,7 +250,7 @@ def drift(files: DataFrame, lines: DataFrame, write=None) -> Drift:
     return Drift(changes.join(where, at).select("file_id", "change", "old_name", "new_name"), types, renamed)
 
 
-MOST_FIELDS = 5_000  # distinct names of fields: the alias table and the columns of the consistent table
+MOST_FIELDS = 5_000  # names of fields that have columns of their own, the most common ones; all others stand in a map
 
 
 def holding() -> Column:
@@ -261,7 +265,7 @@ def holding() -> Column:
 
 
 def aliases(files: DataFrame, found: Drift, write) -> DataFrame:
-    """``protocol, name, field, cast_to``: each name of a field with the field's usual name and the type that holds all values.
+    """``protocol, name, n_files, field, cast_to``: each name of a field with the field's usual name and the type that holds all values.
 
     Names belong to one field if a rename links them, directly or through
     others, in files of one protocol; the usual name is the one in most files,
@@ -274,13 +278,13 @@ def aliases(files: DataFrame, found: Drift, write) -> DataFrame:
     )
     at = found.catalogue.select("stream_id", "pos", "file_id").distinct().join(kind, "file_id").select("stream_id", "pos", "protocol")
     links = found.renamed.join(at, ["stream_id", "pos"]).select(F.concat_ws("\n", "protocol", "old_name").alias("a"), F.concat_ws("\n", "protocol", "new_name").alias("b")).distinct()
-    groups = smallest_labels(links, write.__self__)
+    groups = smallest_labels(links, RunFolder(files.sparkSession, "aliases"))
     names = names.withColumn("v", F.concat_ws("\n", "protocol", "name")).join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
     best = names.groupBy("label").agg(F.min(F.struct((-F.col("n_files")).alias("n"), "name"))["name"].alias("field"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), *[F.bool_and(f).alias(f) for f in FLAGS])
-    return names.select("protocol", "name", "label").join(best.select("label", "field", holding().alias("cast_to")), "label").select("protocol", "name", "field", "cast_to")
+    return names.select("protocol", "name", "n_files", "label").join(best.select("label", "field", holding().alias("cast_to")), "label").select("protocol", "name", "n_files", "field", "cast_to")
 
 
-def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) -> DataFrame:
+def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write, opened: tuple[str, ...] = OPENED, most: int = MOST_FIELDS) -> DataFrame:
     """One row per record: ``file_id, line_no`` and one column per field under its usual name, cast to the type that holds all values.
 
     A field that has different types in different protocols is a string. Trees
@@ -288,50 +292,56 @@ def consistent_table(files: DataFrame, lines: DataFrame, found: Drift, write) ->
     lines one each. A field named like the two leading columns gets ``_`` behind.
     Of several names of one field in a record the first has the column; fields
     where that happens have another column, named ``_others``, with the rest as
-    a JSON object of names and texts.
+    a JSON object of names and texts. Beyond ``most`` names the less common ones
+    share one column more, ``_rest``, a map of their own names to texts.
     """
     table = write(aliases(files, found, write), "aliases")
-    known = table.limit(MOST_FIELDS + 1).collect()
-    if len(known) > MOST_FIELDS:
-        raise ValueError(f"more than {MOST_FIELDS} names of fields")
+    known = table.orderBy(F.col("n_files").desc(), "protocol", "name").limit(most + 1).select("protocol", "name", "field", "cast_to").collect()
+    with_rest = len(known) > most
+    known = known[:most]
     types: dict[str, set] = {}
     for r in known:
         types.setdefault(r.field, set()).add(r.cast_to)
     fields = sorted(types)
-    place = {(r.protocol, r.name): fields.index(r.field) for r in sorted(known)}
-    column = lambda f: f + "_" if f in ("file_id", "line_no") else f
+    number = {f: i for i, f in enumerate(fields)}
+    place = {(r.protocol, r.name): number[r.field] for r in known}
+    column = lambda f: f + "_" if f in ("file_id", "line_no", "_rest") else f
     protocol = files.select(F.col("file_id").cast("bigint").alias("file_id"), F.coalesce("protocol", F.lit("")).alias("protocol"))
     source = lines.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), F.col("line").cast("string").alias("line")).join(protocol, "file_id")
-    schema = ", ".join(["file_id bigint", "line_no int", *[f"c{i} string" for i in range(len(fields))], "more string"])
+    schema = ", ".join(["file_id bigint", "line_no int", *[f"c{i} string" for i in range(len(fields))], "more string", "_rest map<string,string>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[int] = []
             cols: list[list] = [[] for _ in fields]
             more: list = []
+            rest: list = []
             for i, (line, kind) in enumerate(zip(batch.column("line").to_pylist(), batch.column("protocol").to_pylist())):
-                record = fields_of(line)
+                record = fields_of(line, opened)
                 if record is None:
                     continue
                 rows.append(i)
+                rest.append([])
                 for c in cols:
                     c.append(None)
                 others: dict[int, dict] = {}
                 for name in sorted(record):
                     v, at = record[name], place.get((kind, _utf8(name)))
-                    if v is None or at is None:
+                    if v is None:
                         continue
-                    if cols[at][-1] is None:
+                    if at is None:
+                        rest[-1].append((_utf8(name), _utf8(text_of(v))))
+                    elif cols[at][-1] is None:
                         cols[at][-1] = _utf8(text_of(v))
                     else:
                         others.setdefault(at, {})[_utf8(name)] = _utf8(text_of(v))
                 more.append(json.dumps(others) if others else None)
             take = pa.array(rows, pa.int64())
-            yield pa.record_batch([batch.column("file_id").take(take), batch.column("line_no").take(take), *[pa.array(c, pa.string()) for c in [*cols, more]]], names=["file_id", "line_no", *[f"c{i}" for i in range(len(fields))], "more"])
+            yield pa.record_batch([batch.column("file_id").take(take), batch.column("line_no").take(take), *[pa.array(c, pa.string()) for c in [*cols, more]], pa.array(rest, pa.map_(pa.string(), pa.string()))], names=["file_id", "line_no", *[f"c{i}" for i in range(len(fields))], "more", "_rest"])
 
     wide = write(source.mapInArrow(run, schema), "wide")
     shared = sorted(int(r[0]) for r in wide.filter("more is not null").select(F.explode(F.json_object_keys("more"))).distinct().collect())
-    taken, rest = {column(f) for f in fields}, []
+    taken, rest = {column(f) for f in fields}, ["_rest"] if with_rest else []
     for i in shared:
         name = column(fields[i]) + "_others"
         while name in taken:

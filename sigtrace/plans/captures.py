@@ -11,7 +11,7 @@ from sigtrace.functions.numbers import number_text
 from sigtrace.operators import identity as I
 from sigtrace.operators import joins as J
 from sigtrace.operators.components import smallest_labels
-from sigtrace.operators.drift import FLAGS, holding
+from sigtrace.operators.drift import aliases
 from sigtrace.operators.ranking import ordered_digest
 from sigtrace.operators.transactions import assemble_streams, state_of
 from sigtrace.plans.records import file_drift
@@ -316,7 +316,6 @@ def scenario_facts(spark, d):
 
 @query()
 def p5_fields(spark, d):
-    """The catalogue behind p5: lifespans of fields by stream, with the type that holds all their values."""
-    c = file_drift(spark, d).catalogue
-    by = c.groupBy("stream_id", "field").agg(F.count_distinct("pos").alias("n_files"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sort_array(F.collect_set("kind")).alias("kinds"), *[F.bool_and(f).alias(f) for f in FLAGS])
-    return by.select("stream_id", "field", "n_files", "first_pos", "last_pos", F.array_join("kinds", ",").alias("kinds"), F.upper(holding()).alias("cast_to"))
+    """The alias table behind p5_table: each name of a field by protocol, in how many files, its usual name and type."""
+    folder = RunFolder(spark, "fields")
+    return aliases(read(spark, d, "raw_files"), file_drift(spark, d), folder.write)

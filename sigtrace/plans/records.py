@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigtrace.functions.numbers import number_text
 from sigtrace.operators.drift import Drift, consistent_table, drift
-from sigtrace.operators.nested import nodes, type_path
+from sigtrace.operators.nested import NodeTables, nodes, type_path, within
 from sigtrace.sources.shared import RunFolder
 from sigtrace.streaming.dedup import deduplicate_files
 
@@ -21,6 +21,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_files(spark, f"{sf_dir}/pfcp_messages.parquet", pfcp_key(), "received_at", "row_id").dropped
 
 
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one copy of each message that stays."""
+    return deduplicate_files(spark, f"{sf_dir}/pfcp_messages.parquet", pfcp_key(), "received_at", "row_id").kept
+
+
 def tree_nodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """The nodes of all trees: of PFCP and NGAP messages and of HTTP/2 bodies."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -40,6 +45,24 @@ def p3_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("field_name", "kind", type_path(F.col("object_path")).alias("node_type")).agg(F.count("*").alias("n_nodes"), F.max("level").alias("deepest"))
 
 
+LABELS = ("field_name", "kind", "pre", "post", "level", "object_path", "parent_pre", "members")
+
+
+def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the tables per node type: labels, the parent's label and the scalar members (as JSON text)."""
+    folder = RunFolder(spark, "nodes")
+    tables = NodeTables(tree_nodes(spark, sf_dir, columns=LABELS), f"{folder.path}/tables", ["row_id"])
+    return tables.all.withColumn("members", F.to_json("members"))
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each object of an array how many objects lie inside it, and how deep the deepest, by interval containment."""
+    n = RunFolder(spark, "nodes").write(tree_nodes(spark, sf_dir, columns=("field_name", "pre", "post", "level", "object_path")), "nodes")
+    items = n.filter(F.col("object_path").rlike("/[0-9]+$"))
+    inside = within(n, items, ["row_id"])
+    return inside.groupBy("field_name", "row_id", F.col("outer_pre").alias("pre"), F.col("outer_object_path").alias("object_path")).agg(F.count("*").alias("n_inside"), F.max(F.col("level") - F.col("outer_level")).alias("deepest"))
+
+
 def file_drift(spark: SparkSession, sf_dir: str) -> Drift:
     folder = RunFolder(spark, "drift")
     return drift(spark.read.parquet(f"{sf_dir}/raw_files.parquet"), spark.read.parquet(f"{sf_dir}/raw_lines.parquet"), folder.write)
@@ -57,22 +80,21 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in table.columns])
 
 
-QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p3_found": p3_found, "p3_node_types": p3_node_types, "p4_found": p4_found}
+QUERIES = {"p5_found": p5_found, "p5_table": p5_table, "p3_found": p3_found, "p3_node_types": p3_node_types, "p3_tables": p3_tables, "p3_links": p3_links, "p4_found": p4_found, "p4_kept": p4_kept}
 
 # p3 and p5 have none: SQL can neither follow strings that hold trees nor compare values of renamed fields; they are
 # tested against brute force.
-ORACLE: dict[str, str] = {
-    "p4_found": """
-        WITH t AS (
-            SELECT row_id, received_at, analysis_id, frame, trim(seq_num) AS s, trim(seid) AS e FROM pfcp_messages
-        ), n AS (
-            SELECT row_id, received_at, analysis_id, frame,
-                CASE WHEN s ILIKE '0x%' THEN CAST(lower(s) AS UBIGINT) ELSE TRY_CAST(s AS UBIGINT) END AS seq,
-                CASE WHEN e ILIKE '0x%' THEN CAST(lower(e) AS UBIGINT) ELSE TRY_CAST(e AS UBIGINT) END AS sei
-            FROM t
-        )
-        SELECT row_id FROM (
-            SELECT row_id, row_number() OVER (PARTITION BY analysis_id, frame, seq, sei ORDER BY received_at, row_id) AS k FROM n
-        ) WHERE k > 1
-    """,
-}
+_COPIES = """
+    WITH t AS (
+        SELECT row_id, received_at, analysis_id, frame, trim(seq_num) AS s, trim(seid) AS e FROM pfcp_messages
+    ), n AS (
+        SELECT row_id, received_at, analysis_id, frame,
+            CASE WHEN s ILIKE '0x%' THEN CAST(lower(s) AS UBIGINT) ELSE TRY_CAST(s AS UBIGINT) END AS seq,
+            CASE WHEN e ILIKE '0x%' THEN CAST(lower(e) AS UBIGINT) ELSE TRY_CAST(e AS UBIGINT) END AS sei
+        FROM t
+    ), c AS (
+        SELECT row_id, row_number() OVER (PARTITION BY analysis_id, frame, seq, sei ORDER BY received_at, row_id) AS k FROM n
+    )
+"""
+
+ORACLE: dict[str, str] = {"p4_found": _COPIES + "SELECT row_id FROM c WHERE k > 1", "p4_kept": _COPIES + "SELECT row_id FROM c WHERE k = 1"}

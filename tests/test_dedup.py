@@ -2,12 +2,13 @@ import datetime as dt
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigtrace.operators.dedup import first_copies
 from sigtrace.sources.shared import RunFolder
-from sigtrace.streaming.dedup import deduplicate_files, deduplicate_stream, settle
+from sigtrace.streaming.dedup import Gone, deduplicate_files, deduplicate_stream, settle
 
 DAY = dt.timedelta(days=1)
 T0 = dt.datetime(2026, 1, 1)
@@ -62,6 +63,36 @@ def test_goes_on_where_it_stopped(spark, tmp_path):
     assert found(settle(log, "row_id")) == brute(ROWS)
 
 
+def test_runs_over_new_files_look_up_returning_keys_only(spark, tmp_path):
+    """A second run reads new files alone; identifiers that never came back are not looked up, whatever came before."""
+    path, keys = str(tmp_path / "t"), [F.col("k"), F.col("n")]
+    folder = RunFolder(spark, "t", str(tmp_path / "state"))
+    first = [(i, f"k{i}", 1, T0 + dt.timedelta(minutes=i), None) for i in range(3000)]
+    second = [(5000 + i, f"k{i * 40}", 1, T0 + 9 * DAY + dt.timedelta(minutes=i), None) for i in range(50)] + [(9000 + i, f"new{i}", 1, T0 + 9 * DAY, None) for i in range(500)]
+    third = [(7, "k7", 1, T0 + dt.timedelta(minutes=7), None)] * 2 + [(9900, "k8", 1, T0 - DAY, None)]
+    for part in (first, second, third):
+        write(spark, part, path)
+        result = deduplicate_files(spark, path, keys, "received_at", "row_id", folder=RunFolder(spark, "t", folder.path), delay="1 hour", buckets=4)
+    assert found(result) == brute(first + second + third)
+    log = spark.read.parquet(f"{folder.path}/log")
+    # The watermark of a batch is that of those before it: in the third run k7 and k8 have left the state, in the second none has.
+    assert 2 <= log.filter("kind = 'back'").count() < 10 and log.filter("kind = 'fresh'").count() >= 3490
+    folder.close()
+    assert folder.exists("log")
+
+
+def test_filters_of_identifiers_that_left():
+    rnd = np.random.default_rng(3)
+    h = rnd.integers(-(2**63), 2**63 - 1, (2, 40_000))
+    gone = Gone()
+    for part in np.array_split(h[:, :20_000], 7, axis=1):
+        gone = Gone(gone.data())
+        gone.add(*part)
+    gone = Gone(gone.data())
+    assert gone.has(*h[:, :20_000]).all() and gone.has(*h[:, 20_000:]).mean() < 0.005 and sum(gone.counts) == 20_000
+    assert not Gone().has(*h).any()
+
+
 def test_hot_key_and_empty_table(spark, tmp_path):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}", 1, T0 + dt.timedelta(seconds=i * 7919 % 5000), None) for i in range(3000)]
     path = str(tmp_path / "t")

@@ -114,3 +114,28 @@ def test_table_keeps_large_numbers_and_second_names(spark):
     assert (a.big, a.most, a.fine, a["sum"], a.mixed) == ("18446744073709551615", (1 << 63) - 1, "0.1234567890123456789", 0.30000000000000004, "9007199254740993")
     assert (b.big, b.most, b.fine, b["sum"], b.mixed) == ("1", -(1 << 63), "1", 2.0, "0.5")
     assert {k: (r.new, r.new_others and json.loads(r.new_others)) for k, r in rows.items()} == {(1, 1): ("x", None), (2, 1): ("x", None), (2, 2): ("y", {"old": "z"}), (1, 2): ("w", {"old": "v"})}
+
+
+def test_opened_objects_and_names_beyond_the_bound(spark):
+    """Objects to open are named by the caller; beyond the bound of names the rest stands in a map, nothing is lost."""
+    schema = FILES + ", protocol string"
+    files = spark.createDataFrame([(1, 1, 1, "P"), (2, 1, 2, "P")], schema)
+    lines = spark.createDataFrame([(1, 1, '{"record_id":"r","m":{"x":1,"y":{"z":"q"}},"rare":5}'), (2, 1, '{"record_id":"r","m":{"w":1,"y":{"z":"q"}}}'), (2, 2, '{"record_id":"r","m":{"w":1,"y":{"z":"q"}}}')], LINES)
+    folder = RunFolder(spark, "t")
+    opened = ("m", "m.y")
+    got = drift(files, lines, folder.write, opened)
+    assert found(got.changes) == [(2, "removed", "rare", "rare"), (2, "renamed", "m.x", "m.w")]
+    whole = consistent_table(files, lines, got, folder.write, opened)
+    assert {"record_id", "m.w", "m.y.z", "rare"} <= set(whole.columns) and "_rest" not in whole.columns
+    part = consistent_table(files, lines, got, folder.write, opened, most=2)
+    assert set(part.columns) == {"file_id", "line_no", "record_id", "m.y.z", "_rest"}
+    assert sorted(((r.file_id, r.line_no, dict(r._rest)) for r in part.collect())) == [(1, 1, {"m.x": "1", "rare": "5"}), (2, 1, {"m.w": "1"}), (2, 2, {"m.w": "1"})]
+
+
+def test_one_record_many_times(spark):
+    """A record id with most rows, of several values each, is reduced before its fields are compared."""
+    files = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], FILES)
+    rows = [(f, i, json.dumps({"record_id": "same", "a" if f == 1 else "b": str(i % 7)})) for f in (1, 2) for i in range(400)]
+    assert found(drift(files, spark.createDataFrame(rows, LINES)).changes) == [(2, "renamed", "a", "b")]
+    other = [(f, i, json.dumps({"record_id": "same", "a" if f == 1 else "b": str(i % (6 + f))})) for f in (1, 2) for i in range(400)]
+    assert found(drift(files, spark.createDataFrame(other, LINES)).changes) == [(2, "added", "b", "b"), (2, "removed", "a", "a")]
