@@ -114,18 +114,20 @@ def cause_class(message: Column, outcome: Column, cause: Column) -> Column:
     )
 
 
-def first_values(tree: Column, wanted: dict[str, list[str]]) -> Column:
+def first_values(tree: Column, wanted: dict[str, list[str]], kind: str | None = None) -> Column:
     """Of each field the first scalar, in document order, whose normalised key ends with one of its suffixes.
 
     One walk over the tree in an Arrow UDF gives a struct of all fields as
     strings. A list of one scalar counts as that scalar; strings that hold trees
-    are opened; null, empty and invalid trees give nulls.
+    are opened; null, empty and invalid trees give nulls. ``kind`` names a field
+    that says whether the root is an object or array, null for neither.
     """
     ends = [(name, tuple(re.sub(r"[\W_]", "", s.lower()) for s in suffixes)) for name, suffixes in wanted.items()]
 
     def walk(text: str | None) -> dict:
         root = root_of(text)
         found: dict[str, str] = {}
+        more = {kind: "object" if type(root) is dict else "array"} if kind and root is not None else {}
         stack = [iter(root.items() if type(root) is dict else [(None, x) for x in root])] if root is not None else []
         while stack and len(found) < len(ends):
             for k, v in stack[-1]:
@@ -145,13 +147,14 @@ def first_values(tree: Column, wanted: dict[str, list[str]]) -> Column:
                     break
             else:
                 stack.pop()
-        return found
+        return found | more
 
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in wanted])
+    names = [*wanted, *([kind] if kind else [])]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [walk(t) for t in texts]
-        return pd.DataFrame({name: [None if name not in r else str(r[name]).encode("utf-8", "replace").decode() for r in rows] for name in wanted}, dtype=object)
+        return pd.DataFrame({name: [None if name not in r else str(r[name]).encode("utf-8", "replace").decode() for r in rows] for name in names}, dtype=object)
 
     return run(tree.cast("string"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from sigtrace.plans import captures, events, records
+from sigtrace.plans import canonical, captures, events, records
 
 
 def queries() -> dict:
-    return records.QUERIES | events.Q | captures.Q
+    return records.QUERIES | events.Q | captures.Q | canonical.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.ORACLE | events.SQL | captures.SQL
+    return records.ORACLE | events.SQL | captures.SQL | canonical.SQL
