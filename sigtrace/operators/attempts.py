@@ -103,7 +103,8 @@ BLOCK = 1 << 16  # frames of one block of a subject's timeline
 def islands(events: DataFrame, by: list[str], order: str, time: str, gap: int, last: Column) -> DataFrame:
     """Single-profile mode without Python: an attempt ends after a ``last`` event or a silence beyond ``gap``.
 
-    Adds ``attempt_no`` from 1 to each event. ``order`` is a unique integer. A
+    Adds ``attempt_no`` from 1 to each event. ``order`` is a unique integer; at
+    events without a time nothing is silent. A
     subject's timeline is cut into blocks of it, so a hot subject is spread: one
     window within blocks gives what starts there, one over the blocks what came
     before, both from one shuffle of the events.
@@ -114,7 +115,8 @@ def islands(events: DataFrame, by: list[str], order: str, time: str, gap: int, l
     inner = e.withColumn("_s", F.coalesce(new(F.lag("_e").over(v), F.col(time)), F.lit(0))).withColumn("_in", F.sum("_s").over(v.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = inner.groupBy(*by, "_b").agg(F.min(F.struct(order, time))[time].alias("_first"), F.max_by("_e", order).alias("_last"), F.sum("_s").alias("_sum"))
     w = Window.partitionBy(*by).orderBy("_b")
-    begins = F.coalesce(new(F.lag("_last").over(w), F.col("_first")), F.lit(1))
+    prior = F.lag("_last").over(w)
+    begins = F.when(prior.isNull(), 1).otherwise(F.coalesce(new(prior, F.col("_first")), F.lit(0)))
     blocks = blocks.withColumn("_begins", begins)
     before = F.sum(F.col("_begins")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*by, "_b"])], before.alias("_before"))

@@ -12,6 +12,7 @@ from sigtrace.functions.messages import speaks_of_reachability
 from sigtrace.functions.text import cause_class, holds_tokens, status_class
 from sigtrace.operators import attempts as A
 from sigtrace.operators import joins as J
+from sigtrace.operators import procedures as P
 from sigtrace.operators import ranking as R
 from sigtrace.operators.match import EventMatcher, any_matcher, condition, partition_of
 from sigtrace.operators.ordered import with_neighbour
@@ -466,3 +467,43 @@ def stream_sessions(spark, d):
     """All sessions of the stream, those open at its end too."""
     s = run_sessions(file_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "12 hours", RunFolder(spark, "sessions"))
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n_events")
+
+
+_IS = lambda *types, **more: EventMatcher(message_types=types, **more)
+PROCEDURES = [
+    P.Procedure("session", (_IS("signup"), _IS("view")), (P.Stage("click", 1, (_IS("click"),), repeatable=True), P.Stage("pay", 2, (_IS("purchase"),), "succeeded")), failure=(_IS("error"),), response_timeout=GAP),
+    P.Procedure("lookup", (_IS("click", attribute_equals={"even": True}),), (P.Stage("seen", 1, (_IS("view"),)),), success=(_IS("purchase"),), failure=(EventMatcher(outcomes=("failure",)),), abort=(_IS("signup"),), response_timeout=IDLE, parents=("session",)),
+]
+SCORING = P.Scoring(idle_timeout=DAY)
+
+
+def _procedures(spark, d):
+    """Three subjects share a group; a subject changes its access context from day to day and has two sessions."""
+    e = canonical(spark, d).withColumn("even", F.col("k") % 2 == 0)
+    name = lambda *parts: F.concat_ws(":", *[x.cast("string") for x in parts])
+    e = e.select(
+        "*", F.floor(F.col("subject") / 3).alias("group"), F.col("frame").alias("seq"), F.col("subject").cast("string").alias("ue"), name(F.col("subject"), F.floor(F.col("time") / (3 * DAY))).alias("access"),
+        name(F.col("subject"), F.col("k") % 2).alias("session"), F.when(F.col("k") < 50, F.col("k") % 4).alias("pdu"), F.lit(None).cast("string").alias("amf"), F.lit(None).cast("string").alias("ran"),
+    )
+    return P.assign(e, PROCEDURES, scoring=SCORING)
+
+
+@query()
+def procedure_attempts(spark, d):
+    """Attempts of overlapping procedures by scored assignment; tested against a plain loop."""
+    return _procedures(spark, d).attempts
+
+
+@query()
+def procedure_assignments(spark, d):
+    """Every event with its attempt, or why it has none; tested against a plain loop."""
+    return _procedures(spark, d).assignments
+
+
+@query()
+def procedure_links(spark, d):
+    """Parents, transfers to another access context and superseded attempts; tested against a plain loop."""
+    a = _procedures(spark, d).attempts
+    parents = a.filter("parent_id is not null").select(F.col("parent_id").alias("left_attempt_id"), F.col("attempt_id").alias("right_attempt_id"), F.lit("parent_child").alias("relation"))
+    moved = P.nearest_prior(a, ["session"], ["session", "lookup"], "access_transfer", other_access=True)
+    return parents.unionByName(moved).unionByName(P.nearest_prior(a, ["session"], ["session"], "supersedes"))
