@@ -97,3 +97,29 @@ def first_per_code(df: DataFrame, code: str, order: list[str], n: int) -> DataFr
     """Up to ``n`` sample rows per code, first by ``order``."""
     w = Window.partitionBy(code).orderBy(*order)
     return df.withColumn("sample_no", F.row_number().over(w)).filter(F.col("sample_no") <= n)
+
+
+def transaction_key(*parts: Column, own: Column) -> Column:
+    """The first of the keys that is neither null nor empty, else ``own``, so that an event without any is a transaction of its own."""
+    return F.coalesce(*[F.nullif(p.cast("string"), F.lit("")) for p in parts], F.concat(F.lit("own:"), own.cast("string")))
+
+
+def http_failures(tx: DataFrame, ended: Column | None = None) -> DataFrame:
+    """Failed and incomplete transactions: ``category`` and ``severity``; complete ones without a failing status have no row.
+
+    A status from 400 on is a status failure (critical from 500 on); else what is
+    not complete was reset, cut off by the capture, or without an answer (a
+    timeout, also where ``ended`` says that the attempt around it timed out).
+    """
+    status, done = F.col("status"), F.col("completion")
+    timed_out = F.coalesce(ended.isin("response_timeout", "idle_timeout"), F.lit(False)) if ended is not None else F.lit(False)
+    category = (
+        F.when(status >= 400, "http_status_failure")
+        .when(done == "complete", None)
+        .when(done == "reset", "http_reset")
+        .when(done.isin("truncated", "partial", "incomplete_capture", "response_only"), "http_incomplete_capture")
+        .when(timed_out | done.isin("timeout", "request_only", "no_response"), "http_timeout")
+        .otherwise("http_incomplete_capture")
+    )
+    severity = F.when(status >= 500, "critical").when((status >= 400) | (F.col("category") == "http_timeout"), "error").otherwise("warning")
+    return tx.withColumn("category", category).filter("category is not null").withColumn("severity", severity)

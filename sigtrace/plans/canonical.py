@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigtrace.functions.text import url_path
 from sigtrace.operators import canonical as C
 from sigtrace.operators import identity as I
+from sigtrace.operators import stages as S
+from sigtrace.operators.transactions import http_failures as failed_transactions
+from sigtrace.operators.transactions import transaction_key, transactions
 from sigtrace.plans.captures import NUM, PFCP_NAMES, _first, read
 
 Q: dict = {}
@@ -142,3 +146,42 @@ def event_nodes(spark, d):
     members = o.alias("o").join(node.alias("n"), same).select("observation_id", "node_id", I.node_type(F.col("o.kind")).alias("node_type"))
     n = I.nodes_of_events(o, o, members)
     return n.groupBy("event_id").agg(F.count_distinct("node_id").alias("n_nodes"), F.min("node_id").alias("first_node"))
+
+
+@query("""WITH h AS (SELECT analysis_id, row_id, request.start_frame AS f, coalesce(nullif(transport.original_key, ''), 'own:' || row_id) AS k, response.status AS status, request.method AS method,
+        nullif(regexp_extract(request.uri, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '') AS path, coalesce(completion.rst_stream, false) AS reset, coalesce(completion.capture_truncated, false) AS cut, completion.state AS state FROM http2_streams),
+    t AS (SELECT analysis_id, k AS transaction_key, count(*) AS n_events, min(f) AS first_frame, arg_max(status, (f, row_id)) FILTER (status IS NOT NULL) AS status, arg_min(method, (f, row_id)) FILTER (method IS NOT NULL) AS method,
+        bool_or(reset) AS reset, bool_or(cut) AS cut, min(state) AS state FROM h GROUP BY analysis_id, k),
+    c AS (SELECT *, CASE WHEN reset THEN 'reset' WHEN cut THEN 'truncated' WHEN status IS NOT NULL AND method IS NOT NULL THEN 'complete' WHEN method IS NOT NULL THEN 'request_only' ELSE coalesce(state, 'unknown') END AS completion FROM t),
+    g AS (SELECT *, CASE WHEN status >= 400 THEN 'http_status_failure' WHEN completion = 'complete' THEN NULL WHEN completion = 'reset' THEN 'http_reset' WHEN completion IN ('truncated', 'partial', 'incomplete_capture', 'response_only') THEN 'http_incomplete_capture'
+        WHEN completion IN ('timeout', 'request_only', 'no_response') THEN 'http_timeout' ELSE 'http_incomplete_capture' END AS category FROM c)
+    SELECT analysis_id, transaction_key, n_events, status, completion, category, CASE WHEN status >= 500 THEN 'critical' WHEN status >= 400 OR category = 'http_timeout' THEN 'error' ELSE 'warning' END AS severity FROM g WHERE category IS NOT NULL""")
+def http_failures(spark, d):
+    """Failed and incomplete HTTP transactions of the captures."""
+    h = read(spark, d, "http2_streams")
+    e = h.select(
+        "analysis_id", F.col("row_id").alias("event_id"), F.col("request.start_frame").alias("frame"), F.col("response.status").alias("status"), F.col("request.method").alias("method"), url_path(F.col("request.uri")).alias("path"),
+        F.col("completion.rst_stream").alias("reset"), F.col("completion.capture_truncated").alias("truncated"), F.col("completion.state").alias("state"), transaction_key(F.col("transport.original_key"), own=F.col("row_id")).alias("k"),
+    )
+    return failed_transactions(transactions(e, ["analysis_id"], F.col("k"))).select("analysis_id", "transaction_key", "n_events", "status", "completion", "category", "severity")
+
+
+FIELDS = ["suci", "pdu_session_id", "ran_ue_ngap_id"]
+
+
+@query(f"""WITH {_NGAP}, v AS (SELECT *, row_id * 2 + ordinal AS o FROM ne WHERE frame IS NOT NULL AND ok AND amf_ue_ngap_id IS NOT NULL), l AS (
+        SELECT amf_ue_ngap_id, o, unnest(['suci', 'pdu_session_id', 'ran_ue_ngap_id']) AS field, unnest([suci, CAST(pdu_session_id AS VARCHAR), ran_ue_ngap_id]) AS value FROM v)
+    SELECT amf_ue_ngap_id, field, arg_min(value, o) FILTER (value IS NOT NULL) AS value, count(DISTINCT value) AS n_values, CASE WHEN count(value) = 0 THEN 'missing' WHEN count(DISTINCT value) > 1 THEN 'conflict' ELSE 'decoded' END AS status FROM l GROUP BY 1, 2""")
+def ue_request_fields(spark, d):
+    """The fields of each access context's messages: the first value, conflicts and what is missing."""
+    e = C.ngap_events(read(spark, d, "ngap_messages"), REGISTRY, KEYS).filter("validation_status != 'quarantined' and identifiers.amf_ue_ngap_id is not null")
+    e = e.select(F.col("identifiers.amf_ue_ngap_id").alias("amf_ue_ngap_id"), *[F.nullif(F.col(f"identifiers.{f}").cast("string"), F.lit("")).alias(f) for f in FIELDS], (F.col("row_id") * 2 + F.col("ordinal")).alias("o"))
+    return S.request_fields(e, ["amf_ue_ngap_id"], FIELDS, ["o"])
+
+
+@query("""WITH l AS (SELECT left_observation_id AS observation_id, 'events' AS field, unnest(supporting_event_ids) AS value FROM identity_edges WHERE left_observation_id IS NOT NULL UNION ALL SELECT left_observation_id, 'rules', rule_id FROM identity_edges WHERE left_observation_id IS NOT NULL)
+    SELECT DISTINCT observation_id, field, value FROM l WHERE value IS NOT NULL""")
+def merged_evidence(spark, d):
+    """The evidence of each observation over all its edges: events and rules."""
+    e = read(spark, d, "identity_edges").filter("left_observation_id is not null").select(F.col("left_observation_id").alias("observation_id"), F.col("supporting_event_ids").alias("events"), F.array("rule_id").alias("rules"))
+    return S.merged_sets(e, "observation_id", ["events", "rules"])

@@ -14,6 +14,7 @@ from sigtrace.operators import attempts as A
 from sigtrace.operators import joins as J
 from sigtrace.operators import procedures as P
 from sigtrace.operators import ranking as R
+from sigtrace.operators import stages as S
 from sigtrace.operators.match import EventMatcher, any_matcher, condition, partition_of
 from sigtrace.operators.ordered import with_neighbour
 from sigtrace.operators.phases import sweep
@@ -507,3 +508,82 @@ def procedure_links(spark, d):
     parents = a.filter("parent_id is not null").select(F.col("parent_id").alias("left_attempt_id"), F.col("attempt_id").alias("right_attempt_id"), F.lit("parent_child").alias("relation"))
     moved = P.nearest_prior(a, ["session"], ["session", "lookup"], "access_transfer", other_access=True)
     return parents.unionByName(moved).unionByName(P.nearest_prior(a, ["session"], ["session"], "supersedes"))
+
+
+RULES = [
+    S.StageRule("view", 0),
+    S.StageRule("click", 1, predecessors=("view",), timeout=3 * 3600),
+    S.StageRule("purchase", 2, predecessors=("view", "click"), timeout=6 * 3600, terminal_success=True),
+    S.StageRule("signup", 3, "optional"),
+    S.StageRule("error", 4, "conditional", condition={"op": "eq", "fact": "outcome", "value": "failed"}, visible=("visible",)),
+    S.StageRule("refund", 5, "conditional", ("view",), {"op": "and", "children": [{"op": "ne", "fact": "outcome", "value": "succeeded"}, {"op": "not", "children": [{"op": "eq", "fact": "attempt_no", "value": 1}]}]}),
+    S.StageRule("audit", 6, "conditional", ("view",), {"op": "eq", "fact": "no such fact", "value": 1}),
+]
+
+
+@query(_AT + f""", sg AS (SELECT subject, attempt_no, message_type AS stage, min(frame) AS f, max(frame) AS l, max(time) AS t FROM lab GROUP BY ALL),
+    a AS (SELECT subject, attempt_no, outcome, start_time, n_events < 3 AS hidden, start_frame = (SELECT min(frame) FROM ev) AS cut FROM att),
+    w AS (SELECT a.*, v.f AS vf, v.l AS vl, v.t AS vt, c.f AS cf, c.l AS cl, c.t AS ct, p.f AS pf, p.l AS pl, p.t AS pt, u.f AS uf, u.l AS ul, e.f AS ef, e.l AS el FROM a
+        LEFT JOIN sg v ON v.subject = a.subject AND v.attempt_no = a.attempt_no AND v.stage = 'view' LEFT JOIN sg c ON c.subject = a.subject AND c.attempt_no = a.attempt_no AND c.stage = 'click'
+        LEFT JOIN sg p ON p.subject = a.subject AND p.attempt_no = a.attempt_no AND p.stage = 'purchase' LEFT JOIN sg u ON u.subject = a.subject AND u.attempt_no = a.attempt_no AND u.stage = 'signup'
+        LEFT JOIN sg e ON e.subject = a.subject AND e.attempt_no = a.attempt_no AND e.stage = 'error'),
+    r AS (SELECT subject, attempt_no, 'view' AS stage_id, 0 AS stage_no, CASE WHEN vf IS NOT NULL THEN 'completed/observed_stage' WHEN cut THEN 'skipped/history_incomplete' WHEN ef IS NOT NULL THEN 'suppressed/explicit_evidence' WHEN uf IS NOT NULL THEN 'suppressed/request_only' ELSE 'missing/required_stage' END AS s, vf AS first_frame, vl AS last_frame, NULL AS deadline FROM w
+        UNION ALL SELECT subject, attempt_no, 'click', 1, CASE WHEN ct > vt + {3 * 3600} THEN 'completed/deadline_missed' WHEN cf IS NOT NULL THEN 'completed/observed_stage' WHEN vf IS NULL THEN 'skipped/predecessor_not_reached' WHEN cut THEN 'skipped/history_incomplete' WHEN ef IS NOT NULL THEN 'suppressed/explicit_evidence' ELSE 'missing/required_stage' END, cf, cl, vt + {3 * 3600} FROM w
+        UNION ALL SELECT subject, attempt_no, 'purchase', 2, CASE WHEN pt > greatest(vt, ct) + {6 * 3600} THEN 'completed/deadline_missed' WHEN pf IS NOT NULL THEN 'completed/observed_stage' WHEN vf IS NULL OR cf IS NULL THEN 'skipped/predecessor_not_reached' WHEN cut THEN 'skipped/history_incomplete' ELSE 'missing/required_stage' END, pf, pl, greatest(vt, ct) + {6 * 3600} FROM w
+        UNION ALL SELECT subject, attempt_no, 'signup', 3, CASE WHEN uf IS NOT NULL THEN 'completed/observed_stage' ELSE 'skipped/optional_stage' END, uf, ul, NULL FROM w
+        UNION ALL SELECT subject, attempt_no, 'error', 4, CASE WHEN ef IS NOT NULL THEN 'completed/observed_stage' WHEN outcome <> 'failed' THEN 'skipped/condition_false' WHEN hidden THEN 'skipped/not_visible' WHEN cut THEN 'skipped/history_incomplete' ELSE 'missing/required_stage' END, ef, el, NULL FROM w
+        UNION ALL SELECT subject, attempt_no, 'refund', 5, CASE WHEN outcome = 'succeeded' OR attempt_no = 1 THEN 'skipped/condition_false' WHEN vf IS NULL THEN 'skipped/predecessor_not_reached' WHEN cut THEN 'skipped/history_incomplete' ELSE 'missing/required_stage' END, NULL, NULL, NULL FROM w
+        UNION ALL SELECT subject, attempt_no, 'audit', 6, 'skipped/fact_unknown', NULL, NULL, NULL FROM w)
+    SELECT subject, attempt_no, stage_id, stage_no, split_part(s, '/', 1) AS state, split_part(s, '/', 2) AS reason, first_frame, last_frame, deadline FROM r""")
+def stage_dag(spark, d):
+    """What became of each stage of each attempt, by predecessors, conditions, deadlines and evidence."""
+    lab, a, _ = _kept(spark, d, "dag")
+    a = a.withColumn("visible", F.col("n_events") >= 3).withColumn("incomplete_history", F.col("start_frame") == lab.agg(F.min("frame")).scalar())
+    seen = lab.select("subject", "attempt_no", F.col("message_type").alias("stage_id"), "frame", "time")
+    pairs = lambda kind, stages: lab.filter(F.col("message_type") == kind).select("subject", "attempt_no", F.explode(F.array(*[F.lit(x) for x in stages])).alias("stage_id"))
+    facts = {"outcome": F.col("outcome"), "attempt_no": F.col("attempt_no")}
+    return S.stage_results(a, seen, RULES, ["subject", "attempt_no"], facts, pairs("error", ["view", "click"]), pairs("signup", ["view", "purchase"]))
+
+
+DEMANDS = [S.Ordering("b", "before", "signup", "purchase"), S.Ordering("i", "immediately_before", "view", "click"), S.Ordering("n", "at_least_n_between", "signup", "purchase", n=2), S.Ordering("f", "no_forbidden_between", "signup", "purchase", forbidden=("error", "view"))]
+
+
+@query(f"""WITH {EV}, o AS (SELECT subject, message_type AS c, frame FROM ev), f AS (SELECT subject, min(frame) FILTER (c = 'signup') AS s, min(frame) FILTER (c = 'purchase') AS p, min(frame) FILTER (c = 'view') AS v, min(frame) FILTER (c = 'click') AS k FROM o GROUP BY subject),
+    x AS (SELECT subject, c, min(frame) AS m FROM o GROUP BY ALL)
+    SELECT subject, 'b' AS name, s < p AS verdict FROM f UNION ALL SELECT subject, 'i', CASE WHEN v < k IS NOT NULL THEN v < k AND NOT EXISTS (SELECT 1 FROM x WHERE x.subject = f.subject AND m > v AND m < k) END FROM f
+    UNION ALL SELECT subject, 'n', CASE WHEN s < p IS NOT NULL THEN s < p AND (SELECT count(*) FROM o WHERE o.subject = f.subject AND frame > s AND frame < p) >= 2 END FROM f
+    UNION ALL SELECT subject, 'f', CASE WHEN s < p IS NOT NULL THEN s < p AND (SELECT count(*) FROM o WHERE o.subject = f.subject AND frame > s AND frame < p AND c IN ('error', 'view')) = 0 END FROM f""")
+def ordering_forms(spark, d):
+    """The four forms of demands on the order of checkpoints."""
+    e = canonical(spark, d)
+    return S.orderings(e.select("subject", F.col("message_type").alias("checkpoint"), "frame"), ["subject"], DEMANDS)
+
+
+CHECKPOINTS = [
+    S.Checkpoint("s1", "paid", protocol="PFCP", message="purchase", fields=(("k", "present", None),)),
+    S.Checkpoint("s1", "no critical error", message="error", fields=(("status", "in", (501, 503, 505, 507)),), forbidden=True),
+    S.Checkpoint("s2", "early click", protocol="NGAP", frames=(1, 2000), fields=(("k", "ne", 7), ("outcome", "eq", "request"))),
+]
+
+
+@query(f"""WITH {EV}, v AS (SELECT subject, bool_and(k > 0) AS seen, count(*) FILTER (protocol = 'PFCP' AND message_type = 'purchase' AND k IS NOT NULL) AS n0, min(frame) FILTER (protocol = 'PFCP' AND message_type = 'purchase' AND k IS NOT NULL) AS f0,
+        count(*) FILTER (message_type = 'error' AND status IN (501, 503, 505, 507)) AS n1, min(frame) FILTER (message_type = 'error' AND status IN (501, 503, 505, 507)) AS f1, count(*) FILTER (protocol = 'NGAP' AND frame BETWEEN 1 AND 2000 AND k <> 7 AND outcome = 'request') AS n2,
+        min(frame) FILTER (protocol = 'NGAP' AND frame BETWEEN 1 AND 2000 AND k <> 7 AND outcome = 'request') AS f2 FROM ev GROUP BY subject)
+    SELECT subject, 's1' AS scenario, 'paid' AS name, n0 AS n_found, f0 AS first_frame, CASE WHEN n0 > 0 THEN 'passed' WHEN seen THEN 'failed' ELSE 'inconclusive' END AS verdict FROM v
+    UNION ALL SELECT subject, 's1', 'no critical error', n1, f1, CASE WHEN n1 > 0 THEN 'failed' WHEN seen THEN 'passed' ELSE 'inconclusive' END FROM v UNION ALL SELECT subject, 's2', 'early click', n2, f2, CASE WHEN n2 > 0 THEN 'passed' WHEN seen THEN 'failed' ELSE 'inconclusive' END FROM v""")
+def scenario_checkpoints(spark, d):
+    """What each subject's events say about the checkpoints of two scenarios; absence counts only where all was visible."""
+    return S.checkpoint_verdicts(canonical(spark, d), CHECKPOINTS, ["subject"], visible=F.col("k") > 0)
+
+
+@query(f"""WITH c AS ({SQL['scenario_checkpoints']}) SELECT subject, scenario, CASE WHEN bool_or(verdict = 'failed') THEN 'failed' WHEN bool_or(verdict = 'inconclusive') THEN 'inconclusive' ELSE 'passed' END AS status,
+    count(*) FILTER (verdict = 'failed') AS n_failed, count(*) AS n_checkpoints FROM c GROUP BY subject, scenario""")
+def scenario_status(spark, d):
+    return S.fold_verdicts(scenario_checkpoints(spark, d), ["subject"])
+
+
+@query(f"""WITH {EV} SELECT event_id, subject, coalesce(bool_or(outcome = 'failure') OVER (PARTITION BY subject ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS downstream_possible FROM ev WHERE outcome = 'failure'""")
+def downstream_failures(spark, d):
+    """Each failure, and whether one of its subject came before it."""
+    e = S.with_earlier(canonical(spark, d), ["subject"], "frame", F.col("outcome") == "failure", "downstream_possible")
+    return e.filter("outcome = 'failure'").select("event_id", "subject", "downstream_possible")
