@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sigtrace.operators.ordered import _same, with_neighbour, with_position
+from sigtrace.operators.ordered import _same, running, with_neighbour, with_position
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,22 @@ def segment_attempts(events: DataFrame, profiles: list[Profile], capture_end: in
 
     In order of frame, an event first expires open attempts that were silent
     beyond their timeout, then opens an attempt if it triggers a profile that has
-    none open, joins the open attempts whose stages name it (or the latest), and
-    closes those for which it is terminal. Open attempts at the end are timed out
-    or incomplete. State is a few open attempts; each subject's events come as
-    sorted Arrow batches, never all at once.
+    none open, joins the open attempts whose stages name it, and
+    closes those for which it is terminal. Open attempts at the end (and before a
+    silence beyond all timeouts, which no attempt survives) are timed out
+    or incomplete. A subject's timeline is cut where it is silent beyond all
+    timeouts, as no attempt goes on there, and its pieces are spread over tasks;
+    each streams through one as sorted Arrow batches with a few open attempts as
+    its state.
     """
-    src = events.select(F.col(subject).cast("string").alias("subject"), F.col("frame").cast("bigint").alias("frame"), F.col("time").cast("bigint").alias("time"), "message_type")
-    ordered = src.filter("subject is not null").repartition("subject").sortWithinPartitions("subject", "frame", "message_type")
+    src = events.select(F.col(subject).cast("string").alias("subject"), F.col("frame").cast("bigint").alias("frame"), F.col("time").cast("bigint").alias("time"), "message_type").filter("subject is not null")
+    # Silence counts from the latest time so far, should times not follow the frames.
+    src = running(src, ["subject"], F.floor(F.col("frame") / BLOCK), ["frame", "message_type"], {"_latest": (F.max, F.col("time"))})
+    src = islands(src, ["subject"], "frame", "_latest", max((p.timeout for p in profiles), default=0), F.lit(False)).withColumnRenamed("attempt_no", "piece").drop("_latest")
+    ordered = src.repartition("subject", "piece").sortWithinPartitions("subject", "piece", "frame", "message_type")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = None
+        now = at = None
         live: dict[str, dict] = {}
 
         def close(a: dict, outcome: str, reason: str) -> tuple:
@@ -71,10 +77,10 @@ def segment_attempts(events: DataFrame, profiles: list[Profile], capture_end: in
 
         for f in frames:
             out: list[tuple] = []
-            for s, frame, time, kind in zip(f["subject"], f["frame"], f["time"], f["message_type"]):
-                if s != now:
+            for s, piece, frame, time, kind in zip(f["subject"], f["piece"], f["frame"], f["time"], f["message_type"]):
+                if (s, piece) != at:
                     out += finish()
-                    now = s
+                    now, at = s, (s, piece)
                 for pid in [pid for pid, a in live.items() if time - a["t1"] > a["p"].timeout]:
                     out.append(close(live.pop(pid), "timed_out", "response_timeout"))
                 for p in profiles:

@@ -10,22 +10,40 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigtrace.operators.joins import level
+
 
 def overlapping(left: DataFrame, right: DataFrame, by: list[str], lo: str, hi: str, right_lo: str, right_hi: str, width: int) -> DataFrame:
     """Pairs of intervals of the same ``by`` that share a point, each once.
 
-    Both sides are listed per bucket of ``width`` they touch; a pair counts in
-    the bucket where the later of the two begins. Intervals with a null or
-    reversed bound overlap nothing.
+    An interval has the level k whose blocks of ``width`` * 2**k are as long as
+    it at least. A pair meets in the blocks of the longer one's level, of which
+    either touches two at most, so long intervals are not listed over all that
+    they cover; it counts in the block where the later of the two begins.
+    Intervals with a null or reversed bound overlap nothing.
     """
-    def listed(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.filter(F.col(a) <= F.col(b)).withColumn("_k", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-
-    l, r = listed(left, lo, hi).alias("l"), listed(right, right_lo, right_hi).alias("r")
-    cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*by, "_k"]]
-    cond += [F.col(f"l.{lo}") <= F.col(f"r.{right_hi}"), F.col(f"r.{right_lo}") <= F.col(f"l.{hi}")]
-    cond += [F.col("l._k") == F.floor(F.greatest(F.col(f"l.{lo}"), F.col(f"r.{right_lo}")) / width)]
-    return l.join(r, cond).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns if c not in by])
+    def levelled(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.filter(F.col(a) <= F.col(b)).withColumn("_own", level(F.col(b) - F.col(a) + 1, width))
+
+    def listed(df: DataFrame, a: str, b: str, at) -> DataFrame:
+        size = F.lit(width).cast("bigint") * F.expr("shiftleft(1L, _k)")
+        return df.withColumn("_k", F.explode(at)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))))
+
+    l, r = levelled(left, lo, hi), levelled(right, right_lo, right_hi)
+    levels = lambda df: F.sort_array(df.agg(F.collect_set("_own")).scalar())
+    of_l, of_r = levels(l), levels(r)
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        p, q = x.alias("l"), y.alias("r")
+        cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*by, "_k", "_b"]]
+        cond += [F.col(f"l.{lo}") <= F.col(f"r.{right_hi}"), F.col(f"r.{right_lo}") <= F.col(f"l.{hi}")]
+        cond += [F.col("l._b") == F.floor(F.greatest(F.col(f"l.{lo}"), F.col(f"r.{right_lo}")) / (F.lit(width).cast("bigint") * F.expr("shiftleft(1L, l._k)")))]
+        return p.join(q, cond).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns if c not in by])
+
+    own = F.array("_own")
+    l_up, r_up = l.withColumn("_levels", of_r), r.withColumn("_levels", of_l)
+    longer = meet(listed(l, lo, hi, own), listed(r_up, right_lo, right_hi, F.filter("_levels", lambda k: k >= F.col("_own"))))
+    return longer.unionAll(meet(listed(l_up, lo, hi, F.filter("_levels", lambda k: k > F.col("_own"))), listed(r, right_lo, right_hi, own)))
 
 
 def canonical(value) -> bytes:

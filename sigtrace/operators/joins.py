@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from sigtrace.operators.ordered import _same, running
 
 
-def _level(length: Column, width: int) -> Column:
+def level(length: Column, width: int) -> Column:
     """The smallest k with ``width`` * 2**k >= ``length``."""
     return F.greatest(F.ceil(F.log2(length / F.lit(width))), F.lit(0)).cast("int")
 
@@ -29,7 +29,7 @@ def in_interval(points: DataFrame, spans: DataFrame, by: list[str], at: str, lo:
     """
     end = points.agg(F.max(at).cast("bigint").alias("_end")).scalar()
     s = spans.withColumn("_hi", F.coalesce(F.col(hi), F.greatest(F.col(lo), end))).filter(F.col(lo).isNotNull() & (F.col("_hi") >= F.col(lo)))
-    s = s.withColumn("_k", _level(F.col("_hi") - F.col(lo) + 1, width))
+    s = s.withColumn("_k", level(F.col("_hi") - F.col(lo) + 1, width))
     levels = F.sort_array(s.agg(F.collect_set("_k").alias("_k")).scalar())
     size = F.lit(width).cast("bigint") * F.expr("shiftleft(1L, _k)")
     s = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col("_hi") / size))))

@@ -12,8 +12,11 @@ def test_overlaps_once(spark):
     a = [(rnd.choice("xy"), i, lo := rnd.randint(0, 300), lo + rnd.randint(-2, 90)) for i in range(60)]
     b = [(rnd.choice("xy"), i, lo := rnd.randint(0, 300), lo + rnd.randint(0, 90)) for i in range(60)]
     l, r = spark.createDataFrame(a, "k string, i int, lo int, hi int"), spark.createDataFrame(b, "k string, j int, lo2 int, hi2 int")
+    a += [("x", 100, 0, 1 << 40), ("y", 101, None, 5), ("y", 102, 7, 7)]
+    b += [("x", 100, -5, 1 << 35), ("x", 101, 299, 300), ("y", 102, 7, 1000)]
+    l, r = spark.createDataFrame(a, "k string, i int, lo long, hi long"), spark.createDataFrame(b, "k string, j int, lo2 long, hi2 long")
     got = [(x.i, x.j) for x in evidence.overlapping(l, r, ["k"], "lo", "hi", "lo2", "hi2", 25).collect()]
-    want = [(i, j) for k, i, lo, hi in a for q, j, lo2, hi2 in b if k == q and lo <= hi and lo <= hi2 and lo2 <= hi]
+    want = [(i, j) for k, i, lo, hi in a for q, j, lo2, hi2 in b if k == q and lo is not None and lo <= hi and lo <= hi2 and lo2 <= hi]
     assert sorted(got) == sorted(want)
 
 
