@@ -116,9 +116,13 @@ def ngap_outcomes(spark, d):
     return read(spark, d, "ngap_messages").select("row_id", M.pdu_outcome(M.pdu_class(F.col("ngap"))).alias("outcome"))
 
 
-@query()
+_WALKS = {"cp_seid": ("pfcp", "cpseid"), "up_seid": ("pfcp", "upseid"), "ue_ip": ("pfcp", "ueip"), "pdu_session_id": ("pfcp", "pdusessionid"), "amf_ue_ngap_id": ("ngap", "amfuengapid"), "ran_ue_ngap_id": ("ngap", "ranuengapid"), "procedure_code": ("ngap", "procedurecode")}
+
+
+@query("WITH w AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, row_id, '{k}' AS kind, {_first(t, suffix)} AS lookup_value FROM {t}_messages" for k, (t, suffix) in _WALKS.items()) + """)
+    SELECT *, CASE WHEN kind IN ('amf_ue_ngap_id', 'ran_ue_ngap_id') THEN 'ACCESS_CONTEXT' WHEN kind = 'pdu_session_id' THEN 'PDU_SESSION' ELSE 'PFCP_SESSION' END AS node_type FROM w WHERE lookup_value IS NOT NULL AND lookup_value <> ''""")
 def tree_identifiers(spark, d):
-    """Identifiers from the trees, the first of each kind in document order; tested against a plain walk."""
+    """Identifiers from the trees, the first of each kind in document order."""
     p = read(spark, d, "pfcp_messages").select("row_id", X.first_values(F.col("pfcp"), {"cp_seid": ["cpseid"], "up_seid": ["upseid"], "ue_ip": ["ueip"], "pdu_session_id": ["pdusessionid"]}).alias("v"))
     n = read(spark, d, "ngap_messages").select("row_id", X.first_values(F.col("ngap"), {"amf_ue_ngap_id": ["amfuengapid"], "ran_ue_ngap_id": ["ranuengapid"], "procedure_code": ["procedurecode"]}).alias("v"))
     kinds = ["amf_ue_ngap_id", "ran_ue_ngap_id", "procedure_code"]
@@ -147,9 +151,11 @@ def http_paths(spark, d):
     return h.select("row_id", "path", X.first_segment(F.col("path")).alias("api"), X.after_segment(F.col("path"), "sm-contexts").alias("sm_context"), X.header(F.col("h"), "content-type", "accept").alias("content"))
 
 
-@query()
+@query("""WITH u AS (SELECT row_id, regexp_extract(request.uri, '\\?([^#]*)', 1) AS q FROM http2_streams), p AS (SELECT row_id, list_filter(string_split(q, '&'), lambda x: x <> '') AS parts FROM u WHERE q <> ''),
+    e AS (SELECT row_id, unnest(parts) AS part, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS position FROM p)
+    SELECT row_id, position, url_decode(replace(split_part(part, '=', 1), '+', ' ')) AS name, url_decode(replace(regexp_extract(part, '=(.*)$', 1), '+', ' ')) AS value FROM e""")
 def http_query_parameters(spark, d):
-    """Parameters of request targets, repeats kept; tested on fixtures."""
+    """Parameters of request targets, repeats kept. The tables' targets have none; tested on fixtures too."""
     h = read(spark, d, "http2_streams")
     return h.select("row_id", F.posexplode(X.url_query(F.col("request.uri")))).select("row_id", F.col("pos").alias("position"), "col.name", "col.value")
 
