@@ -226,20 +226,41 @@ def attempt_segments(spark, d):
     return _attempts(spark, d)
 
 
-@query()
-def attempts_general(spark, d):
-    """Two profiles at once; tested against a plain loop."""
-    e = canonical(spark, d)
-    end = e.agg(F.max("time")).first()[0] or 0
-    return A.segment_attempts(e, PROFILES, end)
-
-
 PROFILES = [
     A.Profile("buy", ("view", "signup"), ("purchase",), ("error",), GAP, ("click",)),
     A.Profile("browse", ("click",), ("view",), ("error",), IDLE),
 ]
 
 
+def _machine(p: A.Profile) -> str:
+    """SQL of one profile's state machine, event by event: o is whether an attempt is open, x what has just expired, y what has just ended."""
+    has = lambda kinds: "m IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+    mine = has({*p.triggers, *p.success, *p.failure, *p.stages})
+    gone = f"(o AND time - t1 > {p.timeout})"
+    opens = f"((NOT o OR {gone}) AND {has(p.triggers)})"
+    live = f"((o AND NOT {gone}) OR {opens})"
+    ended = f"({live} AND {mine} AND ({has(p.success)} OR {has(p.failure)}))"
+    step = f"CASE WHEN {opens} THEN {{0}} ELSE {{1}} END"
+    last = f"CASE WHEN {live} AND {mine} OR {opens} THEN {{0}} ELSE {{1}} END"
+    row = f"struct_pack(f0 := {step.format('frame', 'f0')}, f1 := {last.format('frame', 'f1')}, t0 := {step.format('time', 't0')}, t1 := {last.format('time', 't1')}, n := {step.format('0', 'n')} + CASE WHEN {live} AND {mine} THEN 1 ELSE 0 END)"
+    return f"""(WITH RECURSIVE s AS (SELECT subject, 0::BIGINT AS i, false AS o, 0::BIGINT AS f0, 0::BIGINT AS f1, 0::BIGINT AS t0, 0::BIGINT AS t1, 0 AS n, NULL::STRUCT(f0 BIGINT, f1 BIGINT, t0 BIGINT, t1 BIGINT, n INTEGER) AS x, NULL::STRUCT(f0 BIGINT, f1 BIGINT, t0 BIGINT, t1 BIGINT, n INTEGER) AS y, '' AS how
+            FROM (SELECT DISTINCT subject FROM e)
+        UNION ALL SELECT subject, i, {live} AND NOT {ended}, r.f0, r.f1, r.t0, r.t1, r.n, CASE WHEN {gone} THEN struct_pack(f0 := f0, f1 := f1, t0 := t0, t1 := t1, n := n) END, CASE WHEN {ended} THEN r END, CASE WHEN {has(p.success)} THEN 'succeeded' ELSE 'failed' END
+            FROM (SELECT q.*, {row} AS r FROM (SELECT s.subject, e.i, s.o, s.f0, s.f1, s.t0, s.t1, s.n, e.frame, e.time, e.m FROM s JOIN e ON e.subject = s.subject AND e.i = s.i + 1) q)),
+        c AS (SELECT subject, x AS z, 'timed_out' AS outcome, 'response_timeout' AS reason FROM s WHERE x IS NOT NULL UNION ALL SELECT subject, y, how, CASE how WHEN 'succeeded' THEN 'success_terminal' ELSE 'failure_terminal' END FROM s WHERE y IS NOT NULL
+            UNION ALL SELECT subject, struct_pack(f0 := f0, f1 := f1, t0 := t0, t1 := t1, n := n), CASE WHEN late THEN 'timed_out' ELSE 'incomplete_capture' END, CASE WHEN late THEN 'response_timeout' ELSE 'capture_ended_before_terminal' END
+            FROM (SELECT s.*, (SELECT max(time) FROM e) - t1 > {p.timeout} AS late FROM s WHERE o AND i = (SELECT max(i) FROM e WHERE e.subject = s.subject)))
+        SELECT CAST(subject AS VARCHAR) AS subject, '{p.profile_id}' AS profile_id, z.f0 AS start_frame, z.f1 AS end_frame, z.t0 AS start_time, z.t1 AS end_time, z.n AS n_events, outcome, reason FROM c)"""
+
+
+@query(f"WITH {EV}, e AS (SELECT subject, frame, time, message_type AS m, row_number() OVER (PARTITION BY subject ORDER BY frame, message_type) AS i FROM ev) " + " UNION ALL ".join(f"SELECT * FROM {_machine(p)}" for p in PROFILES))
+def attempts_general(spark, d):
+    """Two profiles at once."""
+    e = canonical(spark, d)
+    end = e.agg(F.max("time")).first()[0] or 0
+    return A.segment_attempts(e, PROFILES, end)
+
+
 @query(_AT + f""" SELECT subject, attempt_no, outcome, row_number() OVER w AS sequence_no,
     CASE WHEN lag(outcome) OVER w IN ('failed', 'timed_out') AND start_time - lag(end_time) OVER w <= {DAY} THEN lag(attempt_no) OVER w END AS retry_of
     FROM att WINDOW w AS (PARTITION BY subject ORDER BY end_frame)""")
