@@ -152,3 +152,10 @@ def observations_of(events: DataFrame, keys: list[str]) -> DataFrame:
     long = I.to_long(use, [*keys, "event_id", "frame", "seconds", "src_ip", "dst_ip", "_access"], kinds)
     k = F.col("kind")
     return long.select(*keys, "event_id", "frame", "seconds", "kind", "lookup_value", I.node_type(k).alias("node_type"), I.role(k).alias("role"), I.scope_key(k, F.col("_access"), F.col("src_ip"), F.col("dst_ip"), F.col("frame")).alias("scope_key"))
+
+
+def lean_streams(streams: DataFrame, routine: list[str], dull: list[str]) -> DataFrame:
+    """HTTP/2 streams with their ``api`` and request ``headers``: those of ``routine`` APIs only if they failed, ``dull`` headers left out."""
+    s = streams.withColumn("api", F.lower(X.first_segment(X.url_path(F.col("request.uri")))))
+    keep = F.coalesce(~F.col("api").isin(routine), F.lit(True)) | F.coalesce(F.col("response.status") >= 400, F.lit(False))
+    return s.filter(keep).withColumn("headers", F.filter("request.headers", lambda h: ~F.coalesce(F.lower(h["name"]).isin(dull), F.lit(False))))

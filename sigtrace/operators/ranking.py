@@ -48,14 +48,14 @@ def with_occurrence(df: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def timeline(items: list[DataFrame], by: list[str], order: list[str], most: int | None = None) -> DataFrame:
-    """Items of different kinds in one order, numbered from 0, up to ``most`` of each group."""
+def timeline(items: list[DataFrame], by: list[str], order: list[str], most: int | None = None, skip: int = 0) -> DataFrame:
+    """Items of different kinds in one order, numbered from 0: those of each group from ``skip`` to before ``most``."""
     all_ = items[0]
     for i in items[1:]:
         all_ = all_.unionByName(i, allowMissingColumns=True)
     t = all_.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     t = t if most is None else t.filter(F.col("ordinal") <= most)  # so that only as many of each task are shuffled
-    return t.withColumn("ordinal", F.col("ordinal") - 1)
+    return t.withColumn("ordinal", F.col("ordinal") - 1).filter(F.col("ordinal") >= skip)
 
 
 def pages(rows: DataFrame, by: list[str], order: list[str], size: Column, most_bytes: int, most_rows: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sigtrace.functions.text import url_path
 from sigtrace.operators import canonical as C
@@ -10,6 +11,7 @@ from sigtrace.operators import identity as I
 from sigtrace.operators import stages as S
 from sigtrace.operators.transactions import http_failures as failed_transactions
 from sigtrace.operators.transactions import transaction_key, transactions
+from sigtrace.plans import captures
 from sigtrace.plans.captures import NUM, PFCP_NAMES, _first, read
 
 Q: dict = {}
@@ -19,6 +21,8 @@ KEYS = ["analysis_id", "row_id"]
 # Names of NGAP procedures (TS 38.413) and NAS message types (TS 24.501), by their decimal codes.
 NGAP_NAMES = {"4": "DOWNLINK_NAS_TRANSPORT", "12": "HANDOVER_PREPARATION", "14": "INITIAL_CONTEXT_SETUP", "15": "INITIAL_UE_MESSAGE", "21": "NG_SETUP", "24": "PAGING", "25": "PATH_SWITCH_REQUEST", "29": "PDU_SESSION_RESOURCE_SETUP", "41": "UE_CONTEXT_RELEASE", "46": "UPLINK_NAS_TRANSPORT"}
 NAS_NAMES = {"65": "REGISTRATION_REQUEST", "66": "REGISTRATION_ACCEPT", "67": "REGISTRATION_COMPLETE", "68": "REGISTRATION_REJECT", "86": "AUTHENTICATION_REQUEST", "87": "AUTHENTICATION_RESPONSE", "93": "SECURITY_MODE_COMMAND", "94": "SECURITY_MODE_COMPLETE", "193": "PDU_SESSION_ESTABLISHMENT_REQUEST", "194": "PDU_SESSION_ESTABLISHMENT_ACCEPT", "195": "PDU_SESSION_ESTABLISHMENT_REJECT"}
+# Headers that a lean view leaves out.
+DULL_HEADERS = ["user-agent", "accept", "accept-encoding", "content-length", "date"]
 # The APIs of the partitions beside the primary one.
 PARTITIONS = {"nrf": ("nnrf-nfm", "nnrf-disc"), "udr": ("nudr-dr", "nudr-group-id-map")}
 REGISTRY = C.Registry(NGAP_NAMES, NAS_NAMES, PFCP_NAMES, PARTITIONS, ("nnrf", "nudr"))
@@ -185,3 +189,34 @@ def merged_evidence(spark, d):
     """The evidence of each observation over all its edges: events and rules."""
     e = read(spark, d, "identity_edges").filter("left_observation_id is not null").select(F.col("left_observation_id").alias("observation_id"), F.col("supporting_event_ids").alias("events"), F.array("rule_id").alias("rules"))
     return S.merged_sets(e, "observation_id", ["events", "rules"])
+
+
+_FOUND = f"""f AS (SELECT analysis_id, 'HTTP2' AS protocol, category, severity, transaction_key AS k, CAST(NULL AS BIGINT) AS frame FROM ({SQL['http_failures']})
+    UNION ALL SELECT analysis_id, 'PFCP', 'pfcp_failure', 'error', coalesce(response_to, seq, 'none') || ':' || coalesce(seid, 'none') || ':' || coalesce(node_pair, 'none'), first_frame FROM ({captures.SQL['pfcp_transactions']}) WHERE outcome = 'failure'
+    UNION ALL SELECT analysis_id, 'NGAP', 'ngap_failure', 'error', CAST(c.row_id AS VARCHAR), c.frame FROM ({SQL['canonical_ngap']}) c JOIN ngap_messages m ON m.row_id = c.row_id WHERE c.protocol = 'NGAP' AND c.outcome = 'failure' AND c.validation_status <> 'quarantined')"""
+
+
+@query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'error' THEN 1 ELSE 2 END, frame NULLS LAST, protocol, k) AS place FROM f)
+    SELECT analysis_id, protocol, category, severity, k, frame, place FROM r WHERE place <= 20""")
+def failure_candidates(spark, d):
+    """What three detectors found, put together, the 20 worst and earliest of each capture."""
+    http = http_failures(spark, d).select("analysis_id", F.lit("HTTP2").alias("protocol"), "category", "severity", F.col("transaction_key").alias("k"), F.lit(None).cast("bigint").alias("frame"))
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    key = F.concat_ws(":", F.coalesce("response_to", "seq", F.lit("none")), none("seid"), none("node_pair"))
+    pfcp = captures.pfcp_transactions(spark, d).filter("outcome = 'failure'").select("analysis_id", F.lit("PFCP").alias("protocol"), F.lit("pfcp_failure").alias("category"), F.lit("error").alias("severity"), key.alias("k"), F.col("first_frame").alias("frame"))
+    ngap = C.ngap_events(read(spark, d, "ngap_messages"), REGISTRY, KEYS).filter("protocol = 'NGAP' and outcome = 'failure' and validation_status != 'quarantined'")
+    ngap = ngap.select("analysis_id", "protocol", F.lit("ngap_failure").alias("category"), F.lit("error").alias("severity"), F.col("row_id").cast("string").alias("k"), "frame")
+    worst = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "error", 1).otherwise(2)
+    both = http.unionByName(pfcp).unionByName(ngap)
+    w = Window.partitionBy("analysis_id").orderBy(worst, F.col("frame").asc_nulls_last(), "protocol", "k")
+    return both.withColumn("place", F.row_number().over(w)).filter("place <= 20")
+
+
+@query("""WITH h AS (SELECT row_id, lower(nullif(regexp_extract(nullif(regexp_extract(request.uri, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), ''), '^/*([^/]+)', 1), '')) AS api, response.status AS status, request.headers AS hs FROM http2_streams)
+    SELECT row_id, api, status, array_to_string(list_transform(list_filter(hs, lambda x: lower(x.name) NOT IN ('user-agent', 'accept', 'accept-encoding', 'content-length', 'date')), lambda x: lower(x.name)), ',') AS header_names
+    FROM h WHERE coalesce(NOT (api IN ('nnrf-nfm', 'nnrf-disc', 'nudr-dr', 'nudr-group-id-map')), true) OR status >= 400""")
+def lean_http(spark, d):
+    """A view without routine streams of the registries (unless they failed) and without headers that say nothing."""
+    return C.lean_streams(read(spark, d, "http2_streams"), [a for apis in PARTITIONS.values() for a in apis], DULL_HEADERS).select(
+        "row_id", "api", F.col("response.status").alias("status"), F.array_join(F.transform("headers", lambda h: F.lower(h["name"])), ",").alias("header_names"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtrace.functions import messages as M
+from sigtrace.functions import scenario as Z
 from sigtrace.functions import text as X
 from sigtrace.functions.numbers import number_text
 from sigtrace.operators import identity as I
@@ -310,14 +311,26 @@ def quarantine_counts(spark, d):
     return split_lines(read(spark, d, "raw_lines")).groupBy("file_id", "state").agg(F.count("*").alias("n"))
 
 
-@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, TRY_CAST(nullif(regexp_extract(t, 'frame (?:no\\. )?([0-9]+)', 1), '') AS BIGINT) AS frame,
-    nullif(regexp_extract(t, 'dnn ([a-z0-9.]+)', 1), '') AS dnn, contains(t, 'handover') AS handover, contains(t, 'registration') AS registration, contains(t, 'timer expiry') AS timeout FROM t""")
+def _words(words: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(t, '{w}') THEN '{v}'" for w, v in words.items()) + " END"
+
+
+def _match(rx: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(t, '{rx}', {group}), '')"
+
+
+_SCENARIO = f"""WITH x AS (SELECT doc_id, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, {_words(Z.PROCEDURES)} AS procedure, TRY_CAST({_match(Z.PDU_SESSION)} AS BIGINT) AS pdu_session, coalesce(TRY_CAST({_match(Z.FRAME_RANGE)} AS BIGINT), TRY_CAST({_match(Z.FRAME)} AS BIGINT)) AS frame_from,
+        coalesce(TRY_CAST({_match(Z.FRAME_RANGE, 2)} AS BIGINT), TRY_CAST({_match(Z.FRAME)} AS BIGINT)) AS frame_to, {_match(Z.DNN)} AS dnn, {_match(Z.SLICE)} AS s_nssai, {_words(Z.OUTCOMES)} AS expected_outcome, {_words(Z.ACCESS)} AS access_type,
+        {_words(Z.INITIATORS)} AS initiator, CASE WHEN contains(t, 'pdu') AND contains(t, 'ipv4') THEN 'ipv4' END AS pdu_type, CASE WHEN contains(t, 'emergency') THEN true END AS emergency, CASE WHEN contains(t, 'smf') THEN 'smf' END AS failure_stage,
+        CASE WHEN contains(t, 'no registration reject') OR contains(t, 'without registration reject') THEN 'REGISTRATION_REJECT' END AS forbidden FROM x),
+    n AS (SELECT *, {' + '.join(f'CAST({f} IS NOT NULL AS INTEGER)' for f in Z.FACTS)} AS n_facts FROM f)"""
+
+
+@query(_SCENARIO + " SELECT *, CASE WHEN n_facts >= 3 THEN 'high' WHEN n_facts >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM n")
 def scenario_facts(spark, d):
-    """Facts named in free texts: frames, names, procedures."""
-    t = F.lower("text")
-    got = lambda rx: F.nullif(F.regexp_extract(t, rx, 1), F.lit(""))
-    has = lambda w: F.contains(t, F.lit(w))
-    return read(spark, d, "documents").filter("text is not null").select("doc_id", got(r"frame (?:no\. )?([0-9]+)").try_cast("bigint").alias("frame"), got("dnn ([a-z0-9.]+)").alias("dnn"), has("handover").alias("handover"), has("registration").alias("registration"), has("timer expiry").alias("timeout"))
+    """Facts named in free texts, over whole texts."""
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", Z.facts(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 @query()
@@ -325,3 +338,50 @@ def p5_fields(spark, d):
     """The alias table behind p5_table: each name of a field by protocol, in how many files, its usual name and type."""
     folder = RunFolder(spark, "fields")
     return aliases(read(spark, d, "raw_files"), file_drift(spark, d), folder.write)
+
+
+@query("""WITH h AS (SELECT unnest(request.headers) AS h FROM http2_streams UNION ALL SELECT unnest(response.headers) FROM http2_streams)
+    SELECT regexp_replace(lower(h.name), '[^\\p{L}\\p{N}]', '', 'g') AS name, count(*) AS n, count(DISTINCT h.value) AS n_values FROM h GROUP BY 1""")
+def header_names(spark, d):
+    """Headers by their normalised names."""
+    h = read(spark, d, "http2_streams")
+    each = h.select(F.explode("request.headers").alias("h")).unionAll(h.select(F.explode("response.headers")))
+    return each.groupBy(X.normal_key(F.col("h.name")).alias("name")).agg(F.count("*").alias("n"), F.count_distinct("h.value").alias("n_values"))
+
+
+@query("""WITH s AS (SELECT DISTINCT analysis_id, kind || ':' || lookup_value AS value, valid_from_frame AS lo, valid_to_frame AS hi FROM identity_observations WHERE valid_from_frame IS NOT NULL AND valid_to_frame IS NOT NULL AND analysis_id IS NOT NULL),
+    p AS (SELECT DISTINCT analysis_id, frame FROM identity_observations WHERE frame IS NOT NULL AND analysis_id IS NOT NULL),
+    j AS (SELECT p.analysis_id, p.frame, value, lo, row_number() OVER (PARTITION BY p.analysis_id, p.frame ORDER BY lo DESC, value) AS n FROM p JOIN s ON p.analysis_id = s.analysis_id AND p.frame BETWEEN lo AND hi)
+    SELECT analysis_id, frame, value, lo FROM j WHERE n = 1""")
+def latest_valid_identifier(spark, d):
+    """At each frame with an observation the identifier whose closed validity began last."""
+    o = read(spark, d, "identity_observations").filter("analysis_id is not null")
+    s = o.filter("valid_from_frame is not null and valid_to_frame is not null").select("analysis_id", F.concat("kind", F.lit(":"), "lookup_value").alias("value"), F.col("valid_from_frame").alias("lo"), F.col("valid_to_frame").alias("hi")).distinct()
+    p = o.filter("frame is not null").select("analysis_id", "frame").distinct()
+    return J.latest_valid(p, s, ["analysis_id"], "frame", "lo", "hi", F.col("value"), 1 << 12, ["analysis_id", "frame"]).select("analysis_id", "frame", "value", "lo")
+
+
+@query("""SELECT rule_id, decision, count(*) AS n, CAST(min(confidence) AS DOUBLE) AS least, CASE WHEN min(confidence) >= 0.85 THEN 'high' WHEN min(confidence) >= 0.7 THEN 'medium' ELSE 'low' END AS confidence FROM identity_edges GROUP BY rule_id, decision""")
+def edge_confidence(spark, d):
+    """The confidence of each rule's edges: that of the weakest."""
+    least = F.min("confidence")
+    return read(spark, d, "identity_edges").groupBy("rule_id", "decision").agg(F.count("*").alias("n"), least.cast("double").alias("least"), F.when(least >= 0.85, "high").when(least >= 0.7, "medium").otherwise("low").alias("confidence"))
+
+
+@query("""WITH r AS (SELECT DISTINCT unnest(supporting_event_ids) AS event_id FROM identity_edges WHERE decision NOT IN ('accepted', 'accepted_with_warning')),
+    a AS (SELECT edge_id, unnest(supporting_event_ids) AS event_id FROM identity_edges WHERE decision IN ('accepted', 'accepted_with_warning'))
+    SELECT DISTINCT edge_id FROM a WHERE event_id IN (SELECT event_id FROM r)""")
+def disputed_edges(spark, d):
+    """Accepted edges that share a supporting event with an edge that was not accepted: a semi join on the events."""
+    e = read(spark, d, "identity_edges").select("edge_id", F.col("decision").isin("accepted", "accepted_with_warning").alias("ok"), F.explode("supporting_event_ids").alias("event_id"))
+    return e.filter("ok").join(e.filter("not ok").select("event_id").distinct(), "event_id", "left_semi").select("edge_id").distinct()
+
+
+@query("""WITH p AS (SELECT analysis_id, CASE WHEN transport.src_ip IS NOT NULL AND transport.dst_ip IS NOT NULL THEN least(transport.src_ip, transport.dst_ip) || '->' || greatest(transport.src_ip, transport.dst_ip) END AS pair, frame, is_heartbeat FROM pfcp_messages WHERE frame IS NOT NULL),
+    m AS (SELECT * FROM p WHERE pair IS NOT NULL AND analysis_id IS NOT NULL), s AS (SELECT analysis_id, pair, min(frame) AS lo FROM m WHERE is_heartbeat GROUP BY ALL)
+    SELECT m.analysis_id, m.pair AS node_pair, count(*) AS n, count(*) FILTER (is_heartbeat) AS n_heartbeats FROM m JOIN s ON m.analysis_id = s.analysis_id AND m.pair = s.pair AND m.frame BETWEEN s.lo AND s.lo + 500 GROUP BY 1, 2""")
+def pair_windows(spark, d):
+    """The messages of each node pair within 500 frames of its first heartbeat: a range read by pair."""
+    m = read(spark, d, "pfcp_messages").select("analysis_id", X.pair_key(F.col("transport.src_ip"), F.col("transport.dst_ip")).alias("node_pair"), "frame", "is_heartbeat").filter("frame is not null and node_pair is not null and analysis_id is not null")
+    s = m.filter("is_heartbeat").groupBy("analysis_id", "node_pair").agg(F.min("frame").alias("lo")).withColumn("hi", F.col("lo") + 500)
+    return J.in_interval(m, s, ["analysis_id", "node_pair"], "frame", "lo", "hi", 512).groupBy("analysis_id", "node_pair").agg(F.count("*").alias("n"), F.count_if("is_heartbeat").alias("n_heartbeats"))

@@ -608,3 +608,29 @@ def downstream_failures(spark, d):
     """Each failure, and whether one of its subject came before it."""
     e = S.with_earlier(canonical(spark, d), ["subject"], "frame", F.col("outcome") == "failure", "downstream_possible")
     return e.filter("outcome = 'failure'").select("event_id", "subject", "downstream_possible")
+
+
+@query(_AT + """ SELECT subject, outcome, count(*) AS n, min(attempt_no) AS first_attempt, max(attempt_no) AS last_attempt, min(start_frame) AS first_frame, max(end_frame) AS last_frame FROM att GROUP BY GROUPING SETS ((subject, outcome), (outcome), ())""")
+def attempt_indexes(spark, d):
+    """Attempts by subject and outcome, by outcome, and of all."""
+    a = _attempts(spark, d).cube("subject", "outcome").agg(F.count("*").alias("n"), F.min("attempt_no").alias("first_attempt"), F.max("attempt_no").alias("last_attempt"), F.min("start_frame").alias("first_frame"), F.max("end_frame").alias("last_frame"), F.grouping_id().alias("_g"))
+    return a.filter("_g in (0, 2, 3)").drop("_g")
+
+
+@query(_AT + """ SELECT subject, attempt_no, frame, message_type AS stage, row_number() OVER (PARTITION BY subject, attempt_no, message_type ORDER BY frame) AS occurrence FROM lab WHERE message_type IN ('view', 'click', 'purchase')""")
+def stage_occurrences(spark, d):
+    """Each stage event of an attempt with its number among those of its stage."""
+    seen = _labelled(spark, d).filter(F.col("message_type").isin(STAGES)).select("subject", "attempt_no", "frame", F.col("message_type").alias("stage"))
+    return R.with_occurrence(seen, ["subject", "attempt_no", "stage"], ["frame"])
+
+
+SQL["timeline_page"] = SQL["timeline_topk"].replace("WHERE ordinal < 50", "WHERE ordinal >= 10 AND ordinal < 30")
+
+
+@query()
+def timeline_page(spark, d):
+    """The items 10 to 29 of each subject's timeline."""
+    e = canonical(spark, d)
+    events = e.select("subject", "frame", F.lit("event").alias("item"), F.col("message_type").alias("label"))
+    found = e.filter("status >= 400").select("subject", "frame", F.lit("candidate").alias("item"), F.when(F.col("status") >= 500, "critical").otherwise("error").alias("label"))
+    return R.timeline([events, found], ["subject"], ["frame", "item"], 30, skip=10)
