@@ -9,6 +9,7 @@ from sigtrace.functions.text import url_path
 from sigtrace.operators import canonical as C
 from sigtrace.operators import identity as I
 from sigtrace.operators import stages as S
+from sigtrace.operators.reassembly import reassemble, stream_key
 from sigtrace.operators.transactions import http_failures as failed_transactions
 from sigtrace.operators.transactions import transaction_key, transactions
 from sigtrace.plans import captures
@@ -220,3 +221,46 @@ def lean_http(spark, d):
     return C.lean_streams(read(spark, d, "http2_streams"), [a for apis in PARTITIONS.values() for a in apis], DULL_HEADERS).select(
         "row_id", "api", F.col("response.status").alias("status"), F.array_join(F.transform("headers", lambda h: F.lower(h["name"])), ",").alias("header_names"),
     )
+
+
+def _frames(spark, d):
+    """The frames of the captured streams: one row per header, body segment and end; a stream and its row are the key."""
+    h = read(spark, d, "http2_streams")
+    none = F.lit(None)
+    at = ["row_id", F.struct("transport.tcp_stream", "transport.http2_stream_id", F.col("transport.client.ip").alias("src"), F.col("transport.server.ip").alias("dst")).alias("t")]
+
+    def rows(side: str):
+        s = h.filter(F.col(side).isNotNull())
+        head = s.select(*at, F.posexplode(f"{side}.headers").alias("part", "x")).select("row_id", "t", F.lit(side).alias("side"), F.col("x.frame").alias("frame"), "part", F.col("x.name").alias("name"), F.col("x.value").alias("value"), none.cast("string").alias("data"), F.lit(False).alias("end_stream"), F.lit(False).alias("reset"))
+        body = s.select(*at, F.posexplode(f"{side}.body.segments").alias("part", "x")).select("row_id", "t", F.lit(side), F.col("x.frame"), F.col("part") + 1000, none.cast("string"), none.cast("string"), F.col("x.raw_hex"), F.lit(False), F.lit(False))
+        ends = s.select(*at, F.col(f"completion.{side}_end_stream").alias("e"), F.col(f"{side}.end_frame").alias("f")).select("row_id", "t", F.lit(side), "f", F.lit(1 << 20), none.cast("string"), none.cast("string"), none.cast("string"), F.coalesce("e", F.lit(False)), F.lit(False))
+        return head.unionAll(body).unionAll(ends)
+
+    cut = h.filter("completion.rst_stream").select(*at, F.greatest("request.end_frame", "response.end_frame").alias("f")).select("row_id", "t", none.cast("string"), "f", F.lit(1 << 21), none.cast("string"), none.cast("string"), none.cast("string"), F.lit(False), F.lit(True))
+    f = rows("request").unionAll(rows("response")).unionAll(cut).filter("frame is not null")
+    k = stream_key(F.when(F.col("row_id") % 5 != 0, F.col("t.tcp_stream")), F.col("t.http2_stream_id"), F.col("t.src"), F.col("t.dst"))
+    return f.withColumn("k", k).select("row_id", "k.key", "k.fallback", "side", "frame", "part", none.cast("decimal(28,9)").alias("time"), "name", "value", "data", "end_stream", "reset")
+
+
+_SIDE = """SELECT row_id, '{s}' AS side, CAST(x.frame AS BIGINT) AS frame, CAST(part - 1 AS BIGINT) AS part, x.name AS name, x.value AS value, NULL AS data, false AS e, false AS r FROM (SELECT row_id, unnest({s}.headers) AS x, generate_subscripts({s}.headers, 1) AS part FROM http2_streams)
+    UNION ALL SELECT row_id, '{s}', x.frame, part + 999, NULL, NULL, x.raw_hex, false, false FROM (SELECT row_id, unnest({s}.body.segments) AS x, generate_subscripts({s}.body.segments, 1) AS part FROM http2_streams)
+    UNION ALL SELECT row_id, '{s}', {s}.end_frame, 1048576, NULL, NULL, NULL, coalesce(completion.{s}_end_stream, false), false FROM http2_streams WHERE {s} IS NOT NULL"""
+
+
+@query(f"""WITH f AS ({_SIDE.format(s='request')} UNION ALL {_SIDE.format(s='response')} UNION ALL SELECT row_id, NULL, greatest(request.end_frame, response.end_frame), 2097152, NULL, NULL, NULL, false, true FROM http2_streams WHERE completion.rst_stream),
+    k AS (SELECT f.*, CASE WHEN f.row_id % 5 <> 0 AND transport.tcp_stream IS NOT NULL THEN concat_ws(':', transport.tcp_stream, transport.http2_stream_id) ELSE concat_ws('|', least(transport.client.ip, transport.server.ip), greatest(transport.client.ip, transport.server.ip), transport.http2_stream_id) END AS key,
+        NOT (f.row_id % 5 <> 0 AND transport.tcp_stream IS NOT NULL) AS fallback FROM f JOIN http2_streams h ON h.row_id = f.row_id WHERE f.frame IS NOT NULL),
+    o AS (SELECT *, coalesce(bool_or(r OR (side = 'request' AND e)) OVER w, false) AS q, coalesce(bool_or(r) OVER w, false) OR (coalesce(bool_or(e AND side = 'request') OVER w, false) AND coalesce(bool_or(e AND side = 'response') OVER w, false)) AS done FROM k
+        WINDOW w AS (PARTITION BY row_id, key ORDER BY frame, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT row_id, key, CAST(done AS INTEGER) AS generation, min(frame) FILTER (side = 'request') AS request_first_frame, max(frame) FILTER (side = 'response') AS response_last_frame, count(name) FILTER (side = 'request') AS n_request_headers,
+        coalesce(string_agg(data, '' ORDER BY frame, part) FILTER (side = 'request' AND data IS NOT NULL), '') AS rh, coalesce(string_agg(data, '' ORDER BY frame, part) FILTER (side = 'response' AND data IS NOT NULL), '') AS sh,
+        arg_min(value, (frame, part)) FILTER (side = 'request' AND lower(name) = ':method') AS method, TRY_CAST(arg_min(value, (frame, part)) FILTER (side = 'response' AND lower(name) = ':status') AS INTEGER) AS status, bool_or(r) AS reset,
+        coalesce(bool_or(e AND side = 'request'), false) AND coalesce(bool_or(e AND side = 'response'), false) AS both_ended, min(frame) FILTER (side = 'response') AS sf, bool_or(fallback) AS fallback FROM o GROUP BY ALL)
+    SELECT row_id, key, generation, request_first_frame, response_last_frame, n_request_headers, length(rh) // 2 AS request_bytes, sha256(unhex(sh)) AS response_sha256, method, status,
+        CASE WHEN reset THEN 'reset' WHEN both_ended THEN 'complete' WHEN sf IS NULL AND request_first_frame IS NOT NULL THEN 'request_only' WHEN request_first_frame IS NULL AND sf IS NOT NULL THEN 'response_only' WHEN request_first_frame IS NULL THEN 'unknown' ELSE 'partial' END AS completion,
+        array_to_string(list_filter([CASE WHEN fallback THEN 'fallback_key' END, CASE WHEN n_request_headers = 0 AND request_first_frame IS NOT NULL THEN 'no_request_headers' END, CASE WHEN status IS NULL AND sf IS NOT NULL THEN 'no_status' END], lambda x: x IS NOT NULL), ',') AS warnings
+    FROM g""")
+def stream_reassembly(spark, d):
+    """Streams from their frames: headers, bodies, completion and warnings."""
+    s = reassemble(_frames(spark, d), ["row_id", "key"])
+    return s.select("row_id", "key", "generation", "request_first_frame", "response_last_frame", F.size("request_headers").cast("bigint").alias("n_request_headers"), "request_bytes", "response_sha256", "method", "status", "completion", F.array_join("warnings", ",").alias("warnings"))
