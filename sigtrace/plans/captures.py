@@ -319,7 +319,7 @@ def _match(rx: str, group: int = 1) -> str:
     return f"nullif(regexp_extract(t, '{rx}', {group}), '')"
 
 
-_SCENARIO = f"""WITH x AS (SELECT doc_id, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+_SCENARIO = f"""WITH x AS (SELECT doc_id, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
     f AS (SELECT doc_id, {_words(Z.PROCEDURES)} AS procedure, TRY_CAST({_match(Z.PDU_SESSION)} AS BIGINT) AS pdu_session, coalesce(TRY_CAST({_match(Z.FRAME_RANGE)} AS BIGINT), TRY_CAST({_match(Z.FRAME)} AS BIGINT)) AS frame_from,
         coalesce(TRY_CAST({_match(Z.FRAME_RANGE, 2)} AS BIGINT), TRY_CAST({_match(Z.FRAME)} AS BIGINT)) AS frame_to, {_match(Z.DNN)} AS dnn, {_match(Z.SLICE)} AS s_nssai, {_words(Z.OUTCOMES)} AS expected_outcome, {_words(Z.ACCESS)} AS access_type,
         {_words(Z.INITIATORS)} AS initiator, CASE WHEN contains(t, 'pdu') AND contains(t, 'ipv4') THEN 'ipv4' END AS pdu_type, CASE WHEN contains(t, 'emergency') THEN true END AS emergency, CASE WHEN contains(t, 'smf') THEN 'smf' END AS failure_stage,
