@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ NODE_FIELDS = {
     "members": T.MapType(T.StringType(), T.StringType()),
 }
 _ARROW = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), NODE_FIELDS["members"]: pa.map_(pa.string(), pa.string())}
+PLACES = {"kind": 0, "pre": 1, "post": 2, "level": 3, "object_path": 4}  # in what label gives
 FLUSH_NODES = 1 << 17
 
 
@@ -41,10 +43,16 @@ def _utf8(s: str | None) -> str | None:
 def _column(values: list, kind: pa.DataType) -> pa.Array:
     if pa.types.is_string(kind):
         return _strings(values)
-    try:
+    if not pa.types.is_map(kind):
         return pa.array(values, kind)
+    flat = [m for m in values if m is not None]
+    ends = accumulate(0 if m is None else len(m) for m in values)
+    starts = [None if m is None else at for m, at in zip(values, chain((0,), ends))]
+    try:
+        keys = pa.array([k for m in flat for k in m], pa.string())
     except (UnicodeEncodeError, pa.ArrowInvalid):
-        return pa.array([v if v is None else list({_utf8(a): _utf8(b) for a, b in v}.items()) for v in values], kind)
+        return pa.array([m if m is None else list({_utf8(k): _utf8(_scalar_text(v)) for k, v in m.items()}.items()) for m in values], kind)
+    return pa.MapArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), keys, _strings([_scalar_text(v) for m in flat for v in m.values()]))
 
 
 def _strings(values: list) -> pa.Array:
@@ -70,7 +78,8 @@ def nodes(
     that is the text of an object or array counts as that. Null, empty and
     invalid trees give no rows, nor does a tree that is a single scalar; of
     repeated keys the last counts; repeated rows count each; trees may be nested
-    at any depth. ``members`` are an object's scalar members as a map of texts.
+    at any depth. ``members`` are an object's scalar members as a map of texts, ``value`` is a
+    scalar's text; both are null for a JSON null.
     Id columns may have any name but those of NODE_FIELDS.
     """
     clash = sorted(set(ids) & set(columns))
@@ -97,33 +106,22 @@ def nodes(
                     if tree is None:
                         continue
                     found = label(tree, wanted, "members" in columns)
-                    for node, up in zip(found, parents(found)):
-                        kind, pre, post, level, path, value = node
-                        if kind not in kinds or (level == 0 and not root):
-                            continue
-                        rows.append(row)
-                        at = found[up] if up >= 0 else None
-                        for c, to in zip(columns, cols):
-                            if c == "object_path":
-                                to.append(path)
-                            elif c == "parent_path":
-                                to.append(at[4] if at else "" if level else None)
-                            elif c == "field_name":
-                                to.append(name)
-                            elif c == "kind":
-                                to.append(kind)
-                            elif c == "pre":
-                                to.append(pre)
-                            elif c == "post":
-                                to.append(post)
-                            elif c == "level":
-                                to.append(level)
-                            elif c == "parent_pre":
-                                to.append(at[1] if at else 0 if level else None)
-                            elif c == "members":
-                                to.append([(k, _scalar_text(v)) for k, v in value.items()] if kind == OBJECT else None)
-                            else:
-                                to.append(_scalar_text(value) if kind == SCALAR else None)
+                    kept = [(n, found[up] if up >= 0 else None) for n, up in zip(found, parents(found)) if n[0] in kinds and (root or n[3])]
+                    rows.extend(repeat(row, len(kept)))
+                    for c, to in zip(columns, cols):
+                        if c == "field_name":
+                            to.extend(repeat(name, len(kept)))
+                        elif c in PLACES:
+                            k = PLACES[c]
+                            to.extend([n[k] for n, _ in kept])
+                        elif c == "parent_path":
+                            to.extend([at[4] if at else "" if n[3] else None for n, at in kept])
+                        elif c == "parent_pre":
+                            to.extend([at[1] if at else 0 if n[3] else None for n, at in kept])
+                        elif c == "members":
+                            to.extend([n[5] if n[0] == OBJECT else None for n, _ in kept])
+                        else:
+                            to.extend([_scalar_text(n[5]) if n[0] == SCALAR else None for n, _ in kept])
                     if len(rows) >= FLUSH_NODES:
                         yield flush()
                         rows, cols = [], [[] for _ in columns]
@@ -155,37 +153,50 @@ def within(inner: DataFrame, outer: DataFrame, ids: list[str], width: int = 64)
 
 
 ROOT = "(root)"  # the node type of roots, whose pointer is empty
+TABLE = ("field_name", "kind", "node_type")
+NODE_COLUMNS = ("pre", "post", "level", "parent_pre", "object_path", "value", "members")
 
 
 class NodeTables:
-    """One table per node type, linked by their labels: ``ids, pre, post, level, parent_pre, members``.
+    """One table per kind and node type, linked by their labels: ``ids, pre, post, level, parent_pre, object_path, value, members``.
 
-    Written once below ``path``, by field and type. Rows are range-partitioned
-    by type and record, so a type with most nodes is spread over tasks and a task
-    writes few types.
+    Written once below ``path``, a folder per field, kind and type, named by their
+    hash, as a pointer may be longer than a file name. ``found`` without ``kind``
+    holds objects, and without ``value`` that column is null. Types are spread
+    over ``ranges`` tasks: small ones go together, one with most nodes is cut into
+    several.
     """
 
-    def __init__(self, found: DataFrame, path: str, ids: list[str], ranges: int | None = None):
+    def __init__(self, found: DataFrame, path: str, ids: list[str], ranges: int = 1024):
         self.spark, self.path, self.ids = found.sparkSession, path, ids
-        kind = type_path(F.col("object_path"))
-        rows = found.select("field_name", F.when(kind == "", ROOT).otherwise(kind).alias("node_type"), *ids, "pre", "post", "level", "parent_pre", "members")
-        by = ["field_name", "node_type", *ids, "pre"]
-        rows = rows.repartitionByRange(ranges, *by) if ranges else rows.repartitionByRange(*by)
-        rows.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("field_name", "node_type").parquet(path)
+        for c, v in {"kind": F.lit(OBJECT), "value": F.lit(None).cast("string")}.items():
+            found = found if c in found.columns else found.withColumn(c, v)
+        pointer = F.col("object_path")
+        rows = found.withColumn("node_type", F.when(pointer == "", ROOT).otherwise(type_path(pointer)))
+        rows = rows.select(F.xxhash64(*TABLE).alias("_table"), *TABLE, *ids, *NODE_COLUMNS)
+        rows.hint("rebalance", ranges, "_table").sortWithinPartitions("_table").write.mode("overwrite").partitionBy("_table").parquet(path)
         self.schema = rows.schema
 
     @property
-    def all(self) -> DataFrame:
+    def _files(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    @property
+    def all(self) -> DataFrame:
+        return self._files.select(*self.ids, *NODE_COLUMNS, *TABLE)
+
     def types(self) -> DataFrame:
-        """``field_name, node_type, n_nodes`` of the tables there are."""
-        return self.all.groupBy("field_name", "node_type").agg(F.count("*").alias("n_nodes"))
+        """``field_name, kind, node_type, n_nodes`` of the tables there are."""
+        return self._files.groupBy(*TABLE).agg(F.count("*").alias("n_nodes"))
 
-    def table(self, field_name: str, node_type: str, columns: dict[str, str]) -> DataFrame:
+    def table(self, field_name: str, node_type: str, columns: dict[str, str], kind: str = OBJECT) -> DataFrame:
         """The nodes of one type with members as typed columns: name to type; null where one is absent or does not fit.
 
-        Only this type's files are read.
+        A scalar's value stands under each name. Only this type's files are read.
         """
-        rows = self.all.filter((F.col("field_name") == field_name) & (F.col("node_type") == node_type))
-        return rows.select(*self.ids, "pre", "post", "level", "parent_pre", *[F.try_element_at("members", F.lit(c)).try_cast(t).alias(c) for c, t in columns.items()])
+        its = [F.lit(field_name), F.lit(kind), F.lit(node_type)]
+        rows = self._files.filter(F.col("_table") == F.xxhash64(*its))
+        for c, v in zip(TABLE, its):
+            rows = rows.filter(F.col(c) == v)
+        cell = (lambda c: F.col("value")) if kind == SCALAR else (lambda c: F.try_element_at("members", F.lit(c)))
+        return rows.select(*self.ids, "pre", "post", "level", "parent_pre", *[cell(c).try_cast(t).alias(c) for c, t in columns.items()])

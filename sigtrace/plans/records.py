@@ -45,13 +45,13 @@ def p3_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("field_name", "kind", type_path(F.col("object_path")).alias("node_type")).agg(F.count("*").alias("n_nodes"), F.max("level").alias("deepest"))
 
 
-LABELS = ("field_name", "kind", "pre", "post", "level", "object_path", "parent_pre", "members")
+LABELS = ("field_name", "kind", "pre", "post", "level", "object_path", "parent_pre", "value", "members")
 
 
 def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of the tables per node type: labels, the parent's label and the scalar members (as JSON text)."""
+    """All rows of the tables per node type, over objects, arrays and scalars: labels, the parent's label, pointer, a scalar's value and an object's scalar members (as JSON text)."""
     folder = RunFolder(spark, "nodes")
-    tables = NodeTables(tree_nodes(spark, sf_dir, columns=LABELS), f"{folder.path}/tables", ["row_id"])
+    tables = NodeTables(tree_nodes(spark, sf_dir, kinds=("object", "array", "scalar"), columns=LABELS), f"{folder.path}/tables", ["row_id"])
     return tables.all.withColumn("members", F.to_json("members"))
 
 

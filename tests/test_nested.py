@@ -112,3 +112,28 @@ def test_links_count_what_lies_inside(spark, data):
                 want[key] = want.get(key, 0) + 1
     there = {(r.field_name, r.row_id, r.object_path) for r in n}
     assert {(r.field_name, r.row_id, r.object_path): r.n_inside for r in p3_links(spark, data).collect()} == {k: v for k, v in want.items() if k in there}
+
+
+def test_tables_hold_every_node(spark, data, tmp_path):
+    """Arrays, their scalars and nulls too; a pointer may be longer than a file name."""
+    from sigtrace.operators.nested import ROOT, NodeTables
+    from sigtrace.plans.records import LABELS, p3_node_types, p3_tables
+
+    long = "k" * 300
+    texts = ['{"ids":["a",2,null],"none":null,"empty":[],"' + long + '":{"x":"{\\"y\\":[true]}"}}', "[1,[]]", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id long, t string")
+    tables = NodeTables(nodes(df, ["row_id"], {"t": F.col("t")}, kinds=("object", "array", "scalar"), columns=LABELS), str(tmp_path / "tables"), ["row_id"])
+    got = {(r.row_id, r.pre, r.kind, r.object_path, r.value) for r in tables.all.collect()}
+    first = [("object", "", None), ("array", "/ids", None), ("scalar", "/ids/0", "a"), ("scalar", "/ids/1", "2"), ("scalar", "/ids/2", None), ("scalar", "/none", None), ("array", "/empty", None)]
+    first += [("object", f"/{long}", None), ("object", f"/{long}/x", None), ("array", f"/{long}/x/y", None), ("scalar", f"/{long}/x/y/0", "true")]
+    second = [("array", "", None), ("scalar", "/0", "1"), ("array", "/1", None)]
+    assert got == {(i, pre, *n) for i, t in enumerate((first, second)) for pre, n in enumerate(t)}
+    assert [r.members for r in tables.all.filter("kind = 'object' and pre = 0").collect()] == [{"none": None}]
+    ids = tables.table("t", "/ids/*", {"id": "int"}, kind="scalar")
+    assert {(r.pre, r.parent_pre, r.id) for r in ids.collect()} == {(2, 0, None), (3, 0, 2), (4, 0, None)}
+    assert tables.table("t", ROOT, {}, kind="array").count() == 1
+
+    name = F.when(F.col("node_type") == "", ROOT).otherwise(F.col("node_type")).alias("node_type")
+    want = p3_node_types(spark, data).select("field_name", "kind", name, "n_nodes", "deepest")
+    have = p3_tables(spark, data).groupBy("field_name", "kind", "node_type").agg(F.count("*").alias("n_nodes"), F.max("level").alias("deepest"))
+    assert {tuple(r) for r in have.collect()} == {tuple(r) for r in want.collect()}
